@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,9 +30,13 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage ends there, and a lost executor costs one stage."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path, schema = df.sparkSession, work_path(df.sparkSession, name), df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    # The table replaces what led to it: a collection lets Spark's cleaner drop the shuffle files of those stages now.
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, weight: Column | None = None) -> DataFrame:
