@@ -8,18 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import encode
+from .html_text import extract_text
 from .line_dedup import drop_frequent_lines
 from .packing import pack
 from .quality import BASE, quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
+from .toxicity import fit, score
+from .warc import read_records, write_archives
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    learnt = docs.select("doc_id", "text").join(labels.where(~held).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    out = score(docs, fit(learnt))
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_frequent_lines(documents(spark, sf_dir), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -29,6 +41,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), texts=False)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, query_modulus=20)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024, end_id=0)
 
@@ -43,12 +59,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_revisit_bytes=0)
+    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_bpe, op5_packing, op6_substring_dedup, op7_simhash, op9_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_ann, op5_packing, op6_substring_dedup, op7_simhash, op8_html, op9_quality, op10_warc)}
 
 
 ORACLE = {
