@@ -116,16 +116,20 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, [x * x for x in z])
 
 
+#: Up to so many groups (a few MB) their estimates are broadcast.
+FEW_GROUPS = 50_000
+
+
 def _with(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with their group's estimates. Groups are as many as (lang, source) pairs: Spark broadcasts them if they
-    prove small and splits a hot pair's partition otherwise."""
-    return rows.join(groups, keys)
+    """Rows with their group's estimates (a written table). A broadcast only behind a count of the groups; beyond it a
+    shuffle by key, of which Spark splits a hot group's partition."""
+    return rows.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups, keys)
 
 
 def mcd(stats: DataFrame, keys: list[str], steps: int = 2) -> DataFrame:
     """Per group: location, scatter factor, n and the consistency factor `scale`. stats has x0.. and the keys."""
-    med = stats.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"q{i}") for i in range(P)])
-    centred = stats.join(med, keys)
+    med = table(stats.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"q{i}") for i in range(P)]), "mcd-medians")
+    centred = _with(stats, med, keys)
     z = [(F.col(f"x{i}") - F.col(f"q{i}")) / F.lit(FLOORS[i]) for i in range(P)]
     # Two starts: rows near the medians by the sum of squares, and by the largest coordinate.
     starts = F.array(
@@ -136,12 +140,12 @@ def mcd(stats: DataFrame, keys: list[str], steps: int = 2) -> DataFrame:
     started = centred.select(*cells, F.inline(starts))
     best = None
     for _ in range(steps + 1):
-        cut = started.groupBy(*keys, "start").agg(F.percentile_approx("d", 0.5, 2000).alias("cut"))
-        half = started.join(cut, [*keys, "start"]).where(F.col("d") <= F.col("cut"))
+        cut = table(started.groupBy(*keys, "start").agg(F.percentile_approx("d", 0.5, 2000).alias("cut")), "mcd-cuts")
+        half = _with(started, cut, [*keys, "start"]).where(F.col("d") <= F.col("cut"))
         best = table(_estimates(half, [*keys, "start"]), "mcd")
         started = _with(stats.select(*cells), best, keys).select(*cells, "start", _distance().alias("d"))
     least = best.groupBy(*keys).agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    chosen = best.join(least, [*keys, "start"])
+    chosen = table(best.join(least, [*keys, "start"]), "mcd")
     scaled = _with(stats.select(*cells), chosen, keys).groupBy(*keys).agg((F.percentile_approx(_distance(), 0.5, 2000) / CHI2_MEDIAN).alias("scale"))
     return chosen.join(scaled, keys).withColumn("scale", F.greatest("scale", F.lit(1.0)))
 
@@ -176,10 +180,20 @@ def judge(stats: DataFrame, cutoff: float = 30.0, min_group: int = 50) -> DataFr
     out = rows
     for k, on in ((0, ["_lang", "_source"]), (1, ["_lang"]), (2, [])):
         level = found.where(F.col("level") == k).select(*[F.col(f"g{c}").alias(c) for c in on], pack).withColumnRenamed("e", f"e{k}")
-        # The last level is one row; the others as many as languages, and as (lang, source) pairs.
-        out = out.join(level, on, "left") if on else out.join(F.broadcast(level), F.lit(True), "left")
+        # The last level is one row; the others as many as languages, and as (lang, source) pairs, which are counted.
+        few = not on or level.count() <= FEW_GROUPS
+        out = out.join(F.broadcast(level) if few else level, on or F.lit(True), "left")
     chosen = out.withColumn("e", F.coalesce("e0", "e1", "e2")).select(*rows.columns, "e.*")
     worse = (F.col("x1") > F.col("m1") + 2 * FLOORS[1]) | (F.col("x2") > F.col("m2") + 2 * FLOORS[2]) | (F.col("x3") > F.col("m3") + 2 * FLOORS[3])
     judged = chosen.withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & ~F.coalesce((F.col("distance") > cutoff) & worse, F.lit(False))
     return judged.withColumn("kept", kept).drop(*[f"x{i}" for i in range(P)], *values, "_lang", "_source")
+
+
+def keep_good(docs: DataFrame, cutoff: float = 30.0, min_group: int = 50, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows that quality_rules keeps, columns unchanged. Verdicts meet their rows again by id and text, so rows of
+    one id with different texts are told apart; a null id is kept or dropped like any other."""
+    text = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    slim = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    good = quality_rules(slim, cutoff, min_group).where("kept").select("_id", "_text").distinct()
+    return docs.join(good, F.col(id_col).eqNullSafe(F.col("_id")) & (text == F.col("_text")), "left_semi")

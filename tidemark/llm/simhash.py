@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hot_keys, lookup, table
@@ -207,3 +207,13 @@ def _labelled(own: DataFrame, found: DataFrame) -> DataFrame:
     by_fp = rooted.join(smallest, "root").select("fp", "component_id")
     hot = table(hot_keys(rooted, ["fp"], weight=F.col("n")), "hot-fingerprints")
     return lookup(own, by_fp, ["fp"], hot)
+
+
+def keep_one(docs: DataFrame, radius: int = 5, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, that with the smallest id; columns unchanged. Of rows that repeat this id one stays
+    (the least by its text's hash), and a group whose ids are all null keeps one row."""
+    near = near_duplicates(docs, radius, size, id_col=id_col, text_col=text_col)
+    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    place = Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    return kept.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
