@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +19,13 @@ def build(app: str = "tidemark", master: str | None = None, shuffle_partitions:
     for k, v in conf.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one the session names; a temporary one only where none is set (local runs)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
