@@ -105,15 +105,15 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     rare = frequent.join(F.broadcast(hot), ["h1", "h2"], "left_anti").select("h1", "h2")
     found = marked.where("hot").select("_id", "_text", "pos").unionByName(
         marked.where("hot is null").join(rare.hint("merge"), ["h1", "h2"], "left_semi").select("_id", "_text", "pos"))
-    gone = found.groupBy("_id", "_text").agg(F.collect_set("pos").alias("_gone"))
+    gone = found.groupBy("_id", "_text").agg(F.collect_set("pos").alias("__gone")).select(F.col("_id").alias("__id"), F.col("_text").alias("__text"), "__gone")
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (text_key(text_col) == F.col("_text")), "left").drop("_id", "_text")
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(_kept(split, F.col("_gone")), "\n"))
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__text")), "left").drop("__id", "__text")
+    kept = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(_kept(split, F.col("__gone")), "\n"))
     return (
         joined.withColumn("n_lines", F.size(split).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
         .withColumn(text_col, kept)
-        .drop("_gone")
+        .drop("__gone")
     )
 
 

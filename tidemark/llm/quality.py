@@ -60,13 +60,13 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text_col), F.lit(""))
     w = words_of(t)
     both = _bind(w, lambda a: F.struct(F.size(a).cast("long").alias("n"), repeat_words(a).alias("r")))
-    out = docs.withColumn("_w", both).select(
+    out = docs.withColumn("__w", both).select(
         *[c for c in docs.columns if c not in BASE],
-        F.col("_w.n").alias("n_words"),
+        F.col("__w.n").alias("n_words"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         dup_lines(t).alias("n_dup_lines"),
-        F.col("_w.r").alias("n_repeat_words"),
+        F.col("__w.r").alias("n_repeat_words"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
@@ -160,8 +160,14 @@ def quality_rules(
     the base rules; groups with fewer than min_group such rows use their language's, then all rows'. Null lang and
     source are groups of their own, named by the empty text. An empty table gives an empty result.
     """
-    named = docs.withColumn("_lang", F.coalesce(F.col(lang_col), F.lit(""))).withColumn("_source", F.coalesce(F.col(source_col), F.lit("")))
-    return judge(table(base_statistics(named, text_col).drop(text_col), "quality-stats"), cutoff, min_group)
+    # What the caller's rows hold travels in one column, so no name of theirs meets one of ours.
+    other = [F.col(c) for c in docs.columns if c != text_col]
+    slim = docs.select(
+        (F.struct(*other) if other else F.struct(F.lit(None).alias("none"))).alias("__row"), F.col(text_col).alias("text"),
+        F.coalesce(F.col(lang_col), F.lit("")).alias("_lang"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"))
+    judged = judge(table(base_statistics(slim).drop("text"), "quality-stats"), cutoff, min_group)
+    own = [*BASE, "base_failed", "distance", "kept"]
+    return judged.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in (text_col, *own)], *own)
 
 
 def judge(stats: DataFrame, cutoff: float = 30.0, min_group: int = 50) -> DataFrame:
@@ -194,6 +200,6 @@ def keep_good(docs: DataFrame, cutoff: float = 30.0, min_group: int = 50, id_col
     """The rows that quality_rules keeps, columns unchanged. Verdicts meet their rows again by id and text, so rows of
     one id with different texts are told apart; a null id is kept or dropped like any other."""
     text = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    slim = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    good = quality_rules(slim, cutoff, min_group).where("kept").select("_id", "_text").distinct()
-    return docs.join(good, F.col(id_col).eqNullSafe(F.col("_id")) & (text == F.col("_text")), "left_semi")
+    slim = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    good = quality_rules(slim, cutoff, min_group).where("kept").select("__id", "__text").distinct()
+    return docs.join(good, F.col(id_col).eqNullSafe(F.col("__id")) & (text == F.col("__text")), "left_semi")

@@ -213,7 +213,7 @@ def keep_one(docs: DataFrame, radius: int = 5, size: int = 5, id_col: str = "doc
     """One document of each group, that with the smallest id; columns unchanged. Of rows that repeat this id one stays
     (the least by its text's hash), and a group whose ids are all null keeps one row."""
     near = near_duplicates(docs, radius, size, id_col=id_col, text_col=text_col)
-    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    first = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
     place = Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    return kept.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+    return kept.withColumn("__place", F.row_number().over(place)).where("__place = 1").drop("__place")
