@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import market, matching, pages, reports, state, streams  # noqa: F401
+from . import checks, market, matching, pages, reports, state, streams  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

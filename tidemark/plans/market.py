@@ -89,7 +89,7 @@ def hot_products_topk(spark: SparkSession, d: str) -> DataFrame:
     return g.select("product_id", "name", "volume", F.array_join(F.transform("a", lambda s: F.concat_ws(":", s["size"].cast("string"), s["sell"].cast("string"))), "|").alias("prices"))
 
 
-@query(with_sql("market_products", "volumes", rest="""SELECT product_id, priority, last_at, row_number() OVER (ORDER BY CASE priority WHEN 'hot' THEN 0 WHEN 'warm' THEN 1 ELSE 2 END, last_at NULLS FIRST, product_id) AS place
+@query(with_sql("market_products", "volumes", rest="""SELECT product_id, priority, last_at, row_number() OVER (ORDER BY CASE priority WHEN 'hot' THEN 0 WHEN 'warm' THEN 1 ELSE 2 END, last_at NULLS FIRST, product_id)::INT AS place
  FROM (SELECT product_id, CASE WHEN coalesce(volume, 0) >= 20 THEN 'hot' WHEN coalesce(volume, 0) >= 8 THEN 'warm' ELSE 'cold' END AS priority, last_at FROM market_products LEFT JOIN volumes USING (product_id)
    LEFT JOIN (SELECT l_partkey AS product_id, max(l_shipdate) AS last_at FROM lineitem WHERE l_discount > 0.08 GROUP BY 1) USING (product_id)
    WHERE last_at IS NULL OR last_at <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 30 DAY) QUALIFY place <= 100"""))

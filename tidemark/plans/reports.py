@@ -97,7 +97,7 @@ def pipeline_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_sql("events", rest="""g AS (SELECT event_type AS stage, CASE WHEN k < 50 THEN 'pass' ELSE 'block' END AS decision, 'r' || (k % 7) AS reason, count(*) AS n FROM ev GROUP BY ALL)
- SELECT stage, decision, reason, n, sum(n) OVER (PARTITION BY stage, decision)::BIGINT AS total, row_number() OVER (PARTITION BY stage, decision ORDER BY n DESC, reason) AS place FROM g QUALIFY place <= 3"""))
+ SELECT stage, decision, reason, n, sum(n) OVER (PARTITION BY stage, decision)::BIGINT AS total, row_number() OVER (PARTITION BY stage, decision ORDER BY n DESC, reason)::INT AS place FROM g QUALIFY place <= 3"""))
 def decision_summary_topn(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(F.col("event_type").alias("stage"), F.when(F.col("k") < 50, "pass").otherwise("block").alias("decision"), F.concat(F.lit("r"), (F.col("k") % 7).cast("string")).alias("reason"))
     return report.top_per_class(e, ["stage", "decision"], "reason", 3)
