@@ -140,15 +140,17 @@ def _inputs(weight: float, length: int) -> tuple[float, float]:
     return float(np.log1p(weight)), float(np.log1p(1000.0 * weight / max(200, length)))
 
 
-def fit(labelled: DataFrame, max_rows: int = 12_000, max_terms: int = 20_000, least_weight: float = 1.6, seed: int = 11, label_col: str = "label", text_col: str = "text", id_col: str = "doc_id") -> Lexicon:
-    """Learn a lexicon and its curve from rows with a text and a 0/1 label.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: int = 20_000, least_weight: float = 1.6, seed: int = 11, label_col: str = "label", text_col: str = "text", id_col: str = "doc_id") -> Lexicon:
+    """Learn a lexicon and its curve from documents with a 0/1 label.
 
-    At most max_rows rows are used, those with the least seeded hash of their id; all else is independent of size. The
-    executors count features by label; at most max_terms terms and max_rows pairs of sums come to the driver. Without
-    labels of both kinds the lexicon is empty and the score is the share of label 1 (0.0 without rows).
+    At most max_rows labels are used, those with the least seeded hash of their id; all else is independent of size. The
+    chosen labels are broadcast, so no text is shuffled. The executors count features by label; at most max_terms terms
+    and max_rows pairs of sums come to the driver. Without labels of both kinds the lexicon is empty and the score is the
+    share of label 1 (0.0 without rows). Null ids and labels are left out.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.xxhash64(F.lit(seed), id_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    sample = rows.orderBy("h").limit(max_rows)
+    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(F.lit(seed), id_col).alias("h"), F.col(label_col).cast("int").alias("label"))
+    chosen = chosen.orderBy("h", "label").limit(max_rows)
+    sample = table(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id").select("h", "text", "label"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
