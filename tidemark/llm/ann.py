@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF = 64
+LEAF = 256
 
 
 class VPTree:
@@ -68,6 +68,10 @@ class VPTree:
             members = node[0]
             s = self.q[rows] @ self.v[members].T
             s[self.qid[rows][:, None] == self.ids[members][None, :]] = -np.inf
+            better = s.max(axis=1) >= self.score[rows, -1]  # others have nothing to gain here
+            if not better.any():
+                return
+            rows, s = rows[better], s[better]
             all_s = np.concatenate((self.score[rows], s), axis=1)
             all_i = np.concatenate((self.found[rows], np.broadcast_to(self.ids[members], s.shape)), axis=1)
             order = np.lexsort((all_i, -all_s), axis=1)[:, : self.k]
@@ -96,7 +100,7 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return out.where(fine).withColumn("dim", F.size("v"))
 
 
-def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, factor: float = 1.15, shard_rows: int = 8192, block: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, factor: float = 1.15, shard_rows: int = 8192, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score for each query row (id divisible by query_modulus) against all rows.
 
     Nearness is the inner product in double precision, ties go to the smaller id; a query never finds its own id. Only
@@ -118,11 +122,11 @@ def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, factor: fl
 
         def answer() -> Iterator[pa.RecordBatch]:
             nonlocal tree
+            if not held[0] and tree is None:
+                held[1] = []  # a shard without members of this length
             if tree is None and held[1]:
                 ids, v = np.array([x[0] for x in held[0]], np.int64), np.array([x[1] for x in held[0]]).reshape(len(held[0]), -1)
-                if len(ids):
-                    ids, v = _few_copies(ids, v, k + 1)
-                tree = VPTree(ids, v)
+                tree = VPTree(*_few_copies(ids, v, k + 1))
                 held[0] = []
             if held[1]:
                 qid, q = np.array([x[0] for x in held[1]], np.int64), np.array([x[1] for x in held[1]])
