@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_keys, lookup, table
@@ -147,12 +147,17 @@ def _col(values: list | np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
+def _text_key(text_col: str) -> Column:
+    """Tells rows of one id with different texts apart; few bits, as it travels with every anchor."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 24)).cast("int")
+
+
 def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, t (hash of the text) and ranges (from, until) of words to remove; the ranges may overlap."""
     if window < 4:
         raise ValueError("window must be at least 4 words")
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("t"), F.col(text_col).alias("text"))
-    i64, f64 = pa.int64(), F.col
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), _text_key(text_col).alias("t"), F.col(text_col).alias("text"))
+    i64, i32, f64 = pa.int64(), pa.int32(), F.col
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -165,11 +170,11 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
                     a.append(g[places].view(np.int64))
                     p.append(places)
                     d.append(np.full(len(places), doc, np.int64))
-                    t.append(np.full(len(places), key, np.int64))
+                    t.append(np.full(len(places), key, np.int32))
             if d:
-                yield pa.RecordBatch.from_arrays([_col(np.concatenate(x), k) for x, k in ((d, i64), (t, i64), (a, i64))] + [_col(np.concatenate(p), pa.int32())], ["doc_id", "t", "a", "pos"])
+                yield pa.RecordBatch.from_arrays([_col(np.concatenate(x), k) for x, k in ((d, i64), (t, i32), (a, i64))] + [_col(np.concatenate(p), pa.int32())], ["doc_id", "t", "a", "pos"])
 
-    found = table(base.mapInArrow(anchored, "doc_id long, t long, a long, pos int"), "anchors")
+    found = table(base.mapInArrow(anchored, "doc_id long, t int, a long, pos int"), "anchors")
     # An anchor in two documents is a candidate. min and max are combined before the shuffle.
     twice = table(found.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("a", "n"), "repeated-anchors")
     hot = table(hot_keys(twice, ["a"], weight=f64("n")), "hot-anchors")
@@ -187,10 +192,10 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
                     part = b" ".join(ws[s : e + window - 1])
                     for x, v in zip(out, (doc, key, s, e - s, xxhash.xxh3_128_digest(part), part.decode(), np.unique(g[at[s:e]]).view(np.int64))):
                         x.append(v)
-            kinds = (i64, i64, pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.list_(i64))
+            kinds = (i64, i32, i32, i32, pa.binary(), pa.string(), pa.list_(i64))
             yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, kinds)], ["doc_id", "t", "start", "n", "h", "words", "anchors"])
 
-    spanned = table(base.join(places, ["doc_id", "t"]).mapInArrow(spans, "doc_id long, t long, start int, n int, h binary, words string, anchors array<long>"), "spans")
+    spanned = table(base.join(places.hint("merge"), ["doc_id", "t"]).mapInArrow(spans, "doc_id long, t int, start int, n int, h binary, words string, anchors array<long>"), "spans")
     owners = table(spanned.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "span-owners")
     hot_spans = table(hot_keys(owners, ["h"], weight=f64("copies")), "hot-spans")
     marked = table(lookup(spanned, owners.select("h", "first"), ["h"], hot_spans, "inner"), "marked-spans")
@@ -199,31 +204,31 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for doc, key, start, text in zip(*(rb.column(k).to_pylist() for k in range(4))):
+            for doc, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
                 w = rolling(hashes(words(text)), window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([_col(w, i64), _col(np.full(len(w), doc), i64), _col(np.full(len(w), key), i64), _col(np.arange(start, start + len(w)), pa.int32())], ["w", "doc_id", "t", "pos"])
+                yield pa.RecordBatch.from_arrays([_col(w, i64), _col(np.full(len(w), doc), i64)], ["w", "doc_id"])
 
+    # The least document of each window that several hold; two numbers per window, combined before the shuffle.
     first_place = (
-        firsts.select("doc_id", "t", "start", "words").mapInArrow(windows, "w long, doc_id long, t long, pos int")
-        .groupBy("w").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.min_by(F.struct("t", "pos"), "doc_id").alias("at"))
-        .where("x < y").select("x", "at.*").groupBy(f64("x").alias("doc_id"), "t").agg(F.collect_set("pos").alias("places"))
+        firsts.select("doc_id", "words").mapInArrow(windows, "w long, doc_id long")
+        .groupBy("w").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
+        .where("x < y").groupBy(f64("x").alias("doc_id")).agg(F.collect_list("w").alias("repeated"))
     )
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out: list[list] = [[] for _ in range(4)]
-            for doc, start, text, at_list in zip(*(rb.column(k) for k in range(4))):
-                ws, s0 = words(text.as_py()), start.as_py()
-                flags = np.zeros(len(ws) - window + 1, bool)
-                at = np.array(at_list.as_py()) - s0
-                flags[at[(at >= 0) & (at < len(flags))]] = True
-                g, first = anchors(hashes(ws), window)
+            for doc, text, repeated in zip(*(rb.column(k) for k in range(3))):
+                ws = words(text.as_py())
+                h = hashes(ws)
+                flags = np.isin(rolling(h, window).view(np.int64), repeated.values.to_numpy(zero_copy_only=False))
+                g, first = anchors(h, window)
                 for s, e in runs(flags):
                     for x, v in zip(out, (doc.as_py(), b" ".join(ws[s : e + window - 1]).decode(), e - s + window - 1, np.unique(g[first[s:e]]).view(np.int64))):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, (i64, pa.string(), pa.int32(), pa.list_(i64)))], ["owner", "words", "n", "anchors"])
 
-    reference = table(firsts.join(first_place, ["doc_id", "t"]).select("doc_id", "start", "words", "places").mapInArrow(passages, "owner long, words string, n int, anchors array<long>"), "reference")
+    reference = table(firsts.join(first_place, "doc_id").select("doc_id", "words", "repeated").mapInArrow(passages, "owner long, words string, n int, anchors array<long>"), "reference")
     total = reference.agg(F.sum("n")).first()[0] or 0  # one number, to size the shards
     n_shards = 1 + total // SHARD_WORDS
     reference = reference.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(n_shards)))
@@ -234,7 +239,7 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     stream = routes.join(copies_of, "shard").join(firsts.select("doc_id", "t", "start", "words"), ["doc_id", "t", "start"]).select(
         "shard", F.pmod(F.xxhash64("doc_id", "start"), f64("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "t", "start", "words")
     served = reference.join(copies_of, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0), f64("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), f64("owner").alias("doc_id"), F.lit(0).cast("long").alias("t"), F.lit(0).alias("start"), "words")
+        "shard", F.explode(F.sequence(F.lit(0), f64("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), f64("owner").alias("doc_id"), F.lit(0).alias("t"), F.lit(0).alias("start"), "words")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, auto, done = None, Automaton(), False
@@ -257,9 +262,9 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
                     for s, e in runs(flags):
                         for x, v in zip(out, (doc.as_py(), key.as_py(), start.as_py() + s - window + 1, start.as_py() + e)):
                             x.append(v)
-            yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, (i64, i64, pa.int32(), pa.int32()))], ["doc_id", "t", "from", "until"])
+            yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, (i64, i32, i32, i32))], ["doc_id", "t", "from", "until"])
 
-    hits = stream.unionByName(served).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(matched, "doc_id long, t long, from int, until int")
+    hits = stream.unionByName(served).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(matched, "doc_id long, t int, from int, until int")
     return copies.unionByName(hits)
 
 
@@ -271,11 +276,12 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     no words. Rows of one id are one document: they never remove from each other. A null id counts as the greatest.
     Input columns named n_words or n_removed are replaced.
     """
-    ranges = table(find_repeats(docs, window, id_col, text_col), "repeats").groupBy("doc_id", "t").agg(F.collect_list(F.struct("from", "until")).alias("_ranges"))
-    ranges = ranges.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "_ranges")
+    ranges = table(find_repeats(docs, window, id_col, text_col), "repeats").groupBy("doc_id", "t").agg(F.collect_list(F.struct("from", "until")).alias("__ranges"))
+    ranges = ranges.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "__ranges")
     docs = docs.drop("n_words", "n_removed")
-    on = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_d")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_t"))
-    joined = docs.join(ranges, on, "left").drop("_d", "_t")
+    on = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__d")) & (_text_key(text_col) == F.col("__t"))
+    # The same plan at every size: left to estimates, small corpora broadcast the ranges and only large ones move texts.
+    joined = docs.join(ranges.hint("merge"), on, "left").drop("__d", "__t")
     names = docs.columns
     at, n = names.index(text_col), len(names)
 
