@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def spark():
     from tidemark.session import build
 
-    session = build("tests", "local[4]", 4, **{
+    session = build("tests", "local[2]", 4, **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "6g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="spark-"), "spark.sql.sources.parallelPartitionDiscovery.parallelism": "4",
     })
