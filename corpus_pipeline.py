@@ -13,7 +13,7 @@ from tidemark.llm.common import table
 from tidemark.llm.line_dedup import drop_frequent_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import keep_good
-from tidemark.llm.simhash import keep_one
+from tidemark.llm.similar import keep_one_similar
 from tidemark.llm.substring_dedup import substring_dedup
 
 
@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (fingerprints of five-word shingles) the document with the smallest id."""
-    return keep_one(docs, radius=5, size=5)
+    """Of each group of near copies (five-word shingles at a similarity of 0.8 or more) the document with the smallest id."""
+    return keep_one_similar(docs, least=0.8, size=5)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
