@@ -143,3 +143,27 @@ def test_typed_events_and_dead_letters(spark):
     assert good.select("e.alert_id").collect()[0][0] == 1
     assert dead.count() == 1
     assert pipeline.unknown_types(df).count() == 2
+
+
+def test_whole_tables_are_read(spark, data):
+    from tidemark.plans import catalog
+
+    orders, parts = (spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("orders", "part"))
+    assert catalog.QUERIES["followup_sold_all"](spark, data).count() == orders
+    assert catalog.QUERIES["hit_status_all"](spark, data).select("lid").distinct().count() == parts
+
+
+def test_matches_do_not_pair_rows_under_a_key(spark):
+    """20,000 rows on each side under one key would be 400 million pairs."""
+    from tidemark.operators import match, quality
+
+    n = 20_000
+    left = spark.range(n).selectExpr("id as lid", "'k' as k", "array('red') as lt")
+    right = spark.range(n).selectExpr("id as rid", "'k' as k", "array('blue', if(id % 2 = 1, 'red', 'green')) as rt")
+    got = match.colour_pick(left, right, "k", "lid", "rid", "lt", "rt")
+    assert got.groupBy("rid", "shared", "hits").count().collect() == [(1, 1, n, n)]
+    assert match.hit_summary(left.drop("lt"), right.drop("rt"), "k", "rid").groupBy("rid", "hits", "status").count().collect() == [(None, n, "ambiguous", n)]
+    f = spark.range(n).selectExpr("id", "1 as pid", "cast(null as int) as size", "id as at", "10 as p")
+    s = spark.range(n).selectExpr("1 as pid", "cast(id % 5 as int) as size", "id as sold", "id % 20 as price")
+    out = quality.sold_after(f, s, "pid", "size", "at", "p", "sold", "price")
+    assert {r["sold"]: r["count"] for r in out.groupBy("sold").count().collect()} == {True: n - 1, False: 1}

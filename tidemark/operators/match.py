@@ -43,9 +43,12 @@ def fallback_join(left: DataFrame, right: DataFrame, variants: list[Column], rig
 
 def ranked_match(left: DataFrame, right: DataFrame, left_id: str, left_model: str, left_name: str, right_id: str, right_model: str, right_name: str) -> DataFrame:
     """All candidates by normalised code, raw code and slash part, each once; then the best: not a collaboration first, a
-    name that shares a long word next, then by strategy and id. A lone candidate is returned as it is."""
+    name that shares a long word next, then by strategy and id. A lone candidate is returned as it is. Rows on the left that
+    ask for the same model and name are matched once."""
     r = right.select(F.col(right_id).alias("rid"), F.col(right_model).alias("rmodel"), F.col(right_name).alias("rname"))
-    asked = left.select(F.col(left_id).alias("lid"), F.col(left_model).alias("lmodel"), F.col(left_name).alias("lname"), T.normalize_model(F.col(left_model)).alias("k"))
+    rows = left.select(F.col(left_id).alias("id"), F.col(left_model).alias("lmodel"), F.col(left_name).alias("lname"))
+    lid = F.struct("lmodel", "lname")
+    asked = rows.select("lmodel", "lname").distinct().select(lid.alias("lid"), "lmodel", "lname", T.normalize_model(F.col("lmodel")).alias("k"))
     exact = asked.join(r.withColumn("k", F.col("rmodel")), "k").withColumn("prio", F.lit(0))
     raw = asked.drop("k").join(r.withColumn("lmodel", F.col("rmodel")), "lmodel").withColumn("prio", F.lit(1))
     ends = F.split("rmodel", "/")
@@ -57,7 +60,8 @@ def ranked_match(left: DataFrame, right: DataFrame, left_id: str, left_model: st
     shares = F.exists(F.split(F.lower("lname"), " "), lambda w: (F.length(w) > 3) & F.lower("rname").contains(w))
     w = Window.partitionBy("lid").orderBy(T.is_collab(F.col("rname")).cast("int"), F.coalesce(shares, F.lit(False)).cast("int").desc(), "prio", "rid")
     n = F.count(F.lit(1)).over(Window.partitionBy("lid"))
-    return once.withColumn("n", n).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("lid", "rid", "prio", "n")
+    best = once.withColumn("n", n).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("lid", "rid", "prio", "n")
+    return rows.select("id", lid.alias("lid")).join(best, "lid").select(F.col("id").alias("lid"), "rid", "prio", "n")
 
 
 def token_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: str, right_words: str, block: str, least: int = 2) -> DataFrame:
@@ -89,22 +93,37 @@ def prefix_join(left: DataFrame, right: DataFrame, key: str, n: int = 6, least:
 
 def colour_pick(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, left_tokens: str, right_tokens: str) -> DataFrame:
     """Of the rows under one key the one whose colour shares most words, then the one with fewer words, then the least
-    id; at least one shared word is wanted unless there is only one row."""
-    j = left.join(right, key)
-    over = Window.partitionBy(left_id)
-    shared = F.size(F.array_intersect(left_tokens, right_tokens))
-    ranked = j.withColumn("shared", shared).withColumn("hits", F.count(F.lit(1)).over(over)).withColumn(
-        "_r", F.row_number().over(over.orderBy(F.desc("shared"), F.size(right_tokens), right_id)))
-    return ranked.where("_r = 1 and (shared >= 1 or hits = 1)").drop("_r")
+    id; at least one shared word is wanted unless there is only one row. Only distinct word lists of a key are paired, so
+    the work grows with the colours of a key and not with the rows on either side."""
+    lists = right.withColumn("_rt", F.array_sort(right_tokens))
+    lists = lists.groupBy(key, "_rt").agg(F.min_by(F.struct(*[c for c in right.columns if c != key]), F.col(right_id)).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    hits = lists.groupBy(key).agg(F.sum("_n").alias("hits"))
+    asked = left.withColumn("_lt", F.array_sort(left_tokens))
+    pairs = asked.select(key, "_lt").distinct().join(lists, key).withColumn("shared", F.size(F.array_intersect("_lt", "_rt")))
+    order = F.struct((-F.coalesce("shared", F.lit(-1))).alias("s"), F.size("_rt").alias("n"), F.col(f"_best.{right_id}").alias("i"))
+    best = pairs.groupBy(key, "_lt").agg(F.min_by(F.struct("_best", "shared"), order).alias("_b")).join(hits, key).where("_b.shared >= 1 or hits = 1")
+    best = best.select(F.col(key).alias("_k"), F.col("_lt").alias("_l"), "_b._best.*", "_b.shared", "hits")
+    return asked.join(best, (F.col(key) == F.col("_k")) & F.col("_lt").eqNullSafe(F.col("_l"))).drop("_k", "_l", "_lt")
 
 
 def hit_status(left: DataFrame, right: DataFrame, key: str, left_id: str, emit_most: int = 2) -> DataFrame:
-    """Pairs under one key with a status: single, several (up to emit_most, all kept) or ambiguous (one row, no pair)."""
+    """Pairs under one key with a status: single, several (up to emit_most) or ambiguous. All pairs are listed; see
+    hit_summary for large tables."""
     j = left.join(right, key)
     n = F.count(F.lit(1)).over(Window.partitionBy(left_id))
     return j.withColumn("hits", n).withColumn("status", F.when(n == 1, "single").when(n <= emit_most, "several").otherwise("ambiguous"))
 
 
+def hit_summary(left: DataFrame, right: DataFrame, key: str, right_id: str, emit_most: int = 2) -> DataFrame:
+    """As hit_status, but an ambiguous row on the left comes once, with no right row. Keys are counted before anything is
+    paired, so a row on the left meets at most emit_most rows."""
+    hits = right.groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    few = left.join(right.join(hits.where(F.col("hits") <= emit_most), key), key)
+    status = F.when(F.col("hits") == 1, "single").otherwise("several")
+    many = left.join(hits.where(F.col("hits") > emit_most), key).withColumn("status", F.lit("ambiguous"))
+    return few.withColumn("status", status).unionByName(many, allowMissingColumns=True)
+
+
 def unmatched(left: DataFrame, right: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     return left.join(right, keys, "left_anti").orderBy(*order).limit(n)
 

@@ -45,14 +45,18 @@ def funnel(df: DataFrame, by: str, stages: dict[str, Column]) -> DataFrame:
 
 
 def sold_after(followups: DataFrame, sales: DataFrame, key: str, size: str, fired_at: str, fired_price: str, sold_at: str, price: str) -> DataFrame:
-    """Whether a sale after the alert reached its price: of the same size, or of any size where the alert has none."""
-    f = followups.select(key, F.col(size).alias("_size"), *[c for c in followups.columns if c not in (key, size)])
-    s = sales.select(key, F.col(size).alias("_sold_size"), sold_at, price)
-    j = f.join(s, key, "left")
-    fits = (F.col(sold_at) > F.col(fired_at)) & (F.col("_size").isNull() | (F.col("_size") == F.col("_sold_size")))
-    ids = [c for c in f.columns]
-    g = j.groupBy(*ids).agg(F.max(F.when(fits, F.col(price))).alias("best"))
-    return g.withColumn("sold", F.coalesce(F.col("best") >= F.col(fired_price), F.lit(False))).withColumnRenamed("_size", size)
+    """Whether a sale after the alert reached its price: of the same size, or of any size where the alert has none. Alerts
+    and sales are laid in one order of time and the best later price is a running maximum; no pairs are made."""
+    group = lambda c: F.struct(c.isNull().alias("any"), c.alias("size"))
+    f = followups.distinct().select(F.col(key).alias("_k"), group(F.col(size)).alias("_g"), F.col(fired_at).alias("_t"), F.lit(0).alias("_sale"), F.lit(None).alias("_p"), F.struct("*").alias("_f"))
+    known = sales.where(F.col(key).isNotNull() & F.col(sold_at).isNotNull())
+    both = F.when(F.col(size).isNull(), F.array(F.lit(None).cast(sales.schema[size].dataType))).otherwise(F.array(F.col(size), F.lit(None)))
+    s = known.select(F.col(key).alias("_k"), F.explode(both).alias("_s"), F.col(sold_at).alias("_t"), F.col(price).alias("_p")).select("_k", group(F.col("_s")).alias("_g"), "_t", F.lit(1).alias("_sale"), "_p")
+    # Newest first; at one time the alert comes before the sale, which is not after it.
+    later = Window.partitionBy("_k", "_g").orderBy(F.desc("_t"), "_sale").rowsBetween(Window.unboundedPreceding, 0)
+    g = f.unionByName(s, allowMissingColumns=True).withColumn("best", F.max("_p").over(later)).where("_sale = 0").select("_f.*", "best")
+    g = g.withColumn("best", F.when(F.col(fired_at).isNotNull(), F.col("best")))
+    return g.withColumn("sold", F.coalesce(F.col("best") >= F.col(fired_price), F.lit(False)))
 
 
 def apply_state(df: DataFrame, state: Column, volume: Column, matched: Column, attempts: Column) -> DataFrame:

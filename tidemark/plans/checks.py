@@ -56,6 +56,18 @@ def followup_sold(spark: SparkSession, d: str) -> DataFrame:
     return quality.sold_after(f, s, "pid", "size", "fired_at", "fired_price", "sold_at", "price").select("id", "pid", "size", "best", "sold")
 
 
+@query("""WITH f AS (SELECT o_orderkey AS id, o_custkey AS pid, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 7 + 1)::INT END AS size, o_orderdate AS fired_at, floor(o_totalprice / 6)::BIGINT AS fired_price FROM orders),
+ s AS (SELECT l_partkey AS pid, l_linenumber AS ss, l_shipdate AS sold_at, floor(l_extendedprice)::BIGINT AS price FROM lineitem),
+ j AS (SELECT id, f.pid, size, fired_price, max(price) FILTER (WHERE sold_at > fired_at AND (size IS NULL OR size = ss)) AS best FROM f LEFT JOIN s ON f.pid = s.pid GROUP BY ALL)
+ SELECT id, pid, size, best, coalesce(best >= fired_price, false) AS sold FROM j""")
+def followup_sold_all(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("o_orderkey")
+    f = read(spark, d, "orders").select(o.alias("id"), F.col("o_custkey").alias("pid"), F.when(o % 3 != 0, (o % 7 + 1).cast("int")).alias("size"), F.col("o_orderdate").alias("fired_at"), F.floor(F.col("o_totalprice") / 6).cast("bigint").alias("fired_price"))
+    s = read(spark, d, "lineitem").select(F.col("l_partkey").alias("pid"), F.col("l_linenumber").alias("size"), F.col("l_shipdate").alias("sold_at"), F.floor("l_extendedprice").cast("bigint").alias("price"))
+    return quality.sold_after(f, s, "pid", "size", "fired_at", "fired_price", "sold_at", "price").select("id", "pid", "size", "best", "sold")
+
+
+
 @query("SELECT o_orderkey AS id, o_orderdate AS fired_at FROM orders WHERE o_orderstatus = 'P' AND o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 DAY ORDER BY o_orderdate, o_orderkey LIMIT 200")
 def pending_followups(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
