@@ -167,3 +167,12 @@ def test_matches_do_not_pair_rows_under_a_key(spark):
     s = spark.range(n).selectExpr("1 as pid", "cast(id % 5 as int) as size", "id as sold", "id % 20 as price")
     out = quality.sold_after(f, s, "pid", "size", "at", "p", "sold", "price")
     assert {r["sold"]: r["count"] for r in out.groupBy("sold").count().collect()} == {True: n - 1, False: 1}
+
+
+def test_models_late_in_a_document_are_found(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    rows = [(1, "word " * 100 + "DQ8423-100 tail"), (2, "word " * 100), (3, None)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["model"] for r in catalog.QUERIES["document_models_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "DQ8423-100", 2: None}

@@ -69,6 +69,12 @@ def document_models(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").where("text is not null").select("doc_id", T.extract_model(head).alias("model"))
 
 
+@query(f"SELECT doc_id, {_model_sql().replace('name', 'text')} AS model FROM documents WHERE text IS NOT NULL")
+def document_models_all(spark: SparkSession, d: str) -> DataFrame:
+    """The model number of each document, from its whole text."""
+    return read(spark, d, "documents").where("text is not null").select("doc_id", T.extract_model(F.col("text")).alias("model"))
+
+
 @query(f"""WITH {N}, m AS (SELECT {_model_sql()} AS model, id FROM n) SELECT {_key_sql('model')} AS key, arg_min(model, id) AS first_value, string_agg(model, '|' ORDER BY id) AS all_values, count(*)::INT AS n FROM m WHERE model IS NOT NULL GROUP BY 1""")
 def canonical_group_targets(spark: SparkSession, d: str) -> DataFrame:
     # Bound in a one-element array: inlined, the cascade would be generated once for each use.
