@@ -138,7 +138,7 @@ def prioritised_match(spark: SparkSession, d: str) -> DataFrame:
     return match.ranked_match(left, r, "lid", "lm", "ln", "product_id", "rm", "rn")
 
 
-@query(with_sql("market_products", rest=rf"""r AS (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN brand || '-' || (product_id % 40) ELSE 'ZZ-' || product_id || '/' || brand || '-' || (product_id % 40) END AS rm, CASE WHEN product_id % 3 = 0 THEN 'Supreme ' || name ELSE name END AS rn FROM market_products),
+@query(with_sql("market_products", rest=rf"""r AS (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN upper(brand) || '-' || (product_id % 40) ELSE 'ZZ-' || product_id || '/' || upper(brand) || '-' || (product_id % 40) END AS rm, CASE WHEN product_id % 3 = 0 THEN 'Supreme ' || name ELSE name END AS rn FROM market_products),
 l AS (SELECT s_suppkey * 40 + j AS lid, 'brand#' || (s_suppkey % 25) || ' ' || j AS lm, CASE WHEN j % 2 = 0 THEN 'small ring' ELSE 'green widget' END AS ln FROM supplier, (SELECT unnest(range(40)) AS j)),
 a AS (SELECT lid, ln, product_id, rn, prio FROM (SELECT *, {_norm_sql('lm')} AS k FROM l) JOIN (SELECT *, 0 AS prio, rm AS k FROM r UNION ALL SELECT *, 2, split_part(rm, '/', 1) FROM r WHERE rm LIKE '%/%' UNION ALL SELECT *, 2, split_part(rm, '/', -1) FROM r WHERE rm LIKE '%/%') USING (k) WHERE prio = 0 OR length(k) >= 6
  UNION ALL SELECT lid, ln, product_id, rn, 1 FROM l JOIN r ON lm = rm),
@@ -146,7 +146,7 @@ o AS (SELECT lid, product_id, min(prio) AS prio, any_value(ln) AS ln, any_value(
 SELECT lid, product_id AS rid, prio, count(*) OVER (PARTITION BY lid) AS n FROM o QUALIFY row_number() OVER (PARTITION BY lid ORDER BY contains(lower(rn), 'supreme')::INT, (len(list_filter(string_split(lower(ln), ' '), lambda w: length(w) > 3 AND contains(lower(rn), w))) > 0)::INT DESC, prio, product_id) = 1"""))
 def prioritised_match_all(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("product_id")
-    code = F.concat("brand", F.lit("-"), (p % 40).cast("string"))
+    code = F.concat(F.upper("brand"), F.lit("-"), (p % 40).cast("string"))
     r = market_products(spark, d).select("product_id", F.when(p % 2 == 0, code).otherwise(F.concat(F.lit("ZZ-"), p.cast("string"), F.lit("/"), code)).alias("rm"), F.when(p % 3 == 0, F.concat(F.lit("Supreme "), "name")).otherwise(F.col("name")).alias("rn"))
     s = read(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("j"))
     left = s.select((F.col("s_suppkey") * 40 + F.col("j")).alias("lid"), F.concat(F.lit("brand#"), (F.col("s_suppkey") % 25).cast("string"), F.lit(" "), F.col("j").cast("string")).alias("lm"), F.when(F.col("j") % 2 == 0, "small ring").otherwise("green widget").alias("ln"))
