@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -17,6 +16,10 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 HOT_SHARE = 1 / 500
 
 
+#: Folders made by this driver and not deleted yet.
+_MADE: set[str] = set()
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that the session names; a temporary one only where none is set (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,18 +28,59 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
+#: Spark removes the shuffle files of a query at its end if this is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str, bucket: tuple[int, list[str]] | None = None) -> None:
+    """Write a DataFrame as Parquet; the shuffle files of the write go with its end. With bucket=(n, keys) it becomes an
+    external table of n buckets, each sorted by the keys, whose joins by them need neither a shuffle nor a new deal."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out = df.write.option("compression", "zstd")
+        if bucket is None:
+            out.parquet(path)
+        else:
+            out.bucketBy(bucket[0], *bucket[1]).sortBy(*bucket[1]).option("path", path).format("parquet").saveAsTable(path.rpartition("/")[2].replace("-", "_"))
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage ends there, and a lost executor costs one stage."""
+    """Write a DataFrame to the shared folder and read it back: lineage ends there, and a lost executor costs one stage.
+    Tables that nothing reads any more go by `drop`, those that a result still reads by `clear`."""
     spark, path, schema = df.sparkSession, work_path(df.sparkSession, name), df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    # The table replaces what led to it: a collection lets Spark's cleaner drop the shuffle files of those stages now.
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    written(df, path)
+    out = spark.read.schema(schema).parquet(path)
+    out._work = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_work", None):
+            _delete(t.sparkSession, path)
+            _MADE.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all work tables this driver has made. Results that were not written or collected yet can't be read after it."""
+    for path in sorted(_MADE):
+        _delete(spark, path)
+    _MADE.clear()
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, weight: Column | None = None) -> DataFrame:
