@@ -1,15 +1,16 @@
 """Main-text extraction from HTML by tag-path ratios.
 
-The text nodes of a page are grouped by the tag path from the root to their element. Per path: characters and
-punctuation per node. The sequence of path ratios in page order is smoothed with its neighbours, the two are fused, and
-nodes over a threshold are content. The lowest element that holds nearly all content is the article; its text is taken
-whole, headings and short paragraphs too, but for elements that are boilerplate by their tag or name.
+The text of a page lies in blocks; blocks are grouped by the tag path from the root to their element. Per path: characters
+and punctuation per block. The sequence of both in page order is smoothed with its neighbours, the two are fused, weighed
+by what the path's tags and names say, and averaged over the path. Paths over a threshold are content. The lowest element
+around all content blocks, with headings and paragraphs that stand beside it, is the article. Inside it a block goes only
+if its path is no content and one of its steps stands for boilerplate: a menu of links, a footer, comments and the like.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -19,14 +20,23 @@ from pyspark.sql import functions as F
 
 # HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math canvas object audio video select button".split())
-NOISE = frozenset("head nav footer aside form menu dialog figcaption".split()) | RAW
+#: Elements whose inside is no markup, or shows no text of the page.
+RAW = frozenset("script style textarea title noscript iframe template noembed noframes svg canvas audio video select".split())
+#: Elements that stand for boilerplate; a header does outside an article.
+ASIDE = frozenset("head nav footer aside form menu".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks of running text: a link that is all of one is no menu.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption pre caption dt dd".split())
+#: Beside the content, these belong to it.
+BESIDE = frozenset("p h1 h2 h3 blockquote figure figcaption pre hgroup".split())
 #: Starting one of these ends an open p.
 ENDS_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
+#: Ends of other tags than blocks do not reach out of these.
+SCOPES = frozenset("article main body td th".split())
+P_BOUND, SCOPE = "#p", "#scope"
 #: Starting the key ends an open element of the values, up to the nearest of the third.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
@@ -38,150 +48,250 @@ NAMES = frozenset(
     "sidebar side rail footer masthead cookie cookies consent notice gdpr popup modal newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations comment comments disqus reply replies respond pagination pager toolbar widget copyright disclaimer".split()
 )
-HEADER_NAMES = frozenset({"header"})
+#: Before a name, these say that an element has it, not that it is it.
+ABOUT = frozenset("has no with without show hide is not".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A path is content from this share of the best path's score on.
+LEAST = 0.1
+#: What an article, a main element, and boilerplate weigh.
+ARTICLE, MAIN, BOILERPLATE = 3.0, 2.0, 0.02
+
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>=]")
+QUOTE = re.compile(r"\s*([\"']?)")
+ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|open)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？؟،]")
+ENDS_RAW = {t: re.compile(f"</{t}", re.I) for t in RAW}
 
 
-def _named_noise(attrs: str) -> bool:
+def attributes(attrs: str) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, is named as boilerplate, and is open."""
+    hidden = named = opened = False
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name in ("class", "id", "role") and not NAMES.isdisjoint(SPLIT_NAME.split(CAMEL.sub("-", value).lower())):
-            return True
-    return False
-
-
-class Element:
-    __slots__ = ("tag", "path", "parent", "noise", "depth")
-
-    def __init__(self, tag: str, parent: Element | None, noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.depth = parent.depth + 1 if parent else 0
-
-
-def nodes_of(html: str) -> list[tuple[Element, str, int]]:
-    """(element, decoded text, number of the block it lies in) of each text node outside raw elements, in page order.
-    Unclosed elements end as browsers end them: p at the next block, li, td and the like at the next of their kind."""
-    root = Element("", None, False)
-    stack, out, block = [root], [], 0
-    at, n = 0, len(html)
-    low = None
-    while at < n:
-        m = TOKEN.match(html, at)
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            text = m.group()
-            if not text.startswith("<!--") and not text.startswith("<!") and not text.startswith("<?"):
-                out.append((stack[-1], text, block))
-            continue
-        tag = tag.lower()
-        if m.group(1):
+        if name == "open":
+            opened = True
+        elif name == "hidden":
+            hidden = True
+        elif name in ("aria-hidden", "style"):
+            hidden |= value == "true" if name == "aria-hidden" else bool(HIDDEN.search(value))
+        else:
+            for word in value.split():
+                parts = SPLIT_NAME.split(CAMEL.sub("-", word).lower())
+                named |= not NAMES.isdisjoint(parts) and ABOUT.isdisjoint(parts)
+    return hidden, named, opened
+
+
+class Page:
+    """Elements (a parent comes before its children) and text nodes (element, text, block, whether in a link). Unclosed
+    elements end as browsers end them: p at the next block, li, td and the like at the next of their kind. One pass,
+    linear in the page: searches for what is not there are not repeated."""
+
+    def __init__(self, html: str):
+        self.tag, self.parent, self.named, self.gone = [""], [-1], [False], [False]
+        self.nodes: list[tuple[int, str, int, bool]] = []
+        self._read(html)
+
+    def _end(self, html: str, at: int, missing: set[str]) -> int:
+        """Behind the tag that starts before `at`; quotes open only after an equals sign."""
+        while m := STOP.search(html, at):
+            if m.group() == ">":
+                return m.end()
+            q = QUOTE.match(html, m.end())
+            at, quote = q.end(), q.group(1)
+            if quote and quote not in missing:
+                close = html.find(quote, at)
+                if close < 0:
+                    missing.add(quote)
+                else:
+                    at = close + 1
+        return len(html)
+
+    def _read(self, html: str) -> None:
+        tags, parents, nodes = self.tag, self.parent, self.nodes
+        stack, missing = [0], set()
+        places: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag and group
+        at, n, block = 0, len(html), 0
+
+        def open_at(names: Iterable[str]) -> int:
+            return max((places[k][-1] for k in names if places.get(k)), default=-1)
+
+        def groups(tag: str) -> list[str]:
+            return [tag] + [P_BOUND] * (tag in ENDS_P) + [SCOPE] * (tag in SCOPES)
+
+        def close(i: int) -> None:
+            for e in stack[i:]:
+                for k in groups(tags[e]):
+                    places[k].pop()
+            del stack[i:]
+
+        def end(kinds: Iterable[str], bounds: Iterable[str]) -> None:
+            i = open_at(kinds)
+            if i > 0 and i >= open_at(bounds):
+                close(i)
+
+        while at < n:
+            lt = html.find("<", at)
+            if lt != at:
+                nodes.append((stack[-1], html[at : lt if lt >= 0 else n], block, bool(places.get("a"))))
+                at = lt if lt >= 0 else n
+                continue
+            m = TAG.match(html, at)
+            if m is None:
+                if html.startswith("<!--", at):
+                    to = html.find("-->", at + 4)
+                    at = n if to < 0 else to + 3
+                elif html.startswith(("<!", "<?", "</"), at):
+                    to = html.find(">", at)
+                    at = n if to < 0 else to + 1
+                else:
+                    nodes.append((stack[-1], "<", block, bool(places.get("a"))))
+                    at += 1
+                continue
+            tag, start = m.group(2).lower(), m.end()
+            at = self._end(html, start, missing)
             if tag in BLOCKS:
                 block += 1
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body", "td", "th") and tag not in BLOCKS:
-                    break
-            continue
-        if tag in BLOCKS:
-            block += 1
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in ENDS_P:
-                    break
-        if tag in ENDS:
-            ended, bounds = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ended:
-                    del stack[i:]
-                    break
-                if stack[i].tag in bounds:
-                    break
-        if tag in VOID:
-            if tag in ("br", "hr"):
-                out.append((stack[-1], " ", block))
-            continue
-        if tag in RAW:
-            if not m.group(3).endswith("/"):
-                low = html.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                if end < 0:
-                    at = n
-                else:
-                    close = html.find(">", end)
-                    at = n if close < 0 else close + 1
-            continue
-        parent = stack[-1]
-        noise = parent.noise or tag in NOISE or _named_noise(m.group(3)) or (tag == "header" and not _inside(parent, ("article", "main")))
-        if tag in ("article", "main", "body", "html") and not parent.noise:
-            noise = False
-        stack.append(Element(tag, parent, noise))
-    return out
-
-
-def _inside(e: Element | None, tags: tuple[str, ...]) -> bool:
-    while e is not None:
-        if e.tag in tags:
-            return True
-        e = e.parent
-    return False
-
-
-def path_scores(nodes: list[tuple[Element, str, int]]) -> np.ndarray:
-    """The fused, smoothed path ratio of each node."""
-    paths: dict[str, list[float]] = {}
-    for e, text, _ in nodes:
-        p = paths.setdefault(e.path, [0.0, 0.0, 0.0])
-        p[0] += len(text.strip())
-        p[1] += len(PUNCTUATION.findall(text))
-        p[2] += 1
-    ratio = np.array([paths[e.path][0] / paths[e.path][2] for e, _, _ in nodes])
-    marks = np.array([paths[e.path][1] / paths[e.path][2] for e, _, _ in nodes])
-    kernel = np.array([0.25, 0.5, 0.25])
-    smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, mode="valid")
-    return smooth(ratio) * (1.0 + smooth(marks))
+            if m.group(1):
+                end((tag,), () if tag in BLOCKS else (SCOPE,))
+                continue
+            if tag in ENDS_P:
+                end(("p",), (P_BOUND,))
+            if tag in ENDS:
+                end(*ENDS[tag])
+            if tag in VOID:
+                if tag in ("br", "hr"):
+                    nodes.append((stack[-1], " ", block, bool(places.get("a"))))
+                continue
+            attrs = html[start:at]
+            if tag in RAW:
+                if not attrs.endswith("/>") and tag not in missing:
+                    found = ENDS_RAW[tag].search(html, at)
+                    to = html.find(">", found.end()) if found else -1
+                    at = n if to < 0 else to + 1
+                continue
+            hidden, named, is_open = attributes(attrs) if len(attrs) > 1 else (False, False, False)
+            up = stack[-1]
+            tags.append(tag)
+            parents.append(up)
+            self.named.append(named)
+            self.gone.append(self.gone[up] or hidden or (tag == "dialog" and not is_open))
+            stack.append(len(tags) - 1)
+            for k in groups(tag):
+                places.setdefault(k, []).append(len(stack) - 1)
+
+
+class Blocks:
+    """The page's blocks of text: element, text, whether nearly all of it is links; and each one's path and prior."""
+
+    def __init__(self, page: Page):
+        self.page = page
+        nodes = [x for x in page.nodes if not page.gone[x[0]]]
+        self.element, self.text, self.linked = [], [], []
+        i = 0
+        while i < len(nodes):
+            j, parts, plain, element = i, [], 0, -1
+            while j < len(nodes) and nodes[j][2] == nodes[i][2]:
+                e, t, _, link = nodes[j]
+                parts.append(unescape(t))
+                if size := len(t.strip()):
+                    plain += 0 if link else size
+                    element = e if element < 0 else min(element, e)
+                j += 1
+            text = " ".join("".join(parts).split())
+            if text and element >= 0:
+                while page.tag[element] not in BLOCKS and element:
+                    element = page.parent[element]
+                self.element.append(element)
+                self.text.append(text)
+                self.linked.append(3 * plain < len(text))
+            i = j
+        self._priors()
+
+    def _priors(self) -> None:
+        """Per element: the number of its path, and the weight of its tags and names."""
+        tags, parents, named = self.page.tag, self.page.parent, self.page.named
+        weight = [0.0] * len(tags)
+        around = [False] * len(tags)  # an article or main element lies inside
+        for e, t, linked in zip(self.element, self.text, self.linked):
+            weight[e] += 0 if linked else len(t)
+        for e in range(len(tags) - 1, 0, -1):
+            weight[parents[e]] += weight[e]
+            around[parents[e]] |= around[e] or tags[e] in ("article", "main")
+        numbers: dict[tuple[int, str, bool], int] = {}
+        self.path, self.prior = [0] * len(tags), [1.0] * len(tags)
+        inside = [False] * len(tags)
+        for e in range(1, len(tags)):
+            up, tag = parents[e], tags[e]
+            # A name on what holds the article (or most of the text, where no element is marked as one) speaks of layout.
+            noise = named[e] and not around[e] and tag != "main" and tag != "body" and (around[0] or 2 * weight[e] < weight[0])
+            noise |= tag in ASIDE or (tag == "header" and not inside[up])
+            inside[e] = inside[up] or tag in ("article", "main")
+            up_prior = self.prior[up]
+            self.prior[e] = up_prior if up_prior < 1 else BOILERPLATE if noise else max(up_prior, ARTICLE if tag == "article" else MAIN if tag == "main" else 1.0)
+            self.path[e] = numbers.setdefault((self.path[up], tag, noise), len(numbers) + 1)
+
+    def priors(self) -> np.ndarray:
+        """Of each block; a block of links counts as boilerplate unless it is running text."""
+        tags = self.page.tag
+        return np.array([min(self.prior[e], BOILERPLATE) if linked and tags[e] not in TEXT else self.prior[e] for e, linked in zip(self.element, self.linked)])
+
+    def scores(self) -> np.ndarray:
+        """The fused and smoothed ratio of each block's path, times its prior."""
+        keys = [(self.path[e], linked) for e, linked in zip(self.element, self.linked)]
+        number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        of = np.array([number[k] for k in keys])
+        count = np.bincount(of)
+        mean = lambda x: (np.bincount(of, weights=x) / count)[of]
+        smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), [0.25, 0.5, 0.25], mode="valid")
+        chars = smooth(mean(np.array([len(t) for t in self.text], float)))
+        marks = smooth(mean(np.array([len(PUNCTUATION.findall(t)) for t in self.text], float)))
+        return mean(chars * (1.0 + marks)) * self.priors()
+
+
+def _around(page: Page, elements: list[int]) -> int:
+    """The lowest element around all of these; a parent has a smaller number than its children."""
+    held = [0] * len(page.tag)
+    for e in elements:
+        held[e] += 1
+    for e in range(len(held) - 1, 0, -1):
+        if held[e] == len(elements):
+            return e
+        held[page.parent[e]] += held[e]
+    return 0
 
 
 def extract(html: str | None) -> str:
     """The main text: blocks in page order, one per line; empty if there is none."""
-    nodes = [x for x in nodes_of(html or "") if not x[0].noise]
-    if not any(t.strip() for _, t, _ in nodes):
+    page = Page(html or "")
+    blocks = Blocks(page)
+    if not blocks.text:
         return ""
-    real = [x for x in nodes if x[1].strip()]
-    score = path_scores(real)
-    content = score >= 0.1 * score.max()
-    weight = np.array([len(t.strip()) for _, t, _ in real]) * content
-    total = weight.sum()
-    held: dict[Element, float] = {}
-    for (e, _, _), w in zip(real, weight):
-        while e is not None and w:
-            held[e] = held.get(e, 0.0) + float(w)
-            e = e.parent
-    # The deepest element with 90 % of the content; several articles side by side share their parent. A paragraph alone
-    # is not an article: its container may hold a heading.
-    best = max((e for e, w in held.items() if w >= 0.9 * total and e.tag not in ("p", "b", "i", "em", "strong", "span", "a", "h1", "h2", "h3", "h4", "h5", "h6")), key=lambda e: e.depth)
-    blocks: dict[int, list[str]] = {}
-    for e, text, block in nodes:
-        x = e
-        while x is not None and x is not best:
-            x = x.parent
-        if x is best:
-            blocks.setdefault(block, []).append(unescape(text))
-    lines = [" ".join("".join(parts).split()) for _, parts in sorted(blocks.items())]
-    return "\n".join(x for x in lines if x)
+    tags, parents = page.tag, page.parent
+    score, prior = blocks.scores(), blocks.priors()
+    content = score >= LEAST * score.max()
+    top = _around(page, [blocks.element[i] for i in np.flatnonzero(content)])
+    while tags[top] not in BLOCKS - TEXT - {"li"} and top:  # a paragraph is not an article
+        top = parents[top]
+    # Headings and paragraphs beside the content belong to it.
+    good = {e for e, p in zip(blocks.element, prior) if p >= 1}
+    beside: dict[int, set[int]] = {}
+    for e in good:
+        if tags[e] in BESIDE:
+            beside.setdefault(parents[e], set()).add(e)
+    while top and tags[top] != "main" and tags[top] != "body":
+        up = parents[top]
+        if beside.get(up) and (tags[top] != "article" or tags[up] == "main"):
+            top = up
+        else:
+            break
+    inside = [False] * len(tags)
+    for e in range(top, len(tags)):
+        inside[e] = e == top or (e > top and inside[parents[e]])
+    return "\n".join(t for i, t in enumerate(blocks.text) if inside[blocks.element[i]] and (content[i] or prior[i] >= 1))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
