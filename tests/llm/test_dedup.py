@@ -10,7 +10,7 @@ import xxhash
 from tidemark.llm import queries, simhash
 from tidemark.llm.components import components
 from tidemark.llm.line_dedup import LineRuns, drop_frequent_lines, lines_of
-from tidemark.llm.substring_dedup import Automaton, substring_dedup
+from tidemark.llm.substring_dedup import LAST, Automaton, find_repeats, pieces, substring_dedup
 
 
 def sha(s):
@@ -90,6 +90,28 @@ def test_substrings_odd(odd_docs, clashing, no_docs):
     assert substring_dedup(no_docs).count() == 0
 
 
+def test_pieces_hold_every_window():
+    for n in (4, 5, 9, 10, 11, 57):
+        got = pieces(n, 4, 10)
+        assert max(b - a for a, b in got) <= 10 and got[-1][1] == n
+        assert all(any(a <= i and i + 4 <= b for a, b in got) for i in range(n - 3))
+
+
+def test_a_long_owner_is_dealt_over_shards(spark):
+    """One long text with two copies, cut anew in the last; and many texts without an id, of which one repeats it."""
+    long = [f"w{i * 7919 % 100003}" for i in range(3000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(["x", *long[500:1500], "y", *long[100:130]]))]
+    rows += [(None, " ".join([f"u{i}", *(f"n{i}_{j}" for j in range(12))])) for i in range(10_000)] + [(None, " ".join(["z", *long[700:800]]))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    want = {d: g for d, _, g, _ in brute_windows(rows[:3], 10)}
+    ranges = find_repeats(docs, 10, shard_words=200, piece_words=100).collect()
+    gone: dict = {}
+    for r in ranges:
+        gone.setdefault(r["doc_id"], set()).update(range(r["from"], r["until"]))
+    assert {d: len(g) for d, g in gone.items()} == {2: want[2], 3: want[3], LAST: 100}
+    assert len({r["t"] for r in ranges if r["doc_id"] == LAST}) == 1
+
+
 def test_automaton_knows_owners():
     rng = np.random.default_rng(3)
     seqs = [([b"%d" % x for x in rng.integers(0, 3, rng.integers(5, 30))], int(o)) for o in rng.integers(0, 50, 12)]
@@ -98,9 +120,9 @@ def test_automaton_knows_owners():
         auto.add(ws, o)
     auto.finish()
     for ws in [s for s, _ in seqs] + [[b"%d" % x for x in rng.integers(0, 3, 40)] for _ in range(20)]:
-        for before in (10, 30, 60):
-            want = [i for i in range(4, len(ws)) if any(o < before and tuple(ws[i - 4 : i + 1]) in {tuple(s[j : j + 5]) for j in range(len(s) - 4)} for s, o in seqs)]
-            assert auto.ends(ws, 5, before) == want
+        grams = [({tuple(s[j : j + 5]) for j in range(len(s) - 4)}, o) for s, o in seqs]
+        want = [LAST] * min(4, len(ws)) + [min([o for g, o in grams if tuple(ws[i - 4 : i + 1]) in g], default=LAST) for i in range(4, len(ws))]
+        assert auto.owners(ws, 5) == want
 
 
 def brute_fingerprint(text, n=4):

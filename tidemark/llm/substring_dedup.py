@@ -2,16 +2,18 @@
 
 1. Winnowed anchors (the least 16-word hash of each window) tell which windows could repeat: a window and its anchor
    repeat together. Only spans around anchors found in two documents go on.
-2. Equal spans are counted once; the copies after the first document go whole.
-3. Hashes of the remaining windows give the reference: of each window held by several documents the first place. Its
-   passages are dealt by owner into shards of bounded size.
-4. Each shard's passages become one suffix automaton of words, with the least owner of each state. The spans that share
-   an anchor with a shard are streamed through it; where the matching statistic reaches the window's length and the
-   state's owner is a smaller document, the words are removed. Words are compared, not hashes.
+2. Equal spans, by a 128-bit hash, are matched once for all their copies.
+3. Window hashes of the different spans give the reference: each window that several documents hold, at its first place.
+   These passages are cut into pieces that overlap by a window less one word, and the pieces dealt into shards of bounded
+   size.
+4. Each shard's pieces become one suffix automaton of words, with the least owner of each state. The spans that share a
+   window with a piece are streamed through its shard; where the matching statistic reaches the window's length, the
+   state's owner is noted, and the words go from every document with a greater id. Words are compared, not hashes.
 
 Automata go to the spans that can match them, not to all documents: sending every shard to every document would grow
-with the square of the corpus. A shard with many spans is copied to several tasks, so a passage that a third of the
-documents share is spread.
+with the square of the corpus. Each window names one shard, so routes are at most as many as windows. A shard with many
+spans is copied to several tasks, so a passage that a third of the documents share is spread. A collision of 64-bit window
+hashes can hide a repeat from its shard; it never removes a word.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, lookup, table
+from .common import drop, hot_keys, lookup, table
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-#: Words of reference passages in a shard, and spans that one copy of a shard's automaton serves.
-SHARD_WORDS, SHARD_SPANS = 40_000, 4_000
+#: Words of reference pieces in a shard, of one piece, and spans that one copy of a shard's automaton serves.
+SHARD_WORDS, PIECE_WORDS, SHARD_SPANS = 40_000, 4_000, 4_000
 LAST = (1 << 63) - 1
 
 
@@ -123,12 +125,12 @@ class Automaton:
         for v in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
             self.owner[self.link[v]] = min(self.owner[self.link[v]], self.owner[v])
 
-    def ends(self, ws: list[bytes], window: int, before: int) -> list[int]:
-        """Places i such that the `window` words that end at i occur in a sequence owned by less than `before`."""
+    def owners(self, ws: list[bytes], window: int) -> list[int]:
+        """For each place the least owner of a sequence with the `window` words that end there; LAST without one."""
         nxt, link, length, owner = self.next, self.link, self.len, self.owner
         v = n = 0
         out = []
-        for i, w in enumerate(ws):
+        for w in ws:
             while v and w not in nxt[v]:
                 v = link[v]
                 n = length[v]
@@ -138,8 +140,9 @@ class Automaton:
                 n = window  # the state of just the last `window` words
                 while length[link[v]] >= n:
                     v = link[v]
-                if owner[v] < before:
-                    out.append(i)
+                out.append(owner[v])
+            else:
+                out.append(LAST)
         return out
 
 
@@ -148,11 +151,17 @@ def _col(values: list | np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _text_key(text_col: str) -> Column:
-    """Tells rows of one id with different texts apart; few bits, as it travels with every anchor."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 24)).cast("int")
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
 
+def pieces(n: int, window: int, size: int) -> list[tuple[int, int]]:
+    """(from, until) of the pieces of n words: every window lies whole in one, and none is longer than `size`."""
+    step = max(1, size - window + 1)
+    return [(i, min(n, i + step + window - 1)) for i in range(0, max(1, n - window + 1), step)]
 
-def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def find_repeats(docs: DataFrame, window: int = 50, shard_words: int = SHARD_WORDS, piece_words: int = PIECE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, t (hash of the text) and ranges (from, until) of words to remove; the ranges may overlap."""
     if window < 4:
         raise ValueError("window must be at least 4 words")
@@ -170,11 +179,11 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
                     a.append(g[places].view(np.int64))
                     p.append(places)
                     d.append(np.full(len(places), doc, np.int64))
-                    t.append(np.full(len(places), key, np.int32))
+                    t.append(np.full(len(places), key, np.int64))
             if d:
-                yield pa.RecordBatch.from_arrays([_col(np.concatenate(x), k) for x, k in ((d, i64), (t, i32), (a, i64))] + [_col(np.concatenate(p), pa.int32())], ["doc_id", "t", "a", "pos"])
+                yield pa.RecordBatch.from_arrays([_col(np.concatenate(x), i64) for x in (d, t, a)] + [_col(np.concatenate(p), i32)], ["doc_id", "t", "a", "pos"])
 
-    found = table(base.mapInArrow(anchored, "doc_id long, t int, a long, pos int"), "anchors")
+    found = table(base.mapInArrow(anchored, "doc_id long, t long, a long, pos int"), "anchors")
     # An anchor in two documents is a candidate. min and max are combined before the shuffle.
     twice = table(found.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y").select("a", "n"), "repeated-anchors")
     hot = table(hot_keys(twice, ["a"], weight=f64("n")), "hot-anchors")
@@ -182,90 +191,96 @@ def find_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(6)]
             for doc, key, text, at_list in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2), rb.column(3)):
                 ws = words(text.as_py())
                 g, at = anchors(hashes(ws), window)
                 good = np.zeros(len(g), bool)
-                good[np.array(at_list.as_py())] = True
+                good[at_list.values.to_numpy(zero_copy_only=False)] = True
                 for s, e in runs(good[at]):
                     part = b" ".join(ws[s : e + window - 1])
-                    for x, v in zip(out, (doc, key, s, e - s, xxhash.xxh3_128_digest(part), part.decode(), np.unique(g[at[s:e]]).view(np.int64))):
+                    for x, v in zip(out, (doc, key, s, e - s, xxhash.xxh3_128_digest(part), part.decode())):
                         x.append(v)
-            kinds = (i64, i32, i32, i32, pa.binary(), pa.string(), pa.list_(i64))
-            yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, kinds)], ["doc_id", "t", "start", "n", "h", "words", "anchors"])
+            kinds = (i64, i64, i32, i32, pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, kinds)], ["doc_id", "t", "start", "n", "h", "words"])
 
-    spanned = table(base.join(places.hint("merge"), ["doc_id", "t"]).mapInArrow(spans, "doc_id long, t int, start int, n int, h binary, words string, anchors array<long>"), "spans")
-    owners = table(spanned.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "span-owners")
-    hot_spans = table(hot_keys(owners, ["h"], weight=f64("copies")), "hot-spans")
-    marked = table(lookup(spanned, owners.select("h", "first"), ["h"], hot_spans, "inner"), "marked-spans")
-    copies = marked.where("doc_id > first").select("doc_id", "t", f64("start").alias("from"), (f64("start") + f64("n") + (window - 1)).alias("until"))
-    firsts = marked.where("doc_id = first").drop("first", "h")
+    spanned = table(base.join(places.hint("merge"), ["doc_id", "t"]).mapInArrow(spans, "doc_id long, t long, start int, n int, h binary, words string"), "spans")
+    drop(found, twice, hot)
+    first = F.min(F.struct("doc_id", "t", "start")).alias("first")
+    owners = table(spanned.groupBy("h").agg(first, F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("copies")).select("h", "first.*", "last", "copies"), "span-owners")
+    # Of equal spans the first; a place is a key on both sides, so none is hot.
+    firsts = spanned.drop("h", "n").join(owners.drop("copies").hint("merge"), ["doc_id", "t", "start"])
+    firsts = table(firsts.select(F.monotonically_increasing_id().alias("span"), "h", "doc_id", "last", "words"), "first-spans")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for doc, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+            for span, doc, last, text in zip(*(rb.column(k).to_pylist() for k in range(4))):
                 w = rolling(hashes(words(text)), window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([_col(w, i64), _col(np.full(len(w), doc), i64)], ["w", "doc_id"])
+                yield pa.RecordBatch.from_arrays([_col(w, i64), *(_col(np.full(len(w), v), i64) for v in (span, doc, last))], ["w", "span", "doc_id", "last"])
 
-    # The least document of each window that several hold; two numbers per window, combined before the shuffle.
-    first_place = (
-        firsts.select("doc_id", "words").mapInArrow(windows, "w long, doc_id long")
-        .groupBy("w").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
-        .where("x < y").groupBy(f64("x").alias("doc_id")).agg(F.collect_list("w").alias("repeated"))
-    )
+    rolled = table(firsts.select("span", "doc_id", "last", "words").mapInArrow(windows, "w long, span long, doc_id long, last long"), "windows")
+    # The least document of each window that several hold; combined before the shuffle.
+    held = rolled.groupBy("w").agg(F.min("doc_id").alias("x"), F.max("last").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+    held = table(held.select("w", "x", "n"), "window-owners")
+    own = held.groupBy(f64("x").alias("doc_id")).agg(F.collect_list("w").alias("repeated"))
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out: list[list] = [[] for _ in range(4)]
             for doc, text, repeated in zip(*(rb.column(k) for k in range(3))):
                 ws = words(text.as_py())
-                h = hashes(ws)
-                flags = np.isin(rolling(h, window).view(np.int64), repeated.values.to_numpy(zero_copy_only=False))
-                g, first = anchors(h, window)
-                for s, e in runs(flags):
-                    for x, v in zip(out, (doc.as_py(), b" ".join(ws[s : e + window - 1]).decode(), e - s + window - 1, np.unique(g[first[s:e]]).view(np.int64))):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, (i64, pa.string(), pa.int32(), pa.list_(i64)))], ["owner", "words", "n", "anchors"])
+                rolled_ = rolling(hashes(ws), window).view(np.int64)
+                for s, e in runs(np.isin(rolled_, repeated.values.to_numpy(zero_copy_only=False))):
+                    for a, b in pieces(e - s + window - 1, window, piece_words):
+                        for x, v in zip(out, (doc.as_py(), b" ".join(ws[s + a : s + b]).decode(), b - a, rolled_[s + a : s + b - window + 1])):
+                            x.append(v)
+            yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, (i64, pa.string(), i32, pa.list_(i64)))], ["owner", "words", "n", "ws"])
 
-    reference = table(firsts.join(first_place, "doc_id").select("doc_id", "words", "repeated").mapInArrow(passages, "owner long, words string, n int, anchors array<long>"), "reference")
+    reference = table(firsts.join(own, "doc_id").select("doc_id", "words", "repeated").mapInArrow(passages, "owner long, words string, n int, ws array<long>"), "reference")
     total = reference.agg(F.sum("n")).first()[0] or 0  # one number, to size the shards
-    n_shards = 1 + total // SHARD_WORDS
-    reference = reference.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(n_shards)))
-    of_anchor = reference.select("shard", "owner", F.explode("anchors").alias("a")).groupBy("a", "shard").agg(F.min("owner").alias("owner"))
-    asked = firsts.select("doc_id", "t", "start", F.explode("anchors").alias("a"))
-    routes = table(asked.join(of_anchor, "a").where("owner < doc_id").select("doc_id", "t", "start", "shard").distinct(), "routes")
+    shard = F.pmod(F.xxhash64("owner", f64("ws")[0]), F.lit(1 + total // shard_words))
+    reference = reference.withColumn("shard", shard)
+    of_window = reference.select("shard", "owner", F.explode("ws").alias("w")).groupBy("w").agg(F.min(F.struct("owner", "shard")).alias("o")).select("w", "o.*")
+    hot_windows = table(hot_keys(held, ["w"], weight=f64("n")), "hot-windows")
+    # A span goes where its windows are, if a document with a copy of it comes after the owner.
+    routes = lookup(rolled.select("w", "span", "last"), table(of_window, "window-shards"), ["w"], hot_windows, "inner")
+    routes = table(routes.where("owner < last").select("span", "shard").distinct(), "routes")
+    drop(rolled, held)
     copies_of = routes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_SPANS).cast("int").alias("salts"))
-    stream = routes.join(copies_of, "shard").join(firsts.select("doc_id", "t", "start", "words"), ["doc_id", "t", "start"]).select(
-        "shard", F.pmod(F.xxhash64("doc_id", "start"), f64("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "t", "start", "words")
+    stream = routes.join(copies_of, "shard").join(firsts.select("span", "words"), "span").select(
+        "shard", F.pmod(F.xxhash64("span"), f64("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), f64("span").alias("id"), "words")
     served = reference.join(copies_of, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0), f64("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), f64("owner").alias("doc_id"), F.lit(0).alias("t"), F.lit(0).alias("start"), "words")
+        "shard", F.explode(F.sequence(F.lit(0), f64("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), f64("owner").alias("id"), "words")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, auto, done = None, Automaton(), False
         for rb in batches:
             out: list[list] = [[] for _ in range(4)]
-            for shard, salt, kind, doc, key, start, text in zip(*(rb.column(k) for k in range(7))):
+            for shard, salt, kind, id_, text in zip(*(rb.column(k) for k in range(5))):
                 here, ws = (shard.as_py(), salt.as_py()), words(text.as_py())
                 if here != at:
                     at, auto, done = here, Automaton(), False
                 if kind.as_py() == 0:
-                    auto.add(ws, doc.as_py())
+                    auto.add(ws, id_.as_py())
                     continue
                 if not done:
                     auto.finish()
                     done = True
-                ends = auto.ends(ws, window, doc.as_py())
-                if ends:
-                    flags = np.zeros(len(ws), bool)
-                    flags[ends] = True
-                    for s, e in runs(flags):
-                        for x, v in zip(out, (doc.as_py(), key.as_py(), start.as_py() + s - window + 1, start.as_py() + e)):
+                found_ = np.array(auto.owners(ws, window), np.int64)
+                edges = np.flatnonzero(np.diff(found_)) + 1
+                for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(ws)]):
+                    if found_[s] < LAST:
+                        for x, v in zip(out, (id_.as_py(), s - window + 1, e, int(found_[s]))):
                             x.append(v)
-            yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, (i64, i32, i32, i32))], ["doc_id", "t", "from", "until"])
+            yield pa.RecordBatch.from_arrays([_col(x, k) for x, k in zip(out, (i64, i32, i32, i64))], ["span", "from", "until", "owner"])
 
-    hits = stream.unionByName(served).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(matched, "doc_id long, t int, from int, until int")
-    return copies.unionByName(hits)
+    hits = stream.unionByName(served).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(matched, "span long, from int, until int, owner long")
+    per_span = hits.groupBy("span").agg(F.collect_list(F.struct("from", "until", "owner")).alias("hits"))
+    per_span = table(per_span.join(firsts.select("span", "h"), "span").select("h", "hits"), "span-hits")
+    hot_spans = table(hot_keys(owners, ["h"], weight=f64("copies")), "hot-spans")
+    copies = lookup(spanned.select("doc_id", "t", "start", "h"), per_span, ["h"], hot_spans, "inner")
+    ranges = copies.select("doc_id", "t", "start", F.inline("hits")).where("owner < doc_id")
+    return ranges.select("doc_id", "t", (f64("start") + f64("from")).alias("from"), (f64("start") + f64("until")).alias("until"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,7 +291,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     no words. Rows of one id are one document: they never remove from each other. A null id counts as the greatest.
     Input columns named n_words or n_removed are replaced.
     """
-    ranges = table(find_repeats(docs, window, id_col, text_col), "repeats").groupBy("doc_id", "t").agg(F.collect_list(F.struct("from", "until")).alias("__ranges"))
+    ranges = table(find_repeats(docs, window, id_col=id_col, text_col=text_col), "repeats").groupBy("doc_id", "t").agg(F.collect_list(F.struct("from", "until")).alias("__ranges"))
     ranges = ranges.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "__ranges")
     docs = docs.drop("n_words", "n_removed")
     on = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__d")) & (_text_key(text_col) == F.col("__t"))
