@@ -4,11 +4,13 @@ A word's parts lie side by side in one row of an array, with the rank of each ad
 rank is searched by a scan, the boundary there is deleted (both rows close up), and the ranks of the two neighbouring
 pairs are looked up again, until no pair has a rank. Words of one length form a block, so each scan, deletion and look-up
 is one array operation over thousands of words. Texts are split at white space into chunks; the pieces of a chunk do not
-depend on its surroundings, so a bounded memory of chunks spares most of the work.
+depend on its surroundings, so a bounded memory of chunks spares most of the work. Scans cost the square of a word's length:
+words of more than LONG bytes keep their parts in a linked row and their pairs in a heap, which gives the same ids.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -26,6 +28,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 ODD = regex.compile("[\x1c-\x1f]")
 SPLIT = regex.compile(f"[{SPACE}]+")
+#: Bytes of a word from which pairs go to a heap.
+LONG = 512
 #: Marks a special token among the pieces; as white space it can start no other piece.
 SPECIAL = "\n"
 
@@ -55,6 +59,7 @@ class WordBPE:
         self.pairs, self.ranks = pairs[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.table: dict[int, int] | None = None  # ranks by pair, made when a long word comes
         self.limit = limit
         self.numbers = list(map(str, range(len(self.names))))
         self.known: dict[str, tuple[str, str, int]] = {}
@@ -100,12 +105,40 @@ class WordBPE:
             done[rows, : parts.shape[1]] = parts
         return done
 
+    def long(self, raw: bytes) -> list[int]:
+        """ids of one word of any length in n log n: the least rank, and of equal ranks the leftmost, is merged first."""
+        if self.table is None:
+            self.table = dict(zip(self.pairs.tolist(), self.ranks.tolist()))
+        parts = self.inner[np.frombuffer(raw, np.uint8)].tolist()
+        parts[-1] = int(self.last[raw[-1]])
+        rank, merged, n = self.table.get, self.merged, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i] << 20 | parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != a or j >= n or parts[j] != b:
+                continue  # one of the two was merged meanwhile
+            parts[i], parts[j] = int(merged[r]), -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (x := rank(parts[i] << 20 | parts[k])) is not None:
+                    heapq.heappush(heap, (x, i, parts[i], parts[k]))
+            if (h := before[i]) >= 0 and (x := rank(parts[h] << 20 | parts[i])) is not None:
+                heapq.heappush(heap, (x, h, parts[h], parts[i]))
+        return [p for p in parts if p >= 0]
+
     def words(self, words: list[str]) -> dict[str, list[int]]:
         by_length: dict[int, list[tuple[str, bytes]]] = {}
+        out: dict[str, list[int]] = {}
         for w in words:
             raw = w.encode()
-            by_length.setdefault(len(raw), []).append((w, raw))
-        out: dict[str, list[int]] = {}
+            if len(raw) > LONG:
+                out[w] = self.long(raw)
+            else:
+                by_length.setdefault(len(raw), []).append((w, raw))
         for length, group in by_length.items():
             step = max(1, 200_000 // length)
             for i in range(0, len(group), step):

@@ -2,8 +2,8 @@
 
 A document's ids are cut at multiples of the sequence length; full pieces are sequences of their own. The rests of a
 randomised group of documents are packed longest first, each into the first bin with room, found by descending a
-tournament tree that holds the greatest free capacity below each node. The bins that stay partly filled are topped up:
-their pieces are poured anew and cut where a sequence is full, so at most one sequence of a group has padding.
+tournament tree that holds the greatest free capacity below each node. The few bins that stay partly filled keep their
+pieces; the emptiest give theirs, cut where need be, to fill the others, so at most one sequence of a group has padding.
 """
 
 from __future__ import annotations
@@ -88,21 +88,26 @@ def pack_group(lengths: list[int], capacity: int) -> list[tuple[int, int, int, i
     sizes = np.array(lengths, np.int64)
     bins = first_fit_decreasing(sizes, capacity)
     fill = np.bincount(bins, weights=sizes, minlength=1).astype(np.int64)
-    partly = fill[bins] < capacity
-    out, used = [], np.zeros(len(fill), np.int64)
-    for i in np.flatnonzero(~partly).tolist():
-        b = int(bins[i])
-        out.append((i, 0, int(sizes[i]), b, int(used[b])))
-        used[b] += sizes[i]
-    spare, at = len(fill), 0
-    for i in sorted(np.flatnonzero(partly).tolist(), key=lambda i: (bins[i], i)):  # poured and cut where full
-        start, left = 0, int(sizes[i])
-        while left:
-            n = min(left, capacity - at)
-            out.append((i, start, n, spare, at))
-            start, left, at = start + n, left - n, at + n
-            if at == capacity:
-                spare, at = spare + 1, 0
+    held: list[list[tuple[int, int, int]]] = [[] for _ in fill]
+    for i, b in enumerate(bins.tolist()):
+        held[b].append((i, 0, int(sizes[i])))
+    partly = sorted(np.flatnonzero((fill > 0) & (fill < capacity)).tolist(), key=lambda b: (-fill[b], b))
+    full, giver = 0, len(partly) - 1
+    while full < giver:  # the fullest are filled up from the emptiest
+        to, from_ = held[partly[full]], held[partly[giver]]
+        gap = capacity - sum(n for _, _, n in to)
+        i, start, n = from_.pop()
+        moved = min(gap, n)
+        to.append((i, start, moved))
+        if moved < n:
+            from_.append((i, start + moved, n - moved))
+        full, giver = full + (moved == gap), giver - (not from_)
+    out = []
+    for b, pieces in enumerate(held):
+        at = 0
+        for i, start, n in pieces:
+            out.append((i, start, n, b, at))
+            at += n
     return out
 
 
@@ -110,9 +115,10 @@ def pack(docs: DataFrame, ranks: str, capacity: int = 1024, end_id: int = 0, gro
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids followed by end_id, so null and empty texts have one id. Each id lies in one piece; sequences
-    are full but for at most one per group of about group_docs documents. Groups come from a seeded hash of id and
-    text, which gives the same packing when a lost task is run again. `ranks` is a tiktoken file at the same place on
-    every executor. Repeated rows are packed as often as they come; a null id is kept. Long texts cost no more memory
+    are full but for at most one per group of about group_docs documents. Groups come from a seeded hash of id, text and
+    the row's number in a table of ids written before, so a task that is run again packs alike, and rows that repeat are
+    spread over the groups. `ranks` is a tiktoken file at the same place on every executor. Repeated rows are packed as
+    often as they come; a null id is kept. Long texts cost no more memory
     than their own ids: only a document's rest, less than `capacity` ids, is shuffled. Other columns are not read.
     """
     if capacity < 1 or capacity > 1 << 20:
@@ -134,7 +140,8 @@ def pack(docs: DataFrame, ranks: str, capacity: int = 1024, end_id: int = 0, gro
                     [rb.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rests, pa.binary()), rb.column(2)], ["doc_id", "doc_tokens", "crcs", "rest", "h"])
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"))
-    ids = table(read.mapInArrow(tokenised, "doc_id long, doc_tokens long, crcs array<long>, rest binary, h long"), "packing-ids")
+    ids = read.mapInArrow(tokenised, "doc_id long, doc_tokens long, crcs array<long>, rest binary, h long")
+    ids = table(ids.withColumn("h", F.xxhash64("h", F.monotonically_increasing_id())), "packing-ids")
     n_groups = max(1, round((ids.count()) / group_docs))
     grouped = ids.withColumn("g", F.pmod("h", F.lit(n_groups)))
 

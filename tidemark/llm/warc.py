@@ -25,6 +25,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"  # pages carry no date; a fixed one keeps archives equal when a task runs again
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, payload_bytes long"
 GAP, READ = 1 << 16, 8 << 20
+#: A reading task has at most the first many bytes, and no fewer than the second where there are cores to spare.
+TASK_MOST, TASK_LEAST = 256 << 20, 1 << 20
 
 
 def record_id(page_id: int | None) -> str:
@@ -118,7 +120,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
 def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
     """The records of index rows (all, or a selection): page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, and with payloads=True the payload (null for revisits). Digests of payloads are checked. Rows are dealt by
-    blocks of a file, so a large archive is read by many tasks; reads join ranges with gaps below 64 KB, up to 8 MB."""
+    ranges of blocks of a file, over as many tasks as their bytes ask for; reads join ranges with gaps below 64 KB, up to 8 MB."""
     cols = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     names = [c.split(" ")[0] for c in cols.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(names)]
@@ -151,5 +153,11 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
         yield from fetch()
 
     places = index.select("folder", "file", "offset", "length").withColumn("part", F.floor(F.col("offset") / READ))
-    dealt = places.repartition("file", "part").sortWithinPartitions("file", "offset").select("folder", "file", "offset", "length")
+    total = index.agg(F.sum("length")).first()[0] or 0  # one number; the index itself is too small to tell the work
+    n = read_tasks(total, index.sparkSession.sparkContext.defaultParallelism)
+    dealt = places.repartitionByRange(n, "folder", "file", "part").sortWithinPartitions("folder", "file", "offset").select("folder", "file", "offset", "length")
     return dealt.mapInArrow(read, cols)
+
+
+def read_tasks(total: int, cores: int) -> int:
+    return max(1, -(-total // TASK_MOST), min(2 * cores, total // TASK_LEAST))
