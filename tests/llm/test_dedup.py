@@ -43,6 +43,21 @@ def test_lines_odd(odd_docs, clashing):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_the_query_compacts(spark, documents, monkeypatch):
+    """More batches than runs fit a level, so a registered query merges runs; merges and anti joins deal nothing anew."""
+    merged = []
+    kept = LineRuns._merged
+    monkeypatch.setattr(LineRuns, "_merged", lambda self, runs: merged.append(len(runs)) or kept(self, runs))
+    drop_frequent_lines(documents).count()
+    assert merged == [3, 3, 2]
+    runs = LineRuns(spark, 2, fan_out=9)
+    for i in range(2):
+        runs.add(lines_of(documents.where(f"doc_id % 2 = {i}")))
+    joined = runs._merged(runs.levels[0])
+    joined.collect()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_an_empty_table(no_docs):
     assert drop_frequent_lines(no_docs).count() == 0
 
@@ -166,14 +181,6 @@ def test_simhash_odd(odd_docs, clashing, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_keep_one(odd_docs, clashing, no_docs):
-    near = simhash.near_duplicates(odd_docs, 5, 5).collect()
-    kept = [r["doc_id"] for r in simhash.keep_one(clashing).collect()]
-    assert sorted(kept, key=repr) == sorted({r["component_id"] for r in near}, key=repr)
-    assert simhash.keep_one(clashing).columns == clashing.columns
-    assert simhash.keep_one(no_docs).count() == 0
-
-
 def test_golay_keys_meet_within_two_bits():
     _, errors = simhash.golay_tables()
     counts = (errors >= 0).sum(axis=1)

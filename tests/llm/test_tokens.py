@@ -1,6 +1,7 @@
 """Encoding, decoding and packing against the tokenizers library."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -34,6 +35,22 @@ def test_encoding_equals_the_library(words, texts):
         assert decoded == words.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnopqrstuvwxyz", "aé", "a"])
+def test_long_words_equal_the_library(words, letters):
+    rnd = random.Random(3)
+    for n in (511, 512, 513, 700, 20_000):
+        word = "".join(rnd.choice(letters) for _ in range(n))
+        assert encoder(public_tokenizers.path("word_bpe_49k.json")).encode_batch([word])[0][0] == " ".join(map(str, words.encode(word, add_special_tokens=False).ids))
+
+
+def test_long_words_take_near_linear_time():
+    rnd = random.Random(4)
+    start = time.time()
+    for letters in ("a", "abcdefgh"):
+        encoder(public_tokenizers.path("word_bpe_49k.json")).encode_batch(["".join(rnd.choice(letters) for _ in range(200_000))])
+    assert time.time() - start < 30
+
+
 def test_a_small_memory_changes_nothing(texts):
     import json
 
@@ -105,6 +122,31 @@ def test_packing_odd(odd_docs, clashing, no_docs):
     assert packing.pack(no_docs, path).count() == 0
 
 
+def test_rows_that_repeat_are_spread(spark):
+    docs = spark.range(3000).selectExpr("7L as doc_id", "'the same text of a few words' as text")
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), 64, group_docs=100).collect()
+    groups = {}
+    for r in rows:
+        groups[r["sequence_id"] >> 32] = groups.get(r["sequence_id"] >> 32, 0) + (r["start"] == 0)
+    assert sum(groups.values()) == 3000 and len(groups) == 30 and max(groups.values()) < 200
+
+
+def test_filling_keeps_the_bins():
+    rnd = np.random.default_rng(2)
+    sizes = rnd.integers(1, 1024, 500).tolist()
+    got = packing.pack_group(sizes, 1024)
+    first = packing.first_fit_decreasing(np.array(sizes), 1024)
+    fill: dict = {}
+    for i, start, n, b, at in got:
+        assert fill.get(b, 0) == at
+        fill[b] = at + n
+    assert sum(f < 1024 for f in fill.values()) <= 1 and max(fill.values()) <= 1024
+    whole = [i for i, start, n, b, _ in got if n == sizes[i] and b == first[i]]
+    assert len(whole) > 0.9 * len(sizes)
+    for i, size in enumerate(sizes):
+        assert sorted((s, n) for j, s, n, _, _ in got if j == i)[0][0] == 0 and sum(n for j, _, n, _, _ in got if j == i) == size
+
+
 def test_first_fit_decreasing():
     rnd = np.random.default_rng(1)
     sizes = rnd.integers(1, 100, 300)

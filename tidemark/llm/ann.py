@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 LEAF = 64
-#: Rows of the sample that cuts space into cells, and cells, at most. Every row is indexed, whatever the sample.
-SAMPLE, CELLS = 20_000, 1024
-#: See the README for the recall and the work at several factors.
-FACTOR = 6.0
+#: Rows of the sample that cuts space into cells and tries factors, and cells, at most. Every row is indexed, whatever the
+#: sample.
+SAMPLE, CELLS = 8192, 1024
+#: Factors to try, queries to try them with, and the recall over the sample that a factor must keep.
+FACTORS, TRIED, RECALL = (8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25), 200, 0.97
 
 
 class Cells:
@@ -179,31 +180,46 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return out.where(fine).withColumn("dim", F.size("v"))
 
 
-def cells_of(rows: DataFrame, shard_rows: int) -> dict[int, Cells]:
-    """Cells by length of the vectors, cut by a sample of at most SAMPLE rows, those with the least hash of their id."""
+def fitted_factor(sample: np.ndarray, k: int) -> float:
+    """The greatest factor that keeps RECALL over the sample; 1 (exact) where the sample is too small to tell."""
+    n = len(sample)
+    if n < 20 * k:
+        return 1.0
+    ids = np.arange(n)
+    tree, asked = VPTree(ids, sample), ids[:: max(1, n // TRIED)]
+    want = tree.search(asked, sample[asked], k, 1.0)[0][:, -1]  # scores, as copies tie
+    for factor in FACTORS:
+        if (tree.search(asked, sample[asked], k, factor)[0] >= want[:, None]).mean() >= RECALL:
+            return factor
+    return 1.0
+
+
+def fitted(rows: DataFrame, shard_rows: int, k: int, factor: float | None) -> tuple[dict[int, Cells], dict[int, float]]:
+    """Cells, and factors where none is given, by length of the vectors; from a sample of at most SAMPLE rows, those with
+    the least hash of their id."""
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     sizes = {r["dim"]: (r["n"], r["top"]) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).collect()}
-    total = sum(n for n, _ in sizes.values())
-    size = min(SAMPLE, 32 * -(-total // shard_rows))
-    drawn = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(size).select("dim", "v").toPandas() if total > shard_rows else None
-    out = {}
+    drawn = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE).select("dim", "v").toPandas()
+    cells, factors = {}, {}
     for dim, (n, top) in sizes.items():
+        of = np.array(drawn["v"][drawn["dim"] == dim].tolist(), float).reshape(-1, dim)
+        factors[dim] = fitted_factor(of, k) if factor is None else factor
         if n > shard_rows:
-            of = np.array(drawn["v"][drawn["dim"] == dim].tolist(), float).reshape(-1, dim)
-            out[dim] = Cells(of, top, min(CELLS, -(-n // shard_rows)))
-    return out
+            cells[dim] = Cells(of, top, min(CELLS, -(-n // shard_rows)))
+    return cells, factors
 
 
-def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, factor: float = FACTOR, shard_rows: int = 8192, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, factor: float | None = None, shard_rows: int = 8192, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score for each query row (id divisible by query_modulus) against all rows.
 
     Nearness is the inner product in double precision, ties go to the smaller id; a query never finds its own id. Only
     vectors of the query's length are candidates. Null, zero or non-finite vectors and null ids take no part; repeated
     rows of one id give one result each time they are found. Shards hold about shard_rows vectors whatever the size of
-    the table. Of copies of one vector a shard needs only the k + 1 smallest ids.
+    the table. Without a factor, the greatest is taken that keeps 97 % recall over a sample of at most SAMPLE vectors;
+    1 gives exact results. Of copies of one vector a shard needs only the k + 1 smallest ids.
     """
     rows = usable(vectors, id_col, vector_col)
-    cells = cells_of(rows, shard_rows)
+    cells, factors = fitted(rows, shard_rows, k, factor)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -240,7 +256,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, factor: fl
                             if floors:
                                 floor = some.column(3).to_numpy(zero_copy_only=False)
                                 reach = np.sqrt(np.maximum(cells[dim].top + np.einsum("ij,ij->i", q, q) - 2 * floor, 0.0))
-                                go = bound * factor <= reach[:, None] + 1e-9
+                                go = bound * factors[dim] <= reach[:, None] + 1e-9
                                 go[np.arange(len(q)), home] = False
                                 row, cell = np.nonzero(go)
                             else:
@@ -262,7 +278,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, factor: fl
                 held[0] = []
             if tree is not None and held[1]:
                 qid, q, floor = np.array([x[0] for x in held[1]], np.int64), np.array([x[1] for x in held[1]]), np.array([x[2] for x in held[1]])
-                score, found = tree.search(qid, q, k, factor, floor)
+                score, found = tree.search(qid, q, k, factors[at[0]], floor)
                 good = (score > -np.inf) & (score >= floor[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, good.sum(axis=1))), pa.array(found[good]), pa.array(score[good])], ["query_id", "vec_id", "score"])
             held[1] = []

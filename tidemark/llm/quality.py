@@ -84,6 +84,8 @@ P = 3
 OWN_WORDS = 2000
 #: A variance below the first is taken for none (a statistic that does not vary in the half); the second stands for it.
 SINGULAR, RESOLUTION = 1e-8, 0.01
+#: Log determinants that differ by less are taken for equal.
+SETTLED = 1e-4
 #: Up to so many groups (a few MB) their estimates are broadcast.
 FEW_GROUPS = 50_000
 
@@ -150,7 +152,7 @@ def _median(x: str | Column) -> Column:
     return F.percentile_approx(x, 0.5, 10_000)
 
 
-def mcd(stats: DataFrame, keys: list[str], min_group: int = 50, always: Column | None = None, max_steps: int = 30, few: int = FEW_GROUPS) -> DataFrame:
+def mcd(stats: DataFrame, keys: list[str], min_group: int = 50, always: Column | None = None, max_steps: int = 20, few: int = FEW_GROUPS) -> DataFrame:
     """Per group of at least min_group different rows (or those where `always` holds): medians q0.., location m0.. and
     scatter factor l00.. of y = w * (x - q), and `scale`, which makes the median distance that of the chi-squared law.
     stats has the keys, x0.. and w. Equal rows count once, so a text with many copies is no centre of its own."""
@@ -179,7 +181,7 @@ def mcd(stats: DataFrame, keys: list[str], min_group: int = 50, always: Column |
             now = now.withColumn("open", F.lit(True))
         else:
             old = last.select(*by, F.col("logdet").alias("before"))
-            now = now.join(near(old), by).withColumn("open", F.abs(F.col("logdet") - F.col("before")) > 1e-6).drop("before")
+            now = now.join(near(old), by).withColumn("open", F.abs(F.col("logdet") - F.col("before")) > SETTLED).drop("before")
         now = table(now, "mcd-step")
         done.append(now.where("not open"))
         last = now.where("open")
