@@ -60,8 +60,11 @@ def test_token_join_and_size_check(spark):
     a = spark.createDataFrame([(1, "b", ["x", "y", "z"])], "id INT, brand STRING, w ARRAY<STRING>")
     b = spark.createDataFrame([(7, "b", ["x", "y"]), (8, "b", ["x"]), (9, "c", ["x", "y"])], "id INT, brand STRING, w ARRAY<STRING>")
     assert rows(match.token_join(a, b, "id", "id", "w", "w", "brand"), "lid", "rid", "shared") == [(1, 7, 2)]
-    with pytest.raises(ValueError):
-        match.substring_join(b, b.select(F.lit("x").alias("s")), F.lit("a"), F.col("s"), max_small=1)
+    texts = spark.createDataFrame([(1, "a redbolt here"), (2, "bolt"), (3, "bol"), (4, "nothing"), (4, "nothing"), (5, None), (6, "xredbox")], "id INT, t STRING")
+    words = spark.createDataFrame([("redb",), ("bolts",), ("hing",), ("abc",), (None,)], "w STRING")
+    for few in (0, 100):
+        got = match.substring_join(texts, words, F.col("t"), F.col("w"), few=few)
+        assert sorted(r["id"] for r in got.collect()) == [1, 2, 4, 4, 6]
 
 
 def test_empty_tables(spark):
@@ -149,8 +152,8 @@ def test_whole_tables_are_read(spark, data):
     from tidemark.plans import catalog
 
     orders, parts = (spark.read.parquet(f"{data}/{t}.parquet").count() for t in ("orders", "part"))
-    assert catalog.QUERIES["followup_sold_all"](spark, data).count() == orders
-    assert catalog.QUERIES["hit_status_all"](spark, data).select("lid").distinct().count() == parts
+    assert catalog.QUERIES["followup_sold"](spark, data).count() == orders
+    assert catalog.QUERIES["hit_status"](spark, data).select("lid").distinct().count() == parts
 
 
 def test_matches_do_not_pair_rows_under_a_key(spark):
@@ -174,5 +177,5 @@ def test_models_late_in_a_document_are_found(spark, tmp_path):
 
     rows = [(1, "word " * 100 + "DQ8423-100 tail"), (2, "word " * 100), (3, None)]
     spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["model"] for r in catalog.QUERIES["document_models_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["model"] for r in catalog.QUERIES["document_models"](spark, str(tmp_path)).collect()}
     assert got == {1: "DQ8423-100", 2: None}

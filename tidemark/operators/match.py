@@ -64,22 +64,43 @@ def ranked_match(left: DataFrame, right: DataFrame, left_id: str, left_model: st
     return rows.select("id", lid.alias("lid")).join(best, "lid").select(F.col("id").alias("lid"), "rid", "prio", "n")
 
 
+def word_classes(rows: DataFrame, id_col: str, words: str, block: str) -> DataFrame:
+    """Rows of one block with the same words are one class: its words, least id (cls) and number of rows (n). Pairs of
+    classes say all that pairs of rows would, without growing with the square of the copies."""
+    return rows.groupBy(block, F.array_sort(words).alias(words)).agg(F.min(id_col).alias("cls"), F.count(F.lit(1)).alias("n"))
+
+
 def token_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: str, right_words: str, block: str, least: int = 2) -> DataFrame:
-    """Pairs of one block (brand) that share at least `least` words. Words are joined by (block, word) and counted, so
-    no pair is made that shares nothing."""
-    a = left.select(block, F.col(left_id).alias("lid"), F.explode(left_words).alias("word"))
-    b = right.select(block, F.col(right_id).alias("rid"), F.explode(right_words).alias("word"))
-    return a.join(b, [block, "word"]).groupBy("lid", "rid").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-
-
-def substring_join(left: DataFrame, small: DataFrame, a: Column, b: Column, least: int = 4, max_small: int = 20_000) -> DataFrame:
-    """Rows of `left` whose text contains one of `small`'s or the reverse, both at least `least` long. `small` is a
-    dictionary (brands); its size is checked before it is broadcast, and a larger one is refused: such a theta join has
-    no key to shuffle by."""
-    if small.limit(max_small + 1).count() > max_small:
-        raise ValueError(f"the dictionary has more than {max_small} entries")
-    on = (F.length(a) >= least) & (F.length(b) >= least) & (a.contains(b) | b.contains(a))
-    return left.join(F.broadcast(small), on, "left_semi")
+    """Pairs of one block (brand) that share at least `least` words. Words are ordered by how rare they are; of two rows
+    that share `least` words, one of the first n - least + 1 words of either is shared, so only those words are joined,
+    and frequent words seldom make pairs. The candidates' words are then counted."""
+    both = left.select(block, F.explode(left_words).alias("word")).unionByName(right.select(block, F.explode(right_words).alias("word")))
+    often = both.groupBy(block, "word").agg(F.count(F.lit(1)).alias("often"))
+
+    def prefix(rows: DataFrame, id_col: str, words: str, name: str) -> DataFrame:
+        ranked = rows.select(block, F.col(id_col).alias(name), F.explode(words).alias("word")).join(often, [block, "word"]).groupBy(block, name).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ws"))
+        words_ = F.transform("ws", lambda x: x["word"])
+        return ranked.select(block, name, words_.alias(f"{name}_ws"), F.explode(F.slice(words_, F.lit(1), F.greatest(F.size("ws") - (least - 1), F.lit(0)))).alias("word"))
+
+    a, b = prefix(left, left_id, left_words, "lid"), prefix(right, right_id, right_words, "rid")
+    shared = F.size(F.array_intersect("lid_ws", "rid_ws")).cast("bigint")
+    return a.join(b, [block, "word"]).dropDuplicates([block, "lid", "rid"]).select("lid", "rid", shared.alias("shared")).where(F.col("shared") >= least)
+
+
+def substring_join(left: DataFrame, small: DataFrame, a: Column, b: Column, least: int = 4, few: int = 20_000) -> DataFrame:
+    """Rows of `left` whose text contains one of `small`'s or the reverse, both at least `least` long. A text that holds
+    another holds its first `least` letters, so both directions are equi-joins on runs of letters, verified afterwards;
+    a dictionary of any size works, and one whose size is checked to be small is broadcast."""
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{least}}}))"), 1))
+    words = small.select(b.alias("_w")).where(F.length("_w") >= least).distinct()
+    near = F.broadcast if words.limit(few + 1).count() <= few else (lambda df: df)
+    texts = left.select(a.alias("_t")).where(F.length("_t") >= least).distinct()
+    keyed = texts.withColumn("_k", F.sha2("_t", 256))
+    inside = keyed.select("_k", F.explode(runs(F.col("_t"))).alias("_g")).join(near(words.select("_w", F.substring("_w", 1, least).alias("_g"))), "_g")
+    around = keyed.select("_k", F.substring("_t", 1, least).alias("_g")).join(near(words.select("_w", F.explode(runs(F.col("_w"))).alias("_g"))), "_g")
+    tried = inside.select("_k", "_w").unionByName(around.select("_k", "_w")).distinct()
+    good = keyed.join(tried, "_k").where(F.col("_t").contains(F.col("_w")) | F.col("_w").contains(F.col("_t"))).select("_k").distinct()
+    return left.withColumn("_k", F.sha2(a, 256)).join(good, "_k", "left_semi").drop("_k")
 
 
 def prefix_join(left: DataFrame, right: DataFrame, key: str, n: int = 6, least: int = 4) -> DataFrame:

@@ -20,10 +20,10 @@ def exists_flags(spark: SparkSession, d: str) -> DataFrame:
     return quality.exists_flag(o, li, "o_orderkey", "b").select("o_orderkey", (F.col("a") | F.col("b")).alias("wanted"))
 
 
-@query(with_sql("events", rest="""s AS (SELECT event_type, user_id % 40 AS page, list_sort(list_distinct(list(k % 3))) AS items FROM ev WHERE k > 90 GROUP BY ALL)
+@query(with_sql("events", rest="""s AS (SELECT event_type, user_id % 40 AS page, list_sort(list_distinct(list(k % 3))) AS items FROM ev GROUP BY ALL)
  SELECT event_type, page, coalesce(items = lag(items) OVER (PARTITION BY event_type ORDER BY page), false) AS repeated FROM s"""))
 def repeated_pages(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("k > 90").select("event_type", (F.col("user_id") % 40).alias("page"), (F.col("k") % 3).alias("item"))
+    e = events(spark, d).select("event_type", (F.col("user_id") % 40).alias("page"), (F.col("k") % 3).alias("item"))
     return quality.repeated_pages(e, "event_type", "page", "item")
 
 
@@ -45,29 +45,17 @@ def brand_funnel(spark: SparkSession, d: str) -> DataFrame:
     return quality.funnel(p, "brand", {"sized": F.col("p_size") > 5, "typed": F.col("p_type") != "ECONOMY", "matched": F.col("p_partkey") % 2 == 0})
 
 
-@query("""WITH f AS (SELECT o_orderkey AS id, o_custkey % 200 AS pid, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 7 + 1)::INT END AS size, o_orderdate AS fired_at, floor(o_totalprice / 6)::BIGINT AS fired_price FROM orders WHERE o_orderkey % 20 = 0),
- s AS (SELECT l_partkey AS pid, l_linenumber AS ss, l_shipdate AS sold_at, floor(l_extendedprice)::BIGINT AS price FROM lineitem WHERE l_partkey < 200),
- j AS (SELECT id, f.pid, size, fired_price, max(price) FILTER (WHERE sold_at > fired_at AND (size IS NULL OR size = ss)) AS best FROM f LEFT JOIN s ON f.pid = s.pid GROUP BY ALL)
- SELECT id, pid, size, best, coalesce(best >= fired_price, false) AS sold FROM j""")
-def followup_sold(spark: SparkSession, d: str) -> DataFrame:
-    o = F.col("o_orderkey")
-    f = read(spark, d, "orders").where("o_orderkey % 20 = 0").select(o.alias("id"), (F.col("o_custkey") % 200).alias("pid"), F.when(o % 3 != 0, (o % 7 + 1).cast("int")).alias("size"), F.col("o_orderdate").alias("fired_at"), F.floor(F.col("o_totalprice") / 6).cast("bigint").alias("fired_price"))
-    s = read(spark, d, "lineitem").where("l_partkey < 200").select(F.col("l_partkey").alias("pid"), F.col("l_linenumber").alias("size"), F.col("l_shipdate").alias("sold_at"), F.floor("l_extendedprice").cast("bigint").alias("price"))
-    return quality.sold_after(f, s, "pid", "size", "fired_at", "fired_price", "sold_at", "price").select("id", "pid", "size", "best", "sold")
-
-
 @query("""WITH f AS (SELECT o_orderkey AS id, o_custkey AS pid, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 7 + 1)::INT END AS size, o_orderdate AS fired_at, floor(o_totalprice / 6)::BIGINT AS fired_price FROM orders),
  s AS (SELECT l_partkey AS pid, l_linenumber AS ss, l_shipdate AS sold_at, floor(l_extendedprice)::BIGINT AS price FROM lineitem),
  j AS (SELECT id, f.pid, size, fired_price, max(price) FILTER (WHERE sold_at > fired_at AND (size IS NULL OR size = ss)) AS best FROM f LEFT JOIN s ON f.pid = s.pid GROUP BY ALL)
  SELECT id, pid, size, best, coalesce(best >= fired_price, false) AS sold FROM j""")
-def followup_sold_all(spark: SparkSession, d: str) -> DataFrame:
+def followup_sold(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("o_orderkey")
     f = read(spark, d, "orders").select(o.alias("id"), F.col("o_custkey").alias("pid"), F.when(o % 3 != 0, (o % 7 + 1).cast("int")).alias("size"), F.col("o_orderdate").alias("fired_at"), F.floor(F.col("o_totalprice") / 6).cast("bigint").alias("fired_price"))
     s = read(spark, d, "lineitem").select(F.col("l_partkey").alias("pid"), F.col("l_linenumber").alias("size"), F.col("l_shipdate").alias("sold_at"), F.floor("l_extendedprice").cast("bigint").alias("price"))
     return quality.sold_after(f, s, "pid", "size", "fired_at", "fired_price", "sold_at", "price").select("id", "pid", "size", "best", "sold")
 
 
-
 @query("SELECT o_orderkey AS id, o_orderdate AS fired_at FROM orders WHERE o_orderstatus = 'P' AND o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 DAY ORDER BY o_orderdate, o_orderkey LIMIT 200")
 def pending_followups(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
@@ -102,9 +90,9 @@ def page_states(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", quality.page_state(F.col("html"), ['lang="de"', "?page=2"], r"track\([0-9]*7\)").alias("state"))
 
 
-@query(with_sql("events", rest="SELECT event_type, count(*) AS n, floor(count(*) * 0.5::DOUBLE)::BIGINT AS best, floor(count(*) * 0.25::DOUBLE)::BIGINT AS expected, floor(count(*) * 0.125::DOUBLE)::BIGINT AS worst FROM ev WHERE k < 50 GROUP BY 1"))
+@query(with_sql("events", rest="SELECT event_type, count(*) AS n, floor(count(*) * 0.5::DOUBLE)::BIGINT AS best, floor(count(*) * 0.25::DOUBLE)::BIGINT AS expected, floor(count(*) * 0.125::DOUBLE)::BIGINT AS worst FROM ev GROUP BY 1"))
 def estimate_ranges(spark: SparkSession, d: str) -> DataFrame:
-    g = events(spark, d).where("k < 50").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    g = events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return g.select("event_type", "n", *quality.expect_range(F.col("n"), 0.5, 0.25, 0.125))
 
 

@@ -62,15 +62,8 @@ def model_extraction(spark: SparkSession, d: str) -> DataFrame:
     return named(spark, d).select("id", "name", T.extract_model(F.col("name")).alias("model"), T.model_key(F.col("name")).alias("key"))
 
 
-@query(f"SELECT doc_id, {_model_sql().replace('name', 'head')} AS model FROM (SELECT doc_id, substr(text, 1, 200) || ' AB' || (1000 + doc_id % 9000) || '-001' AS head FROM documents WHERE text IS NOT NULL)")
-def document_models(spark: SparkSession, d: str) -> DataFrame:
-    # The feature is a name, so the head of the text stands for one; every document is read.
-    head = F.concat(F.substring("text", 1, 200), F.lit(" AB"), (1000 + F.col("doc_id") % 9000).cast("string"), F.lit("-001"))
-    return read(spark, d, "documents").where("text is not null").select("doc_id", T.extract_model(head).alias("model"))
-
-
 @query(f"SELECT doc_id, {_model_sql().replace('name', 'text')} AS model FROM documents WHERE text IS NOT NULL")
-def document_models_all(spark: SparkSession, d: str) -> DataFrame:
+def document_models(spark: SparkSession, d: str) -> DataFrame:
     """The model number of each document, from its whole text."""
     return read(spark, d, "documents").where("text is not null").select("doc_id", T.extract_model(F.col("text")).alias("model"))
 
@@ -123,28 +116,13 @@ def _collab_sql(x: str) -> str:
     return "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in ("red", "blue")) + ")"
 
 
-@query(with_sql("market_products", rest=rf"""r AS (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN brand || '-' || (product_id % 40) ELSE 'ZZ-' || product_id || '/' || brand || '-' || (product_id % 40) END AS rm, CASE WHEN product_id % 3 = 0 THEN 'Supreme ' || name ELSE name END AS rn FROM market_products),
-l AS (SELECT s_suppkey * 40 + j AS lid, 'brand#' || (s_suppkey % 25) || ' ' || j AS lm, CASE WHEN j % 2 = 0 THEN 'small ring' ELSE 'green widget' END AS ln FROM supplier, (SELECT unnest(range(40)) AS j) WHERE s_suppkey < 25),
-a AS (SELECT lid, ln, product_id, rn, prio FROM (SELECT *, {_norm_sql('lm')} AS k FROM l) JOIN (SELECT *, 0 AS prio, rm AS k FROM r UNION ALL SELECT *, 2, split_part(rm, '/', 1) FROM r WHERE rm LIKE '%/%' UNION ALL SELECT *, 2, split_part(rm, '/', -1) FROM r WHERE rm LIKE '%/%') USING (k) WHERE prio = 0 OR length(k) >= 6
- UNION ALL SELECT lid, ln, product_id, rn, 1 FROM l JOIN r ON lm = rm),
-o AS (SELECT lid, product_id, min(prio) AS prio, any_value(ln) AS ln, any_value(rn) AS rn FROM a GROUP BY ALL)
-SELECT lid, product_id AS rid, prio, count(*) OVER (PARTITION BY lid) AS n FROM o QUALIFY row_number() OVER (PARTITION BY lid ORDER BY contains(lower(rn), 'supreme')::INT, (len(list_filter(string_split(lower(ln), ' '), lambda w: length(w) > 3 AND contains(lower(rn), w))) > 0)::INT DESC, prio, product_id) = 1"""))
-def prioritised_match(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("product_id")
-    code = F.concat("brand", F.lit("-"), (p % 40).cast("string"))
-    r = market_products(spark, d).select("product_id", F.when(p % 2 == 0, code).otherwise(F.concat(F.lit("ZZ-"), p.cast("string"), F.lit("/"), code)).alias("rm"), F.when(p % 3 == 0, F.concat(F.lit("Supreme "), "name")).otherwise(F.col("name")).alias("rn"))
-    s = read(spark, d, "supplier").where("s_suppkey < 25").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("j"))
-    left = s.select((F.col("s_suppkey") * 40 + F.col("j")).alias("lid"), F.concat(F.lit("brand#"), (F.col("s_suppkey") % 25).cast("string"), F.lit(" "), F.col("j").cast("string")).alias("lm"), F.when(F.col("j") % 2 == 0, "small ring").otherwise("green widget").alias("ln"))
-    return match.ranked_match(left, r, "lid", "lm", "ln", "product_id", "rm", "rn")
-
-
 @query(with_sql("market_products", rest=rf"""r AS (SELECT product_id, CASE WHEN product_id % 2 = 0 THEN upper(brand) || '-' || (product_id % 40) ELSE 'ZZ-' || product_id || '/' || upper(brand) || '-' || (product_id % 40) END AS rm, CASE WHEN product_id % 3 = 0 THEN 'Supreme ' || name ELSE name END AS rn FROM market_products),
 l AS (SELECT s_suppkey * 40 + j AS lid, 'brand#' || (s_suppkey % 25) || ' ' || j AS lm, CASE WHEN j % 2 = 0 THEN 'small ring' ELSE 'green widget' END AS ln FROM supplier, (SELECT unnest(range(40)) AS j)),
 a AS (SELECT lid, ln, product_id, rn, prio FROM (SELECT *, {_norm_sql('lm')} AS k FROM l) JOIN (SELECT *, 0 AS prio, rm AS k FROM r UNION ALL SELECT *, 2, split_part(rm, '/', 1) FROM r WHERE rm LIKE '%/%' UNION ALL SELECT *, 2, split_part(rm, '/', -1) FROM r WHERE rm LIKE '%/%') USING (k) WHERE prio = 0 OR length(k) >= 6
  UNION ALL SELECT lid, ln, product_id, rn, 1 FROM l JOIN r ON lm = rm),
 o AS (SELECT lid, product_id, min(prio) AS prio, any_value(ln) AS ln, any_value(rn) AS rn FROM a GROUP BY ALL)
 SELECT lid, product_id AS rid, prio, count(*) OVER (PARTITION BY lid) AS n FROM o QUALIFY row_number() OVER (PARTITION BY lid ORDER BY contains(lower(rn), 'supreme')::INT, (len(list_filter(string_split(lower(ln), ' '), lambda w: length(w) > 3 AND contains(lower(rn), w))) > 0)::INT DESC, prio, product_id) = 1"""))
-def prioritised_match_all(spark: SparkSession, d: str) -> DataFrame:
+def prioritised_match(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("product_id")
     code = F.concat(F.upper("brand"), F.lit("-"), (p % 40).cast("string"))
     r = market_products(spark, d).select("product_id", F.when(p % 2 == 0, code).otherwise(F.concat(F.lit("ZZ-"), p.cast("string"), F.lit("/"), code)).alias("rm"), F.when(p % 3 == 0, F.concat(F.lit("Supreme "), "name")).otherwise(F.col("name")).alias("rn"))
@@ -153,7 +131,6 @@ def prioritised_match_all(spark: SparkSession, d: str) -> DataFrame:
     return match.ranked_match(left, r, "lid", "lm", "ln", "product_id", "rm", "rn")
 
 
-
 @query(r"""WITH a AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 4 WHEN 0 THEN ' PRM QS' WHEN 1 THEN ' Retro (SE)' WHEN 2 THEN ' 레트로' ELSE '' END AS sn, p_name || CASE p_partkey % 3 WHEN 0 THEN ' premium' WHEN 1 THEN ' retro' ELSE ' Off-White' END AS mn FROM part),
 k AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(sn), '[\s\-_/()]+'), lambda w: w <> '')) AS sk, list_distinct(list_filter(regexp_split_to_array(lower(mn), '[\s\-_/()]+'), lambda w: w <> '')) AS mk FROM a),
 t AS (SELECT *, ['prm','premium','qs','retro','레트로','se','craft','next','nature','lx','flyknit','react','gore','tex','goretex','acg'] AS known FROM k),
@@ -168,12 +145,16 @@ def collab_subtype_guards(spark: SparkSession, d: str) -> DataFrame:
     return a.select("id", T.collab_mismatch(F.col("mn"), F.col("sn")).alias("collab_fails"), F.array_join(F.array_sort(extra), "|").alias("extra"))
 
 
-@query("""WITH a AS (SELECT p_brand AS brand, p_partkey AS lid, unnest(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS w FROM part WHERE p_partkey % 10 = 0), b AS (SELECT p_brand AS brand, p_partkey AS rid, unnest(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS w FROM part WHERE p_partkey % 10 <> 0)
-SELECT lid, rid, count(*) AS shared FROM a JOIN b USING (brand, w) GROUP BY ALL HAVING count(*) >= 2""")
+@query("""WITH p AS (SELECT p_brand AS brand, p_partkey AS id, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS ws FROM part),
+c AS (SELECT brand, ws, min(id) AS cls, count(*) AS n FROM p GROUP BY ALL)
+SELECT a.cls AS lid, b.cls AS rid, len(list_intersect(a.ws, b.ws)) AS shared, a.n AS left_rows, b.n AS right_rows FROM c a JOIN c b ON a.brand = b.brand AND len(list_intersect(a.ws, b.ws)) >= 2""")
 def token_overlap_match(spark: SparkSession, d: str) -> DataFrame:
-    # Two sides of one table: retail products (every tenth) against the market's.
+    """Pairs of classes of equal word sets, each named by its least id."""
     p = read(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), T.keywords(F.concat_ws(" ", "p_name", "p_type")).alias("words"))
-    return match.token_join(p.where("id % 10 = 0"), p.where("id % 10 <> 0"), "id", "id", "words", "words", "brand")
+    c = match.word_classes(p, "id", "words", "brand")
+    out = match.token_join(c, c, "cls", "cls", "words", "words", "brand")
+    n = c.select(F.col("cls").alias("lid"), F.col("n").alias("left_rows"))
+    return out.join(n, "lid").join(n.select(F.col("lid").alias("rid"), F.col("left_rows").alias("right_rows")), "rid").select("lid", "rid", "shared", "left_rows", "right_rows")
 
 
 @query("""WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS w FROM part) SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM n WHERE length(w) >= 4 AND length(text) >= 4 AND (contains(lower(text), w) OR contains(w, lower(text))))""")
@@ -189,44 +170,24 @@ def prefix_match(spark: SparkSession, d: str) -> DataFrame:
     return match.prefix_join(m, m.where("product_id % 97 = 0"), "model_number", 10).select("product_id")
 
 
-@query("""WITH l AS (SELECT o_orderkey AS oid, 'Brand#' || (o_custkey % 25) AS brand, string_split(CASE o_orderkey % 3 WHEN 0 THEN 'red widget' WHEN 1 THEN 'blue bolt' ELSE 'none' END, ' ') AS lt FROM orders WHERE o_custkey % 10 = 0),
-r AS (SELECT p_brand AS brand, p_partkey AS pid, list_distinct(string_split(lower(p_name), ' ')) AS rt FROM part WHERE p_partkey % 40 = 0),
-j AS (SELECT oid, pid, len(list_intersect(lt, rt)) AS shared, count(*) OVER (PARTITION BY oid) AS hits, row_number() OVER (PARTITION BY oid ORDER BY len(list_intersect(lt, rt)) DESC, len(rt), pid) AS n FROM l JOIN r USING (brand))
-SELECT oid, pid, shared::INT AS shared, hits FROM j WHERE n = 1 AND (shared >= 1 OR hits = 1)""")
-def colour_disambiguation(spark: SparkSession, d: str) -> DataFrame:
-    o = F.col("o_orderkey") % 3
-    left = read(spark, d, "orders").where("o_custkey % 10 = 0").select(F.col("o_orderkey").alias("oid"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25).cast("string")).alias("brand"), T.colour_tokens(F.when(o == 0, "red widget").when(o == 1, "blue bolt").otherwise("none")).alias("lt"))
-    right = read(spark, d, "part").where("p_partkey % 40 = 0").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("pid"), T.colour_tokens(F.col("p_name")).alias("rt"))
-    return match.colour_pick(left, right, "brand", "oid", "pid", "lt", "rt").select("oid", "pid", "shared", "hits")
-
-
 @query("""WITH l AS (SELECT o_orderkey AS oid, 'Brand#' || (o_custkey % 25) AS brand, string_split(CASE o_orderkey % 3 WHEN 0 THEN 'red widget' WHEN 1 THEN 'blue bolt' ELSE 'none' END, ' ') AS lt FROM orders),
 r AS (SELECT p_brand AS brand, p_partkey AS pid, list_distinct(string_split(lower(p_name), ' ')) AS rt FROM part),
 j AS (SELECT oid, pid, len(list_intersect(lt, rt)) AS shared, count(*) OVER (PARTITION BY oid) AS hits, row_number() OVER (PARTITION BY oid ORDER BY len(list_intersect(lt, rt)) DESC, len(rt), pid) AS n FROM l JOIN r USING (brand))
 SELECT oid, pid, shared::INT AS shared, hits FROM j WHERE n = 1 AND (shared >= 1 OR hits = 1)""")
-def colour_disambiguation_all(spark: SparkSession, d: str) -> DataFrame:
+def colour_disambiguation(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("o_orderkey") % 3
     left = read(spark, d, "orders").select(F.col("o_orderkey").alias("oid"), F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25).cast("string")).alias("brand"), T.colour_tokens(F.when(o == 0, "red widget").when(o == 1, "blue bolt").otherwise("none")).alias("lt"))
     right = read(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("pid"), T.colour_tokens(F.col("p_name")).alias("rt"))
     return match.colour_pick(left, right, "brand", "oid", "pid", "lt", "rt").select("oid", "pid", "shared", "hits")
 
 
-
-@query("""WITH r AS (SELECT p_brand || p_size AS k, p_partkey AS pid FROM part WHERE p_partkey % 5 = 0), l AS (SELECT p_partkey AS lid, p_brand || p_size AS k FROM part WHERE p_partkey % 5 = 1)
-SELECT lid, pid, hits, CASE WHEN hits = 1 THEN 'single' WHEN hits <= 2 THEN 'several' ELSE 'ambiguous' END AS status FROM (SELECT lid, pid, count(*) OVER (PARTITION BY lid) AS hits FROM l JOIN r USING (k))""")
-def hit_status(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("k"), F.col("p_partkey").alias("pid"))
-    return match.hit_status(p.where("pid % 5 = 1").withColumnRenamed("pid", "lid"), p.where("pid % 5 = 0"), "k", "lid").select("lid", "pid", "hits", "status")
-
-
 @query("""WITH r AS (SELECT p_brand || p_size AS k, p_partkey AS pid FROM part), h AS (SELECT k, count(*) AS hits FROM r GROUP BY k)
 SELECT l.pid AS lid, r.pid, hits, CASE WHEN hits = 1 THEN 'single' WHEN hits <= 2 THEN 'several' ELSE 'ambiguous' END AS status FROM r l JOIN h USING (k) LEFT JOIN r ON r.k = l.k AND hits <= 2""")
-def hit_status_all(spark: SparkSession, d: str) -> DataFrame:
+def hit_status(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("k"), F.col("p_partkey").alias("pid"))
     return match.hit_summary(p.withColumnRenamed("pid", "lid"), p, "k", "pid").select("lid", "pid", "hits", "status")
 
 
-
 @query(with_sql("events", rest="""c AS (SELECT user_id, k % 10 AS code, CASE WHEN event_type = 'purchase' THEN 'checkout' WHEN event_type = 'view' THEN 'pdp' END AS page_type, ts, event_id FROM ev WHERE event_type IN ('purchase', 'view', 'error')),
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, code ORDER BY CASE WHEN page_type = 'checkout' THEN 0 ELSE 1 END, ts DESC, event_id DESC) = 1), a AS (SELECT DISTINCT user_id, k % 10 AS code FROM ev)
 SELECT a.user_id, a.code, b.page_type, b.event_id FROM a LEFT JOIN b USING (user_id, code)"""))

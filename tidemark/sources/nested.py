@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,43 +16,45 @@ WRAPPERS = ("Reactive", "ShallowReactive", "Ref", "ShallowRef", "EmptyRef", "Emp
 SPECIAL = {-1: None, -2: math.nan, -3: math.inf, -4: -math.inf}
 
 
-def resolve(flat: list, most_depth: int = 200) -> object:
+def resolve(flat: list) -> object:
     """The object of a flattened graph: element 0 is the root, numbers inside lists and objects refer to elements,
-    negative ones are special values. Shared elements are built once; cycles come back as null, as JSON has none."""
+    negative ones are special values. Shared elements are built once; cycles come back as null, as JSON has none. Graphs
+    of any depth are resolved: no path is longer than the graph."""
     done: dict[int, object] = {}
     open_: set[int] = set()
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(flat) + 1000))
 
-    def at(i: object, depth: int) -> object:
+    def at(i: object) -> object:
         if not isinstance(i, int) or isinstance(i, bool):
             return None
         if i < 0:
             return SPECIAL.get(i)
-        if i >= len(flat) or i in open_ or depth > most_depth:
+        if i >= len(flat) or i in open_:
             return None
         if i not in done:
             open_.add(i)
-            done[i] = build(flat[i], depth + 1)
+            done[i] = build(flat[i])
             open_.discard(i)
         return done[i]
 
-    def build(v: object, depth: int) -> object:
+    def build(v: object) -> object:
         if isinstance(v, dict):
-            return {k: at(r, depth) for k, r in v.items()}
+            return {k: at(r) for k, r in v.items()}
         if not isinstance(v, list):
             return v
         tag, rest = (v[0], v[1:]) if v and isinstance(v[0], str) else ("", v)
         if tag in WRAPPERS:
-            return at(rest[0], depth) if rest else None
+            return at(rest[0]) if rest else None
         if tag == "Date":
             return rest[0] if rest else None
         if tag == "null":  # an object without prototype: names and references in turn
-            return {k: at(r, depth) for k, r in zip(rest[::2], rest[1::2])}
+            return {k: at(r) for k, r in zip(rest[::2], rest[1::2])}
         if tag == "Map":
-            pairs = ((at(k, depth), at(r, depth)) for k, r in zip(rest[::2], rest[1::2]))
+            pairs = ((at(k), at(r)) for k, r in zip(rest[::2], rest[1::2]))
             return {str(k): x for k, x in pairs if k is not None}
-        return [at(r, depth) for r in (rest if tag == "Set" else v)]
+        return [at(r) for r in (rest if tag == "Set" else v)]
 
-    return at(0, 0)
+    return at(0)
 
 
 def _clean(v: object) -> object:
