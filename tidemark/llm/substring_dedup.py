@@ -3,16 +3,16 @@
 1. Winnowed anchors (the least 16-word hash of each window) tell which windows could repeat: a window and its anchor
    repeat together. Only spans around anchors found in two documents go on.
 2. Equal spans, by a 128-bit hash, are matched once for all their copies.
-3. Window hashes of the different spans give the reference: each window that several documents hold, at its first place.
-   These passages are cut into pieces that overlap by a window less one word, and the pieces dealt into shards of bounded
+3. Spans fall into chunks of windows with one anchor, equal ones of which count once. The chunks' window hashes give the
+   reference: each window that several documents hold, at its first place. These passages are cut into pieces that overlap by a window less one word, and the pieces dealt into shards of bounded
    size.
 4. Each shard's pieces become one suffix automaton of words, with the least owner of each state. The spans that share a
    window with a piece are streamed through its shard; where the matching statistic reaches the window's length, the
    state's owner is noted, and the words go from every document with a greater id. Words are compared, not hashes.
 
 Automata go to the spans that can match them, not to all documents: sending every shard to every document would grow
-with the square of the corpus. Each window names one shard, so routes are at most as many as windows. A shard with many
-spans is copied to several tasks, so a passage that a third of the documents share is spread. A collision of 64-bit window
+with the square of the corpus. Each window names one shard, so a chunk goes to no more shards than it has windows. A shard with many
+spans is copied to several tasks, so a passage that a third of the documents share is spread. A collision of 64-bit
 hashes can hide a repeat from its shard; it never removes a word.
 """
 
@@ -212,15 +212,37 @@ def find_repeats(docs: DataFrame, window: int = 50, shard_words: int = SHARD_WOR
     firsts = spanned.drop("h", "n").join(owners.drop("copies").hint("merge"), ["doc_id", "t", "start"])
     firsts = table(firsts.select(F.monotonically_increasing_id().alias("span"), "h", "doc_id", "last", "words"), "first-spans")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for span, doc, last, text in zip(*(rb.column(k).to_pylist() for k in range(4))):
+                ws = words(text)
+                at = anchors(hashes(ws), window)[1]
+                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+                ids = [xxhash.xxh3_64_intdigest(b" ".join(ws[i : j + window - 1])) for i, j in zip(cuts, cuts[1:])]
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [_col(np.array(ids, np.uint64).view(np.int64), i64), *(_col(np.full(n, v), i64) for v in (span, doc, last)), _col(cuts[:-1], i32), _col(np.diff(cuts), i32)],
+                    ["c", "span", "doc_id", "last", "off", "n"])
+
+    # Chunks: windows in a row with one anchor. Near copies have most of them in common, so windows are taken from
+    # different chunks only.
+    chunks = table(firsts.select("span", "doc_id", "last", "words").mapInArrow(chunked, "c long, span long, doc_id long, last long, off int, n int"), "chunks")
+    lone = chunks.groupBy("c").agg(F.min(F.struct("doc_id", "span", "off", "n")).alias("f"), F.max("last").alias("y"), F.count(F.lit(1)).alias("times"))
+    lone = table(lone.select("c", f64("f.doc_id").alias("x"), "f.span", "f.off", "f.n", "y", "times"), "first-chunks")
+    per = lone.groupBy("span").agg(F.collect_list(F.struct("c", "off", "n", "x", "y")).alias("cs"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for text, cs in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
                 w = rolling(hashes(words(text)), window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([_col(w, i64), *(_col(np.full(len(w), v), i64) for v in (span, doc, last))], ["w", "span", "doc_id", "last"])
+                ns = [c["n"] for c in cs]
+                yield pa.RecordBatch.from_arrays(
+                    [_col(np.concatenate([w[c["off"] : c["off"] + c["n"]] for c in cs]), i64), *(_col(np.repeat([c[k] for c in cs], ns), i64) for k in ("c", "x", "y"))],
+                    ["w", "c", "x", "y"])
 
-    rolled = table(firsts.select("span", "doc_id", "last", "words").mapInArrow(windows, "w long, span long, doc_id long, last long"), "windows")
+    rolled = table(firsts.select("span", "words").join(per.hint("merge"), "span").select("words", "cs").mapInArrow(windows, "w long, c long, x long, y long"), "windows")
     # The least document of each window that several hold; combined before the shuffle.
-    held = rolled.groupBy("w").agg(F.min("doc_id").alias("x"), F.max("last").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+    held = rolled.groupBy("w").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
     held = table(held.select("w", "x", "n"), "window-owners")
     own = held.groupBy(f64("x").alias("doc_id")).agg(F.collect_list("w").alias("repeated"))
 
@@ -242,10 +264,14 @@ def find_repeats(docs: DataFrame, window: int = 50, shard_words: int = SHARD_WOR
     reference = reference.withColumn("shard", shard)
     of_window = reference.select("shard", "owner", F.explode("ws").alias("w")).groupBy("w").agg(F.min(F.struct("owner", "shard")).alias("o")).select("w", "o.*")
     hot_windows = table(hot_keys(held, ["w"], weight=f64("n")), "hot-windows")
-    # A span goes where its windows are, if a document with a copy of it comes after the owner.
-    routes = lookup(rolled.select("w", "span", "last"), table(of_window, "window-shards"), ["w"], hot_windows, "inner")
+    # A chunk goes where its windows are, and a span where its chunks are, if a document with a copy of it comes after the
+    # owner.
+    placed = lookup(rolled.select("w", "c"), table(of_window, "window-shards"), ["w"], hot_windows, "inner").groupBy("c", "shard").agg(F.min("owner").alias("owner"))
+    placed = table(placed.groupBy("c").agg(F.collect_list(F.struct("shard", "owner")).alias("at")), "chunk-shards")
+    hot_chunks = table(hot_keys(lone, ["c"], weight=f64("times")), "hot-chunks")
+    routes = lookup(chunks.select("c", "span", "last"), placed, ["c"], hot_chunks, "inner").select("span", "last", F.inline("at"))
     routes = table(routes.where("owner < last").select("span", "shard").distinct(), "routes")
-    drop(rolled, held)
+    drop(rolled, held, chunks, lone, placed)
     copies_of = routes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_SPANS).cast("int").alias("salts"))
     stream = routes.join(copies_of, "shard").join(firsts.select("span", "words"), "span").select(
         "shard", F.pmod(F.xxhash64("span"), f64("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), f64("span").alias("id"), "words")
