@@ -163,6 +163,11 @@ def search_phrase(name: Column, brands: tuple[str, ...], phrases: dict[str, str]
     return F.coalesce(*known, F.when(F.size(latin) > 0, F.array_join(F.slice(latin, 1, 3), " ")), F.array_join(F.slice(words, 1, 3), " "))
 
 
+def first_pattern(c: Column, patterns: list[str]) -> Column:
+    """The first group of the first pattern that is found; null if none is."""
+    return F.coalesce(*[blank_to_null(F.regexp_extract(c, p, 1)) for p in patterns])
+
+
 def thousands(c: Column) -> Column:
     return F.format_string("%,d", c)
 

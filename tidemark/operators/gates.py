@@ -61,3 +61,13 @@ def purpose_in(purpose: Column, names: list[str]) -> Column:
     for n in names:
         out = out | (purpose == n) | purpose.startswith(f"{n}:")
     return F.coalesce(out, F.lit(False))
+
+
+#: States of an item that is announced but not sold yet.
+LAUNCH = ("COMING SOON", "UPCOMING", "LAUNCH", "PREORDER")
+
+
+def buyable(item: Column) -> Column:
+    """Items (JSON) on sale: no launch state, and not marked as not buyable."""
+    state = F.upper(F.coalesce(F.get_json_object(item, "$.status"), F.lit("")))
+    return ~state.isin(*LAUNCH) & (F.coalesce(F.get_json_object(item, "$.buyable"), F.lit("true")) != "false")

@@ -81,3 +81,13 @@ def page_state(html: Column, offline: list[str], upcoming: str) -> Column:
 
 def expect_range(n: Column, best: float, expected: float, worst: float) -> list[Column]:
     return [F.floor(n * F.lit(x)).cast("bigint").alias(name) for name, x in (("best", best), ("expected", expected), ("worst", worst))]
+
+
+def reasons(checks: list[tuple[str, Column]]) -> Column:
+    """Names of all checks that hold."""
+    return F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]), lambda x: x.isNotNull())
+
+
+def verdict(reasons_: Column, fatal: tuple[str, ...]) -> Column:
+    """ok without a reason, fail with a fatal one, else warn."""
+    return F.when(F.size(reasons_) == 0, "ok").when(F.arrays_overlap(reasons_, F.array(*[F.lit(f) for f in fatal])), "fail").otherwise("warn")

@@ -155,14 +155,16 @@ def trade_stats_trend(spark: SparkSession, d: str) -> DataFrame:
  s AS (SELECT product_id, count(*) AS sales, avg(sell) AS mean, stddev_samp(sell) AS sd, median(gap) FILTER (WHERE gap > 0) AS gap, list_sort(list(sell)) AS ps FROM g GROUP BY 1),
  x AS (SELECT product_id, sales::DOUBLE / asks AS r, CASE WHEN sales < 2 THEN 0.5 ELSE 1.0::DOUBLE / (1.0::DOUBLE + sd / mean * 5.0::DOUBLE) END AS volatility, CASE WHEN gap IS NULL THEN 0.0 ELSE 1.0::DOUBLE / (1.0::DOUBLE + gap / 3600.0::DOUBLE / 6.0::DOUBLE) END AS velocity,
   lst.sell AS sell, sales, ps[sales // 4 + 1]::DOUBLE AS p25, ps[sales * 3 // 4 + 1]::DOUBLE AS p75 FROM s JOIN st USING (product_id) JOIN lst USING (product_id)),
- y AS (SELECT product_id, r / (r + 1.0::DOUBLE) AS liquidity, volatility, velocity, CASE WHEN sales < 4 OR p75 <= p25 THEN 0.5 WHEN sell <= p25 THEN 1.0 WHEN sell >= p75 THEN 0.0 ELSE 1.0::DOUBLE - (sell - p25) / (p75 - p25) END AS price_position FROM x)
- SELECT product_id, round(liquidity, 4) AS liquidity, round(volatility, 4) AS volatility, round(velocity, 4) AS velocity, round(price_position, 4) AS price_position FROM y"""))
+ y AS (SELECT product_id, r / (r + 1.0::DOUBLE) AS liquidity, volatility, velocity, CASE WHEN sales < 4 OR p75 <= p25 THEN 0.5 WHEN sell <= p25 THEN 1.0 WHEN sell >= p75 THEN 0.0 ELSE 1.0::DOUBLE - (sell - p25) / (p75 - p25) END AS price_position FROM x),
+ z AS (SELECT *, liquidity * 0.35::DOUBLE + volatility * 0.20::DOUBLE + velocity * 0.25::DOUBLE + price_position * 0.20::DOUBLE AS total FROM y)
+ SELECT product_id, round(liquidity, 4) AS liquidity, round(volatility, 4) AS volatility, round(velocity, 4) AS velocity, round(price_position, 4) AS price_position, round(total, 4) AS total, total >= 0.45::DOUBLE AS passes,
+  array_to_string(list_filter([CASE WHEN liquidity >= 0.7 THEN 'liquid' END, CASE WHEN volatility >= 0.7 THEN 'stable' WHEN volatility <= 0.3 THEN 'volatile' END, CASE WHEN velocity >= 0.7 THEN 'fast' END, CASE WHEN price_position >= 0.7 THEN 'low entry' WHEN price_position <= 0.3 THEN 'high entry' END], lambda x: x IS NOT NULL), '|') AS reasons FROM z"""))
 def signal_scores(spark: SparkSession, d: str) -> DataFrame:
     m = market_prices(spark, d)
     asks = retail_prices(spark, d).where("in_stock").groupBy("product_id").agg(F.count(F.lit(1)).alias("asks"))
     last = price.latest_batch(m, ["product_id"], "ts").groupBy("product_id").agg(F.max("sell").alias("sell"))
     s = score.signal_scores(m, asks.join(last, "product_id"), "product_id", "ts", "sell")
-    return s.select("product_id", *score.WEIGHTS)
+    return s.select("product_id", *score.WEIGHTS, "total", "passes", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("""SELECT l_partkey AS product_id, l_linenumber AS size, min(p) FILTER (WHERE side = 'ask') AS best_ask, max(p) FILTER (WHERE side = 'bid') AS best_bid, coalesce(sum(q) FILTER (WHERE side = 'bid'), 0)::BIGINT AS bid_quantity,

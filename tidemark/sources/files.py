@@ -12,12 +12,15 @@ def read_json_array(spark: SparkSession, path: str, field: str, schema: str) ->
     return spark.read.schema(f"`{field}` ARRAY<STRUCT<{schema}>>").json(path, multiLine=True).select(F.inline(field))
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad lines) of JSON lines. Lines are read as text first, so that counting bad ones needs no columns."""
+def read_json_lines(spark: SparkSession, path: str, schema: str, since: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad lines) of JSON lines; with since=(column, time) only rows from that time on. Lines are read as text first, so that counting bad ones needs no columns."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     parsed = lines.withColumn("_r", F.from_json("value", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_r").isNull() | F.col("_r._bad").isNotNull()
-    return parsed.where(~bad).select("_r.*").drop("_bad"), parsed.where(bad).select(F.col("value").alias("line"))
+    good = parsed.where(~bad).select("_r.*").drop("_bad")
+    if since is not None:
+        good = good.where(F.try_to_timestamp(F.col(since[0])) >= F.to_timestamp(F.lit(since[1])))
+    return good, parsed.where(bad).select(F.col("value").alias("line"))
 
 
 def tail(df: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -174,3 +174,53 @@ def option_stock(options: DataFrame, inventory: DataFrame, item: str, valid: str
     """Activated, valid options with their inventory; options without one are out of stock."""
     j = options.where(F.col(valid)).join(inventory, item, "left")
     return j.withColumn("in_stock", F.coalesce(F.col(stock) > 0, F.lit(False)))
+
+
+def attribute_items(html: Column, attribute: str, schema: str) -> Column:
+    """Objects that elements hold as JSON in an attribute (quotes written as entities), in page order, as an array."""
+    from ..functions.text import unescape_html
+
+    found = F.regexp_extract_all(html, F.lit(rf'{attribute}="([^"]*)"'), 1)
+    return F.transform(found, lambda x: F.from_json(unescape_html(x), schema))
+
+
+def unwrapped(doc: Column, names: tuple[str, ...], schema: str) -> Column:
+    """The list that a JSON document is, or holds under the first of these names that it has."""
+    inner = F.coalesce(*[F.get_json_object(doc, f"$.{n}") for n in names], F.lit("[]"))
+    return F.from_json(F.when(F.ltrim(doc).startswith("["), doc).otherwise(inner), f"ARRAY<{schema}>")
+
+
+def cards(docs: DataFrame, doc: str, keys: list[str], key: str, most: int = 20) -> DataFrame:
+    """One row per item anywhere in a nested payload: objects that have the keys, the first of each `key`, the first
+    `most` of a payload (a page's feature). Adds pos (from 1) and item (JSON)."""
+    kept = [c for c in docs.columns if c != doc]
+    found = docs.withColumn("_o", deep_objects(F.col(doc), keys))
+    names = F.transform("_o", lambda o: F.get_json_object(o, f"$.{key}"))
+    first = F.filter(F.col("_o"), lambda o, i: F.array_position(names, F.get_json_object(o, f"$.{key}")) == i + 1)
+    return found.select(*kept, F.posexplode(F.slice(first, 1, most)).alias("pos", "item")).withColumn("pos", F.col("pos") + 1)
+
+
+def item_by_id(doc: Column, keys: list[str], key: str, wanted: Column) -> Column:
+    """The first object with the keys whose `key` is the wanted one, as JSON; null without one."""
+    return F.get(F.filter(deep_objects(doc, keys), lambda o: F.get_json_object(o, f"$.{key}") == wanted), F.lit(0))
+
+
+def colour_sizes(options: Column, colour: Column) -> Column:
+    """Sizes of the second level below a colour that are on, can be ordered and are in stock. options: structs of level,
+    parent, name, status, orderable, stock."""
+    fit = F.filter(options, lambda o: (o["level"] == 2) & (o["parent"] == colour) & (o["status"] == "ON") & o["orderable"] & (o["stock"] > 0))
+    return F.transform(fit, lambda o: o["name"])
+
+
+def page_name(html: Column) -> Column:
+    """A page's name by five ways, the first that gives one: the social title, the document's title, the main heading,
+    the name in linked data, the first link's text."""
+    tag = lambda p: F.nullif(F.trim(F.regexp_extract(html, p, 1)), F.lit(""))
+    linked = F.nullif(F.trim(F.get_json_object(script_json(html, "ld\\+json"), "$.name")), F.lit(""))
+    return F.coalesce(meta(html, "og:title"), title(html), tag(r"(?is)<h1[^>]*>([^<]*)</h1>"), linked, tag(r"<a [^>]*>([^<]*)</a>"))
+
+
+def referenced(cache: Column, ref: Column) -> Column:
+    """What a reference of a normalised cache ({"__ref": name}) stands for; other values stand for themselves."""
+    name = F.get_json_object(ref, "$.__ref")
+    return F.when(name.isNotNull(), F.get(F.map_values(F.map_filter(F.from_json(cache, "MAP<STRING, STRING>"), lambda k, _: k == name)), F.lit(0))).otherwise(ref)

@@ -36,6 +36,25 @@ def fresh_evidence(expires_at: Column, asof: Column) -> Column:
     return (F.coalesce(expires_at, F.lit(0)) == 0) | (expires_at > asof)
 
 
+def promoted(stock: Column, made_at: Column, seconds: int) -> Column:
+    """Evidence of an event: its own, or for events of before there was any, one that expires `seconds` after the record
+    was made."""
+    return F.coalesce(stock, F.struct(F.lit("record").alias("origin"), (made_at + F.lit(float(seconds))).alias("expires_at")))
+
+
+def recovery(events: DataFrame, type_col: str, order: str, turns: list[str], caps: dict[str, int]) -> DataFrame:
+    """Pending events with the turn of their type in a recovery; beyond a type's cap they come later. Other types are
+    left out."""
+    turn = F.array_position(F.array(*[F.lit(t) for t in turns]), F.col(type_col)).cast("int") - 1
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(type_col)]
+    keys = [events.where(F.col(type_col) == t).orderBy(order).limit(n).agg(F.max(order).alias("_last")).withColumn(type_col, F.lit(t)) for t, n in caps.items()]
+    last = keys[0]
+    for k in keys[1:]:
+        last = last.unionByName(k)
+    known = events.where(F.col(type_col).isin(*turns)).join(F.broadcast(last), type_col, "left")
+    return known.withColumn("turn", turn).withColumn("later", cap.isNotNull() & (F.coalesce(F.col(order) > F.col("_last"), F.lit(False)))).drop("_last")
+
+
 def once(events: DataFrame, id_col: str, at: str, delay: str = "6 hours") -> DataFrame:
     """Each id once within the watermark's delay, on a stream."""
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([id_col])
