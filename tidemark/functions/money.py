@@ -56,11 +56,6 @@ def profit_signal(profit: Column, strong: int = 30_000, buy: int = 15_000, watch
     return F.when(profit >= strong, "strong_buy").when(profit >= buy, "buy").when(profit >= watch, "watch").otherwise("none")
 
 
-def signal_rank(c: Column) -> Column:
-    """3 strong_buy, 2 buy, 1 watch, 0 all else."""
-    return F.when(c == "strong_buy", 3).when(c == "buy", 2).when(c == "watch", 1).otherwise(0)
-
-
 def discount_rate(sale: Column, original: Column) -> Column:
     return F.when((original > sale) & (sale > 0), F.bround(F.lit(1.0) - sale.cast("double") / original.cast("double"), 3)).otherwise(F.lit(0.0))
 

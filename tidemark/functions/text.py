@@ -18,6 +18,7 @@ SUBTYPE_SYNONYMS = {"prm": "premium", "레트로": "retro"}
 
 #: Edges of a code. \b would take Hangul for a letter in one engine and not in another.
 _EDGE, _END = "(?:^|[^A-Z0-9])", "(?:$|[^A-Z0-9])"
+# The patterns of model codes.
 #: Codes behind a slash, then codes anywhere; (pattern, groups joined with "-"). The first that fits wins.
 SLASH_PATTERNS = ("^[A-Z]{1,3}[0-9]{3,5}-?[0-9]{2,4}", "^[0-9]{4}[A-Z][0-9]{3,4}-[0-9]{3}", "^[A-Z]{1,2}[0-9]{3,4}[A-Z0-9]{2,6}$")
 MODEL_PATTERNS: tuple[tuple[str, str], ...] = (

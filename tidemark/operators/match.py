@@ -127,16 +127,9 @@ def colour_pick(left: DataFrame, right: DataFrame, key: str, left_id: str, right
     return asked.join(best, (F.col(key) == F.col("_k")) & F.col("_lt").eqNullSafe(F.col("_l"))).drop("_k", "_l", "_lt")
 
 
-def hit_status(left: DataFrame, right: DataFrame, key: str, left_id: str, emit_most: int = 2) -> DataFrame:
-    """Pairs under one key with a status: single, several (up to emit_most) or ambiguous. All pairs are listed; see
-    hit_summary for large tables."""
-    j = left.join(right, key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(left_id))
-    return j.withColumn("hits", n).withColumn("status", F.when(n == 1, "single").when(n <= emit_most, "several").otherwise("ambiguous"))
-
-
 def hit_summary(left: DataFrame, right: DataFrame, key: str, right_id: str, emit_most: int = 2) -> DataFrame:
-    """As hit_status, but an ambiguous row on the left comes once, with no right row. Keys are counted before anything is
+    """Pairs under one key with a status: single or several (up to emit_most rows on the right); a row on the left with more
+    is ambiguous and comes once, with no right row. Keys are counted before anything is
     paired, so a row on the left meets at most emit_most rows."""
     hits = right.groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
     few = left.join(right.join(hits.where(F.col("hits") <= emit_most), key), key)
@@ -145,10 +138,6 @@ def hit_summary(left: DataFrame, right: DataFrame, key: str, right_id: str, emit
     return few.withColumn("status", status).unionByName(many, allowMissingColumns=True)
 
 
-def unmatched(left: DataFrame, right: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return left.join(right, keys, "left_anti").orderBy(*order).limit(n)
-
-
 def group_targets(df: DataFrame, key: str, value: str, pos: str) -> DataFrame:
     """Rows under a canonical key, in their order: the first value and all of them."""
     g = df.groupBy(key).agg(F.min_by(value, pos).alias("first_value"), F.array_sort(F.collect_list(F.struct(pos, value))).alias("_all"))

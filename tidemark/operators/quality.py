@@ -24,8 +24,14 @@ def repeated_pages(df: DataFrame, source: str, page: str, item: str) -> DataFram
     return sets.select(source, page, F.coalesce(F.col("items") == before, F.lit(False)).alias("repeated"))
 
 
-def missing_canaries(expected: DataFrame, seen: DataFrame, on: list[str]) -> DataFrame:
-    return expected.join(seen, on, "left_anti")
+def missing_canaries(expected: DataFrame, seen: DataFrame, on: list[str], few: int = 1_000_000) -> DataFrame:
+    """Expected rows that are not among those seen. Values are hashed, and the hashes of the expected, if a count shows
+    that they are few, are broadcast; of the seen rows only those with such a hash go on to be compared in full."""
+    e = expected.withColumn("_h", F.xxhash64(*on))
+    wanted = e.select("_h").distinct()
+    near = F.broadcast if wanted.limit(few + 1).count() <= few else (lambda df: df)
+    hits = seen.select(*on, F.xxhash64(*on).alias("_h")).join(near(wanted), "_h", "left_semi")
+    return e.join(hits, ["_h", *on], "left_anti").drop("_h")
 
 
 def pattern_cover(df: DataFrame, text: Column, patterns: dict[str, list[str]], hit: Column) -> DataFrame:

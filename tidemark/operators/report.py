@@ -33,10 +33,11 @@ def top_per_class(df: DataFrame, classes: list[str], item: str, n: int) -> DataF
 
 def order_stats(df: DataFrame, keys: list[str], value: str, least_p95: int = 20) -> DataFrame:
     """Count, least, greatest, the value at n/2 and, from least_p95 rows on, at int(0.95 n) of the sorted values. Exact
-    positions come from a ranking within the key, so no list of a key's values is built."""
+    positions come from running counts of the different values, which are counted before the shuffle."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(*keys)
-    r = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"), F.row_number().over(w.orderBy(value)).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda k: F.max(F.when(F.col("i") == k + 1, F.col("v")))
+    r = c.withColumn("upto", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
     return r.groupBy(*keys).agg(
         F.max("n").alias("n"), F.min("v").alias("least"), at(F.floor(F.col("n") / 2)).alias("p50"),
         F.when(F.max("n") >= least_p95, at(F.floor(F.col("n") * F.lit(95) / 100))).alias("p95"), F.max("v").alias("greatest"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import liquidity
 
+#: The weights of the scores.
 WEIGHTS = {"liquidity": 0.35, "volatility": 0.20, "velocity": 0.25, "price_position": 0.20}
 
 
@@ -24,11 +25,6 @@ def trade_stats(trades: DataFrame, key: str, ts: str, price: str, order: list[Co
     return g.withColumn("trend", F.when(F.col("n") < 10, "").when(up, "up").when(down, "down").otherwise("flat")).drop("_a", "_b")
 
 
-def nth_sorted(values: Column, at: Column) -> Column:
-    """Element at a position counted from 0 of the sorted array: an exact order statistic, not an estimate."""
-    return F.get(F.sort_array(values), at.cast("int"))
-
-
 def volatility(prices: Column, n: Column, mean: Column, sd: Column) -> Column:
     return F.when(n < 2, 0.5).when(mean <= 0, 0.0).otherwise(1.0 / (1.0 + sd / mean * 5.0))
 
@@ -44,20 +40,21 @@ def price_position(sell: Column, n: Column, p25: Column, p75: Column) -> Column:
 
 def signal_scores(trades: DataFrame, state: DataFrame, key: str, ts: str, price: str, asks: str = "asks", sell: str = "sell", weights: dict[str, float] | None = None) -> DataFrame:
     """The four scores, their weighted total, the reasons and whether it passes. trades: key, ts, price; state: key,
-    asks, sell. Positive prices count; all statistics of a product come from one pass over its trades."""
+    asks, sell. Positive prices count; all statistics of a product come from one shuffle of its trades, quartiles by their place."""
     w = WEIGHTS if weights is None else weights
     good = F.when(F.col(price) > 0, F.col(price))
-    gap = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(Window.partitionBy(key).orderBy(ts)))
-    t = trades.select(key, good.alias("p"), F.when(gap > 0, gap).alias("gap"))
+    own = Window.partitionBy(key)
+    gap = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(own.orderBy(ts)))
+    place = F.row_number().over(own.orderBy(F.asc_nulls_last("p"))) - 1
+    t = trades.withColumn("p", good).select(key, "p", F.when(gap > 0, gap).alias("gap"), place.alias("at"), F.count("p").over(own).alias("of"))
+    q = lambda num: F.max(F.when(F.col("at") == F.floor(F.col("of") * num / 4), F.col("p"))).alias(f"q{num}")
     g = t.groupBy(key).agg(
-        F.count(F.lit(1)).alias("sales"), F.count("p").alias("n"), F.avg("p").alias("mean"), F.stddev_samp("p").alias("sd"), F.median("gap").alias("gap"),
-        F.sort_array(F.collect_list("p")).alias("ps"))
+        F.count(F.lit(1)).alias("sales"), F.count("p").alias("n"), F.avg("p").alias("mean"), F.stddev_samp("p").alias("sd"), F.median("gap").alias("gap"), q(1), q(3))
     j = g.join(state, key)
     n = F.col("n")
-    q = lambda num: F.get("ps", F.floor(n * num / 4).cast("int"))
     j = j.select(
         key, F.col("sales"), F.col(asks).alias("asks"), liquidity(F.col("sales"), F.col(asks)).alias("liquidity"), volatility(F.col("ps"), n, F.col("mean"), F.col("sd")).alias("volatility"),
-        velocity(F.col("gap")).alias("velocity"), price_position(F.col(sell), n, q(1), q(3)).alias("price_position"))
+        velocity(F.col("gap")).alias("velocity"), price_position(F.col(sell), n, F.col("q1"), F.col("q3")).alias("price_position"))
     total = sum((F.col(k) * F.lit(w.get(k, 0.0)) for k in WEIGHTS), F.lit(0.0))
     reasons = F.filter(F.array(
         F.when(F.col("liquidity") >= 0.7, "liquid"), F.when(F.col("volatility") >= 0.7, "stable").when(F.col("volatility") <= 0.3, "volatile"), F.when(F.col("velocity") >= 0.7, "fast"),

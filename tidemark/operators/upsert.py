@@ -77,8 +77,10 @@ def cap_per_group(df: DataFrame, unique: list[str], group: list[str], order: lis
     return keep_first(df, unique, order).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def exclude_oldest(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """All rows but the n oldest by a total order; the n are few and found by a bounded top-n, not by a global sort."""
-    keys = df.columns
-    oldest = df.orderBy(*order).limit(n)
-    return df.exceptAll(oldest) if n > 0 else df.select(*keys)
+def exclude_oldest(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """All rows but the n oldest by a total order of columns. The n-th key is found by a bounded top-n and is one row, so
+    it is broadcast and nothing is shuffled; all rows go if there are no more than n."""
+    if n <= 0:
+        return df
+    last = df.select(F.struct(*order).alias("_o")).orderBy("_o").limit(n).agg(F.max("_o").alias("_last"))
+    return df.join(F.broadcast(last), F.struct(*order) > F.col("_last")).select(*df.columns)

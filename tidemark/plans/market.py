@@ -228,7 +228,7 @@ def cap_per_group(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate, o_orderkey) > 25")
 def exclude_oldest(spark: SparkSession, d: str) -> DataFrame:
-    return upsert.exclude_oldest(read(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")], 25)
+    return upsert.exclude_oldest(read(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 25)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n, rate FROM (SELECT *, CASE WHEN floor(l_extendedprice)::BIGINT > sale AND sale > 0 THEN round_even(1.0::DOUBLE - sale::DOUBLE / floor(l_extendedprice)::BIGINT::DOUBLE, 3) ELSE 0.0::DOUBLE END AS rate

@@ -148,12 +148,6 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), 1)
 
 
-def listed_items(df: DataFrame, html: str, patterns: dict[str, str]) -> DataFrame:
-    """Rows of a list page: the n-th hit of every pattern belongs to the n-th item."""
-    hits = [F.regexp_extract_all(html, F.lit(p), 1).alias(n) for n, p in patterns.items()]
-    return df.select(*[c for c in df.columns if c != html], F.inline(F.arrays_zip(*hits)))
-
-
 def packed_options(c: Column) -> Column:
     """'240,168,10001/245,0,10001/' as an array of (size, stock, in_stock)."""
     parts = F.filter(F.split(F.coalesce(c, F.lit("")), "/"), lambda x: x.rlike("^[^,]+,-?[0-9]+"))
