@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Names of collaborations, and words that mark a special edition with their synonyms.
 COLLABS = (
@@ -147,6 +150,22 @@ def sku_from_url(url: Column) -> Column:
     return F.upper(F.regexp_replace(F.regexp_extract(url, r"/([^/?#]+)/?(?:[?#].*)?$", 1), r"\.", "-"))
 
 
+def url_gender(url: Column) -> Column:
+    """mens, womens, unisex or kids, where a path segment says so; else ''."""
+    return F.lower(F.regexp_extract(url, "(?i)/(mens|womens|unisex|kids)(?:[/?#]|$)", 1))
+
+
+def url_colour(url: Column) -> Column:
+    """The colour in a last segment of the form colour-shoes-sku, in lower case; else ''."""
+    return F.lower(F.regexp_extract(url, "(?i)/([a-z0-9-]+?)-shoes-[^/?#]+/?(?:[?#].*)?$", 1))
+
+
+@F.pandas_udf(StringType())
+def unescape_all(s: pd.Series) -> pd.Series:
+    """All character references of HTML, named and numbered; a table no built-in function has."""
+    return s.map(html.unescape, na_action="ignore")
+
+
 def bracket_collab(name: Column) -> Column:
     """[A x B] in a name."""
     return F.coalesce(name.rlike(r"\[[^\[\]]*[xX×][^\[\]]*\]"), F.lit(False))

@@ -117,3 +117,12 @@ def script_payloads(spark: SparkSession, d: str) -> DataFrame:
     offer = nested.referenced(got, nested.dig(got, "Product:1"))
     price = nested.dig(F.get(nested.deep_objects(got, ["price", "stock"]), F.lit(0)), "price")
     return _parts(spark, d).select("id", price.cast("bigint").alias("price"), nested.dig(offer, "stock").cast("int").alias("stock"))
+
+
+@query("""SELECT p_partkey AS id, 'S' || p_partkey AS sku, size, CASE size WHEN '240' THEN p_size ELSE 0 END::BIGINT AS stock FROM part, (SELECT unnest(['240', '250']) AS size) WHERE size = '240' OR p_size % 2 = 0""")
+def cached_size_stock(spark: SparkSession, d: str) -> DataFrame:
+    """A product's sizes and stock, by references into a normalised cache; one is absent and some lack a stock."""
+    doc = F.concat(
+        F.lit('{"Product:1": {"sku": "S'), F.col("id").cast("string"), F.lit('", "variants": ["Variant:1", "Variant:2", "Variant:9"]}, "Other:1": {"sku": "no"}, "Variant:1": {"size": "240", "stock": '),
+        F.col("size").cast("string"), F.lit('}, "Variant:2": {"size": "250"'), F.when(F.col("size") % 2 == 0, ', "stock": 0').otherwise(""), F.lit("}}"))
+    return _parts(spark, d).select("id", F.inline(nested.cached_sizes(doc)))

@@ -131,10 +131,20 @@ def search_phrases(spark: SparkSession, d: str) -> DataFrame:
     return p.select(k.alias("id"), F.col("p_name").alias("name"), text.search_phrase(raw, ("bolt",), {"알려진": "known"}).alias("phrase"))
 
 
-@query("""SELECT p_partkey AS id, 'a<b>"c" & ''d''' AS text FROM part""")
+@query("""SELECT p_partkey AS id, 'a<b>"c" & ''d''' AS text, 'café €A…' || p_partkey AS every FROM part""")
 def entities(spark: SparkSession, d: str) -> DataFrame:
     p, k, _ = _part(spark, d)
-    return p.select(k.alias("id"), text.unescape_html(F.lit("a&lt;b&gt;&quot;c&quot; &amp; &#39;d&apos;")).alias("text"))
+    every = text.unescape_all(F.concat(F.lit("caf&eacute; &#8364;&#x41;&hellip;"), _s(k)))
+    return p.select(k.alias("id"), text.unescape_html(F.lit("a&lt;b&gt;&quot;c&quot; &amp; &#39;d&apos;")).alias("text"), every.alias("every"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'mens' WHEN 1 THEN 'womens' ELSE '' END AS gender, CASE WHEN p_size % 4 <> 0 THEN 'deep-' || lower(split_part(p_name, ' ', 1)) ELSE '' END AS colour FROM part""")
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    p, k, n = _part(spark, d)
+    gender = F.when(k % 3 == 0, "Mens").when(k % 3 == 1, "womens").otherwise("menswear")
+    last = F.when(n % 4 == 0, F.lit("plain")).otherwise(F.concat(F.lit("Deep-"), F.split("p_name", " ")[0], F.lit("-shoes-61."), _s(k)))
+    url = F.concat(F.lit("https://shop/products/cloud/"), gender, F.lit("/"), last, F.when(n % 3 == 0, "?c=1").otherwise(""))
+    return p.select(k.alias("id"), text.url_gender(url).alias("gender"), text.url_colour(url).alias("colour"))
 
 
 #: Reasons that a decision may name.

@@ -218,3 +218,18 @@ def referenced(cache: Column, ref: Column) -> Column:
     """What a reference of a normalised cache ({"__ref": name}) stands for; other values stand for themselves."""
     name = F.get_json_object(ref, "$.__ref")
     return F.when(name.isNotNull(), F.get(F.map_values(F.map_filter(F.from_json(cache, "MAP<STRING, STRING>"), lambda k, _: k == name)), F.lit(0))).otherwise(ref)
+
+
+def cached_sizes(cache: Column, product: str = "Product:", variants: str = "variants") -> Column:
+    """Array of (sku, size, stock) out of a normalised cache: products name their variants by key; variants that are not
+    there or lack a size or a stock are left out."""
+    m = F.from_json(cache, "MAP<STRING, STRING>")
+    products = F.filter(F.map_entries(m), lambda e: e["key"].startswith(product))
+
+    def of(e: Column) -> Column:
+        refs = F.coalesce(F.from_json(F.get_json_object(e["value"], f"$.{variants}"), "ARRAY<STRING>"), F.array().cast("array<string>"))
+        value = lambda r, name: F.get_json_object(F.try_element_at(m, r), f"$.{name}")
+        rows = F.transform(refs, lambda r: F.struct(F.get_json_object(e["value"], "$.sku").alias("sku"), value(r, "size").alias("size"), value(r, "stock").try_cast("bigint").alias("stock")))
+        return F.filter(rows, lambda x: x["size"].isNotNull() & x["stock"].isNotNull())
+
+    return F.flatten(F.transform(products, of))
