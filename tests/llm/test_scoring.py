@@ -163,7 +163,7 @@ def test_factors_fit_the_data():
 def test_trees_and_cells_prune():
     rng = np.random.default_rng(9)
     v = rng.normal(size=(10, 8))[rng.integers(0, 10, 3000)] * 5 + rng.normal(size=(3000, 8)) * 0.1
-    tree = ann.VPTree(np.arange(3000), v)
+    tree = ann.VPTree(np.arange(3000), v, 64)
     score, ids = tree.search(np.arange(40), v[:40], 5, 1.0)
     assert tree.scored < 0.5 * 40 * 3000
     s = v[:40] @ v.T

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LEAF = 64
+#: Vectors of a leaf; and of one where factors are tried, which is finer than any cell, so nothing prunes more later.
+LEAF, FINE = 256, 32
 #: Rows of the sample that cuts space into cells and tries factors, and cells, at most. Every row is indexed, whatever the
 #: sample.
 SAMPLE, CELLS = 8192, 1024
@@ -87,7 +88,8 @@ class Cells:
 
 
 class VPTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = 5):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, seed: int = 5):
+        self.leaf = leaf
         self.ids, self.v = ids, np.ascontiguousarray(vectors)
         norms = np.einsum("ij,ij->i", self.v, self.v)
         self.top = float(norms.max()) if len(norms) else 0.0
@@ -105,7 +107,7 @@ class VPTree:
     def _build(self, rows: np.ndarray) -> int:
         at = len(self.nodes)
         self.nodes.append(())
-        if len(rows) <= LEAF:
+        if len(rows) <= self.leaf:
             self.nodes[at] = (rows,)
             return at
         pick = rows[self.rng.integers(0, len(rows), 4)]  # the candidate whose distances spread most
@@ -186,7 +188,7 @@ def fitted_factor(sample: np.ndarray, k: int) -> float:
     if n < 20 * k:
         return 1.0
     ids = np.arange(n)
-    tree, asked = VPTree(ids, sample), ids[:: max(1, n // TRIED)]
+    tree, asked = VPTree(ids, sample, FINE), ids[:: max(1, n // TRIED)]
     want = tree.search(asked, sample[asked], k, 1.0)[0][:, -1]  # scores, as copies tie
     for factor in FACTORS:
         if (tree.search(asked, sample[asked], k, factor)[0] >= want[:, None]).mean() >= RECALL:
