@@ -6,8 +6,9 @@ least hashes of three permutations of the set. Two sets at similarity s share on
 by size and by two 64-bit SimHash sketches, which pass any pair at 0.8 or more but for a share of about 10^-6; what passes
 is verified exactly, on the sets, in a join.
 
-No group is paired out. First each key gives a spanning forest of its members; its verified edges join them into
-components. Then only pairs under a key that lie in different components and were not verified yet are verified too.
+No group's pairs are written out. First each key gives a spanning forest of its members; its verified edges join them into
+components. Then the members of a group that candidates hold together, but links do not, are compared block by block, in
+tasks that hold two blocks' sets; only links that join components come out.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .simhash import links, majority
 BANDS, ROWS = 20, 3
 #: Of 128 bits; at similarity 0.8 about 20 differ, with a deviation of 4.
 SKETCH_BITS = 44
+#: Members of a block of a group, and shingles of them, on average.
+BLOCK_NODES, BLOCK_GRAMS = 500, 500_000
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -116,23 +119,8 @@ def _forest(m: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def _across(m: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Pairs that may be similar and lie in different components (m[4]); the largest component is not paired with itself."""
-    roots, counts = np.unique(m[4], return_counts=True)
-    if len(roots) < 2:
-        return []
-    out: list[tuple[int, int]] = []
-    main = m[4] == roots[counts.argmax()]
-    rest = np.flatnonzero(main)
-    for i in np.flatnonzero(~main):
-        near = rest[_fits(m, i, rest, least) & (m[4][rest] != m[4][i])]
-        out += [(int(i), int(x)) for x in near]
-        rest = np.append(rest, i)
-    return out
-
-
-def _pairs(members: DataFrame, pair, least: float) -> DataFrame:
-    """(a, b) with a < b: what `pair` finds among the members of each key."""
+def _pairs(members: DataFrame, least: float) -> DataFrame:
+    """(a, b) with a < b: a spanning forest of what may be similar among the members of each key."""
 
     def run(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.diff(cols[0])) + 1
@@ -141,12 +129,10 @@ def _pairs(members: DataFrame, pair, least: float) -> DataFrame:
         m = cols[1:]
         two = starts[ends - starts == 2]
         fit = _fits(m, two, two + 1, least)
-        if len(m) > 4:
-            fit &= m[4][two] != m[4][two + 1]
         found.append(np.stack((m[0][two][fit], m[0][two + 1][fit])))
         more = ends - starts > 2
         for s, e in zip(starts[more], ends[more]):
-            if got := pair([c[s:e] for c in m], least):
+            if got := _forest([c[s:e] for c in m], least):
                 at = np.array(got) + s
                 found.append(np.stack((m[0][at[:, 0]], m[0][at[:, 1]])))
         both = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
@@ -186,6 +172,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return out.select("a", "b", "set_a", "set_b").mapInArrow(compute, "a long, b long")
 
 
+def _block_links(m: list[np.ndarray], roots: np.ndarray, grams: list, side: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Verified links between members of one block (all of side 0) or of two, that join components not joined yet."""
+    up: dict[int, int] = {}
+
+    def of(r: int) -> int:
+        while r in up:
+            r = up[r]
+        return r
+
+    out: list[tuple[int, int]] = []
+    sets = [np.frombuffer(g, np.uint64) for g in grams]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for at, i in enumerate(left):
+        rest = right if len(right) else left[at + 1 :]
+        for j in rest[_fits(m, i, rest, least) & (roots[rest] != roots[i])]:
+            a, b = of(int(roots[i])), of(int(roots[j]))
+            if a != b:
+                both, all_ = jaccard(sets[i], sets[j])
+                if both >= least * all_ - 1e-9 * all_:
+                    up[a] = b
+                    out.append((int(m[0][i]), int(m[0][j])))
+    return out
+
+
+def _across(nodes: DataFrame, least: float) -> DataFrame:
+    """Links between nodes of one loose group whose components differ. nodes: node, n, s1, s2, grams, root, loose. A group
+    is dealt over blocks of bounded size, and each two blocks meet in one task, so pairs are compared and never written;
+    a node travels as often as its group has blocks."""
+    sized = nodes.groupBy("loose").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_NODES), F.ceil(F.col("all") / BLOCK_GRAMS)).cast("int")
+    own = nodes.join(sized.select("loose", blocks.alias("blocks")), "loose").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    dealt = sent.select("loose", low.alias("p"), high.alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "s1", "s2", "root", "grams")
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                side, *cols = ([h[k] for h in held] for k in range(6))
+                m = [np.array(c, np.int64) for c in cols]
+                if got := _block_links(m[:4], m[4], [h[6] for h in held], np.array(side), least):
+                    yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in got], pa.int64()), pa.array([max(x) for x in got], pa.int64())], ["a", "b"])
+            held.clear()
+
+        for rb in batches:
+            for loose, p, q, *rest in zip(*(rb.column(k).to_pylist() for k in range(10))):
+                if (loose, p, q) != at:
+                    yield from answer()
+                    at = (loose, p, q)
+                held.append(rest)
+        yield from answer()
+
+    return dealt.repartition("loose", "p", "q").sortWithinPartitions("loose", "p", "q").mapInArrow(compute, "a long, b long")
+
+
 def _sets(docs: DataFrame, rows: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """node and its sorted hashes, for one row of each node."""
 
@@ -208,14 +251,14 @@ def similar_links(docs: DataFrame, own: DataFrame, nodes: DataFrame, least: floa
     for c in ("a", "b"):
         golay = golay.join(by_fp.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}")), c)
     golay = golay.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-    first = table(_pairs(members, _forest, least).unionByName(golay).distinct(), "candidates")
+    first = table(_pairs(members, least).unionByName(golay).distinct(), "candidates")
     named = table(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct(), "candidate-nodes")
     sets = table(_sets(docs, nodes.join(named, "node").select("row", "node"), size, id_col, text_col), "sets")
     good = table(_verified(first, sets, least), "links")
-    roots = components(good)
-    apart = members.join(named, "node", "left_semi").join(roots, "node", "left").select("key", "node", "n", "s1", "s2", F.coalesce("root", "node").alias("root"))
-    second = table(_pairs(apart, _across, least).join(first, ["a", "b"], "left_anti"), "candidates")
-    return good.unionByName(table(_verified(second, sets, least), "links"))
+    # What may be similar lies in one component of the candidates, as each key has spanned its members.
+    info = own.select("node", "n", "s1", "s2").distinct().join(sets, "node").join(components(good), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    second = table(_across(info.join(components(first).withColumnRenamed("root", "loose"), "node"), least), "links")
+    return good.unionByName(second)
 
 
 def keep_one_similar(docs: DataFrame, least: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
