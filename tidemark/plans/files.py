@@ -26,7 +26,7 @@ def json_array_source(spark: SparkSession, d: str) -> DataFrame:
     """Documents with an array of products."""
     docs = _parts(spark, d).groupBy(F.floor(F.col("id") / 500).alias("g")).agg(F.collect_list(F.struct("id", "name")).alias("products"))
     path = scratch(spark, "json-documents")
-    docs.select("products").write.json(path)
+    docs.select("products").write.option("maxRecordsPerFile", 1).json(path)  # a document is a file
     return files.read_json_array(spark, path, "products", "id BIGINT, name STRING")
 
 
