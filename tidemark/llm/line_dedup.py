@@ -82,9 +82,17 @@ class LineRuns:
         if len(self.levels[level]) >= self.fan_out:
             old, self.levels[level] = self.levels[level], []
             self._push(level + 1, self._write(self._merged(old)))
-            for r in old:
-                self.spark.sql(f"DROP TABLE {r._work.rpartition('/')[2].replace('-', '_')}")
-            drop(*old)
+            self._drop(old)
+
+    def _drop(self, runs: list[DataFrame]) -> None:
+        for r in runs:
+            self.spark.sql(f"DROP TABLE {r._work.rpartition('/')[2].replace('-', '_')}")
+        drop(*runs)
+
+    def close(self) -> None:
+        """Delete the runs, once what was asked of them is written."""
+        self._drop([r for level in self.levels for r in level])
+        self.levels = []
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         """Counts of several runs: merge joins of equal buckets, so nothing is dealt anew."""
@@ -116,6 +124,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     for i in range(n_batches):
         runs.add(lines.where(F.col("_batch") == i))
     frequent = table(runs.frequent(), "frequent-lines")
+    runs.close()
     # Lines in at least 1/200 of all documents are few by counting: a document of m lines holds m of them at most, so
     # the bound is 200 times the mean number of lines. They are broadcast; the rest is merge-joined.
     n_docs = docs.agg(F.count(F.lit(1)).alias("all"))
