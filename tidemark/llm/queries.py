@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import encode
+from .conversations import damage, digests, repair
 from .html_text import extract_text
 from .line_dedup import drop_frequent_lines
 from .packing import pack
@@ -72,8 +73,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    fixed = repair(damage(rows))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    ids = rows.select("conv_id").distinct()
+    out = ids.join(fixed.summary.withColumnRenamed("conv_id", "c1"), same("conv_id", "c1"), "left").join(digests(fixed.turns).withColumnRenamed("conv_id", "c2"), same("conv_id", "c2"), "left")
+    zeros = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_ann, op5_packing, op6_substring_dedup, op7_simhash, op8_html, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_ann, op5_packing, op6_substring_dedup, op7_simhash, op8_html, op9_quality, op10_warc, op13_conversations)}
 
 
 ORACLE = {
