@@ -14,6 +14,7 @@ from .conversations import damage, digests, repair
 from .html_text import extract_text
 from .line_dedup import drop_frequent_lines
 from .packing import pack
+from .phrases import collocations
 from .quality import BASE, quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
@@ -73,6 +74,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), least=30, max_n=4, top=2000, scale=2_000_000, percent=80)
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     fixed = repair(damage(rows))
@@ -84,10 +89,27 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_ann, op5_packing, op6_substring_dedup, op7_simhash, op8_html, op9_quality, op10_warc, op13_conversations)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_ann, op5_packing, op6_substring_dedup, op7_simhash, op8_html, op9_quality, op10_warc, op12_phrases, op13_conversations)}
 
 
 ORACLE = {
+    "op12_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS ws FROM pieces),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+gram AS (SELECT lang, unnest(flatten(list_transform(range(1, len(ws) + 1), lambda i: list_transform(range(0, least(4, len(ws) - i + 1)), lambda k: ws[i:i + k])))) AS g FROM w),
+f AS (SELECT lang, g, count(*) AS f FROM gram GROUP BY lang, g HAVING count(*) >= 30),
+cand AS (SELECT lang, g, f AS a FROM f WHERE len(g) >= 2),
+cuts AS (SELECT c.*, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, len(g))) AS k FROM cand) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+best AS (SELECT lang, g, a, arg_min({'l': l, 'r': r, 'score': score}, score::HUGEINT * 10 + k) AS b FROM cuts GROUP BY lang, g, a),
+inner_ AS (SELECT lang, unnest(flatten(list_transform(range(2, len(g)), lambda m: list_transform(range(1, len(g) - m + 2), lambda s: g[s:s + m - 1])))) AS g, a FROM cand WHERE len(g) > 2),
+held AS (SELECT lang, g, max(a) AS m FROM inner_ GROUP BY lang, g),
+ranked AS (SELECT best.lang, array_to_string(best.g, ' ') AS phrase, best.a, b.l, b.r, b.score,
+                  row_number() OVER (PARTITION BY best.lang ORDER BY b.score DESC, best.a DESC, array_to_string(best.g, ' ')) AS rank
+           FROM best LEFT JOIN held ON held.lang = best.lang AND held.g = best.g WHERE m IS NULL OR 100 * m < 80 * best.a)
+SELECT ranked.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000""",
     "op6_substring_dedup": r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
