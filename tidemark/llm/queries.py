@@ -18,6 +18,7 @@ from .phrases import collocations
 from .quality import BASE, quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .toxicity import fit, score
 from .warc import read_records, write_archives
 
@@ -74,6 +75,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(documents(spark, sf_dir), window=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir), least=30, max_n=4, top=2000, scale=2_000_000, percent=80)
 
@@ -89,10 +95,19 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_ann, op5_packing, op6_substring_dedup, op7_simhash, op8_html, op9_quality, op10_warc, op12_phrases, op13_conversations)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_bpe, op4_ann, op5_packing, op6_substring_dedup, op7_simhash, op8_html, op9_quality, op10_warc, op11_suffix_dedup, op12_phrases, op13_conversations)}
 
 
 ORACLE = {
+    "op11_suffix_dedup": r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM b)),
+often AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS fresh FROM win JOIN often USING (k)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit) GROUP BY doc_id, run),
+cut AS (SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM runs),
+kept AS (SELECT doc_id, count(*) AS s, sum(z - a) AS g, substr(any_value(h), 1, 2 * min(a)) || string_agg(substr(h, 2 * z + 1, 2 * (coalesce(next, n) - z)), '' ORDER BY a) AS t FROM cut JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(g, 0)::BIGINT AS n_removed, coalesce(s, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM b LEFT JOIN kept USING (doc_id)""",
     "op12_phrases": r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS p FROM documents),
