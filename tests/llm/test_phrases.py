@@ -70,7 +70,7 @@ def test_full_bitmaps_and_hot_words(spark, monkeypatch, bits):
         monkeypatch.setattr(phrases, "hot_keys", lambda d, keys: d.select(*keys).distinct().where("false") if keys != ["lang", "first"] else d.select(*keys).distinct().where("first in ('hot', 'w0', 'one')"))
         assert result(phrases.collocations(df)) == brute([r[1:] for r in rows])
         return
-    bitmap = type("B", (), {"value": b"\xff" * (1 << 22)})()
+    bitmap = type("B", (), {"value": b"\xff" * (1 << 23)})()
     got = spark.createDataFrame(df.selectExpr("coalesce(lang, 'und') lang", "text").mapInArrow(phrases._suffixes(bitmap, 4), "lang string, suffix string, n long").collect(), "lang string, suffix string, n long")
     every = got.sort("lang", "suffix", ascending=False).coalesce(1).selectExpr("lang", "false split", "suffix", "n").mapInArrow(phrases._stacked(1), "lang string, phrase string, n long")
     want = Counter()

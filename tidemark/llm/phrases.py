@@ -4,10 +4,11 @@ Every word starts a suffix of its piece, cut after `max_n` words. Suffixes are s
 in reverse lexicographic order, and one stack counts all their prefixes in one pass: a prefix is complete when the next
 suffix no longer has it. Parts of phrases are joined to their counts afterwards.
 
-A phrase is no more frequent than its words and word pairs, so suffixes end before the first word or pair that is rare for
-certain. What is rare is told by a first pass that adds counts in `2**SLOT_BITS` slots by hash, saturated at the threshold:
-a slot's total is never below the count of anything in it. The slots of all frequent ones make a bitmap of
-`2**SLOT_BITS / 8` bytes, whatever the corpus, which is broadcast. A corpus that fills it gets longer suffixes, not other results.
+A phrase is no more frequent than what it begins with, so a suffix ends where it would become rare for certain. What is
+rare is told by a first pass that adds the counts of all phrases of 1 to max_n words in `2**SLOT_BITS` slots by hash,
+saturated at the threshold: a slot's total is never below the count of anything in it. The slots of all frequent ones make a
+bitmap of `2**SLOT_BITS / 8` bytes, whatever the corpus, which is broadcast. A corpus that fills it gets longer suffixes, not
+other results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, hot_keys, lookup, table
 
-SLOT_BITS = 25
+SLOT_BITS = 26
 #: Slots that one row of counts, and of the bitmap, stands for.
 RANGE = 1 << 16
 #: Bytes of text tokenised at once, and words whose suffixes are counted before they are written out.
@@ -68,13 +69,14 @@ class _Words:
             own[i] = at
         return own[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def slots(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of single words and of pairs (a word and the one behind it)."""
+    def slots(self, ids: np.ndarray, max_n: int) -> Iterator[np.ndarray]:
+        """Slots of the phrases of 1, 2, ... max_n words that begin at each place that has as many words behind it."""
         h = np.array(self.hashes, np.uint64)[ids]
-        one = _mixed(h * np.uint64(0xD6E8FEB86659FD93))
-        two = _mixed(_mixed(h[:-1]) * np.uint64(0xA0761D6478BD642F) + h[1:])
-        shift = np.uint64(64 - SLOT_BITS)
-        return (one >> shift).astype(np.int64), (two >> shift).astype(np.int64)
+        code = _mixed(h * np.uint64(0xD6E8FEB86659FD93))
+        for n in range(1, min(max_n, len(ids)) + 1):
+            if n > 1:
+                code = _mixed(code[:-1] * np.uint64(0xA0761D6478BD642F) + h[n - 1 :])
+            yield (code >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def _seed(lang: str) -> int:
@@ -100,7 +102,7 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]
         yield from held.items()
 
 
-def _counts(least: int):
+def _counts(least: int, max_n: int):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(1 << SLOT_BITS, np.uint8)
         total: Counter = Counter()
@@ -109,9 +111,11 @@ def _counts(least: int):
             ids = words.of(tokens(texts))
             real = ids > 0
             total[lang] += int(real.sum())
-            one, two = words.slots(ids)
-            found, n = np.unique(np.concatenate((one[real], two[real[:-1] & real[1:]])), return_counts=True)
-            slots[found] = np.minimum(slots[found] + n, least)
+            whole = real
+            for k, at in enumerate(words.slots(ids, max_n)):
+                whole = whole if k == 0 else whole[:-1] & real[k:]
+                found, n = np.unique(at[whole], return_counts=True)
+                slots[found] = np.minimum(slots[found] + n, least)
         names = ["at", "offsets", "counts", "lang", "words"]
         for at in range(0, 1 << SLOT_BITS, RANGE):
             part = slots[at : at + RANGE]
@@ -155,12 +159,10 @@ def _suffixes(bitmap, max_n: int):
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             ids, own = np.concatenate(held.pop(lang)), words.pop(lang)
-            one, two = own.slots(ids)
-            good = (ids > 0) & test(one)
-            pair = good[:-1] & good[1:] & test(two)
-            length, on = good.astype(np.int64), good
-            for k in range(1, min(max_n, len(ids))):
-                on = on[:-1] & pair[k - 1 :]
+            length = np.zeros(len(ids), np.int64)
+            on = real = ids > 0
+            for k, at in enumerate(own.slots(ids, max_n)):
+                on = (on if k == 0 else on[:-1] & real[k:]) & test(at)
                 length[: len(on)] += on
             names = list(own.ids)
             spaced = pa.array([w + b" " for w in names], pa.binary())
@@ -252,7 +254,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, max_n: int = 4, lang_col: st
         raise ValueError("least must be from 1 to 255, as counts of slots are bytes")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    slots = table(rows.mapInArrow(_counts(least), "at int, offsets binary, counts binary, lang string, words long"), "slots")
+    slots = table(rows.mapInArrow(_counts(least, max_n), "at int, offsets binary, counts binary, lang string, words long"), "slots")
     sizes = slots.where("at is null").groupBy("lang").agg(F.sum("words").alias("words"))
     ranges = slots.where("at is not null").select("at", "offsets", "counts").repartition("at").sortWithinPartitions("at")
     bits = np.zeros((1 << SLOT_BITS) // RANGE * (RANGE // 8), np.uint8)
@@ -263,8 +265,8 @@ def phrase_counts(docs: DataFrame, least: int = 30, max_n: int = 4, lang_col: st
     first = F.substring_index("suffix", " ", 1)
     suffixes = table(rows.mapInArrow(_suffixes(bitmap, max_n), "lang string, suffix string, n long"), "suffixes")
     named = suffixes.withColumn("first", first)
-    hot = F.broadcast(table(hot_keys(named, ["lang", "first"]), "hot-words").withColumn("split", F.lit(True)))
-    dealt = named.join(hot, ["lang", "first"], "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    hot = [f"{r['first']} {r['lang']}" for r in hot_keys(named, ["lang", "first"]).collect()]  # at most 1 / HOT_SHARE
+    dealt = named.withColumn("split", F.concat("first", F.lit(" "), "lang").isin(hot) if hot else F.lit(False))
     part = F.when(F.col("split"), F.pmod(F.xxhash64(F.substring_index("suffix", " ", 3)), F.lit(PARTS))).otherwise(0)
     dealt = dealt.withColumn("part", part).repartition("lang", "first", "part")
     # A split first word may meet others of its partition, so split comes before the suffix.
