@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, hot_keys, lookup, table
+from .common import HOT_SHARE, drop, hot_keys, lookup, table
 
 SLOT_BITS = 26
 #: Slots that one row of counts, and of the bitmap, stands for.
@@ -104,26 +104,32 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]
 
 def _counts(least: int, max_n: int):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of slots, and of words: all of a language, and each that is hot in this task."""
         slots = np.zeros(1 << SLOT_BITS, np.uint8)
         total: Counter = Counter()
+        often: Counter = Counter()
         for lang, texts in _by_lang(batches):
             words = _Words(_seed(lang))
             ids = words.of(tokens(texts))
             real = ids > 0
             total[lang] += int(real.sum())
+            for word, n in zip(words.ids, np.bincount(ids).tolist()):
+                often[lang, word] += n if word != END else 0
             whole = real
             for k, at in enumerate(words.slots(ids, max_n)):
                 whole = whole if k == 0 else whole[:-1] & real[k:]
                 found, n = np.unique(at[whole], return_counts=True)
                 slots[found] = np.minimum(slots[found] + n, least)
-        names = ["at", "offsets", "counts", "lang", "words"]
+        names = ["at", "offsets", "counts", "lang", "word", "words"]
+        one = lambda x, t: pa.array([x], t)
         for at in range(0, 1 << SLOT_BITS, RANGE):
             part = slots[at : at + RANGE]
             if len(nz := np.flatnonzero(part)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at // RANGE], pa.int32()), pa.array([nz.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[nz].tobytes()], pa.binary()), pa.array([None], pa.string()), pa.array([None], pa.int64())], names)
-        none = pa.nulls(len(total), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.int32()), none, none, pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([one(at // RANGE, pa.int32()), one(nz.astype(np.uint16).tobytes(), pa.binary()), one(part[nz].tobytes(), pa.binary()), one(None, pa.string()), one(None, pa.string()), one(None, pa.int64())], names)
+        rows = [(lang, None, n) for lang, n in total.items()]
+        rows += [(lang, word.decode(), n) for (lang, word), n in often.items() if n * 2 >= total.total() * HOT_SHARE and n]
+        none = pa.nulls(len(rows), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), none, none, *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64())))], names)
 
     return compute
 
@@ -254,27 +260,29 @@ def phrase_counts(docs: DataFrame, least: int = 30, max_n: int = 4, lang_col: st
         raise ValueError("least must be from 1 to 255, as counts of slots are bytes")
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    slots = table(rows.mapInArrow(_counts(least, max_n), "at int, offsets binary, counts binary, lang string, words long"), "slots")
-    sizes = slots.where("at is null").groupBy("lang").agg(F.sum("words").alias("words"))
+    slots = table(rows.mapInArrow(_counts(least, max_n), "at int, offsets binary, counts binary, lang string, word string, words long"), "slots")
+    sizes = table(slots.where("at is null and word is null").groupBy("lang").agg(F.sum("words").alias("words")), "lang-words")
+    # A word that starts HOT_SHARE of all suffixes has half that share at least in tasks where it is hot; 2 / HOT_SHARE can.
+    total = sizes.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    heavy = slots.where("word is not null").groupBy("lang", "word").agg(F.sum("words").alias("n")).where(F.col("n") >= max(1000, total * HOT_SHARE / 2))
+    hot = [f"{r['word']} {r['lang']}" for r in heavy.collect()]
     ranges = slots.where("at is not null").select("at", "offsets", "counts").repartition("at").sortWithinPartitions("at")
     bits = np.zeros((1 << SLOT_BITS) // RANGE * (RANGE // 8), np.uint8)
     frequent = table(ranges.mapInArrow(_bits(least), "at int, bits binary"), "slot-bits")
+    drop(slots)
     for r in frequent.toLocalIterator():  # 2**SLOT_BITS / RANGE rows of RANGE / 8 bytes
         bits[r["at"] * (RANGE // 8) : (r["at"] + 1) * (RANGE // 8)] = np.frombuffer(r["bits"], np.uint8)
     bitmap = spark.sparkContext.broadcast(bits.tobytes())
-    first = F.substring_index("suffix", " ", 1)
-    suffixes = table(rows.mapInArrow(_suffixes(bitmap, max_n), "lang string, suffix string, n long"), "suffixes")
-    named = suffixes.withColumn("first", first)
-    hot = [f"{r['first']} {r['lang']}" for r in hot_keys(named, ["lang", "first"]).collect()]  # at most 1 / HOT_SHARE
-    dealt = named.withColumn("split", F.concat("first", F.lit(" "), "lang").isin(hot) if hot else F.lit(False))
+    suffixes = rows.mapInArrow(_suffixes(bitmap, max_n), "lang string, suffix string, n long").withColumn("first", F.substring_index("suffix", " ", 1))
+    dealt = suffixes.withColumn("split", F.concat("first", F.lit(" "), "lang").isin(hot) if hot else F.lit(False))
     part = F.when(F.col("split"), F.pmod(F.xxhash64(F.substring_index("suffix", " ", 3)), F.lit(PARTS))).otherwise(0)
     dealt = dealt.withColumn("part", part).repartition("lang", "first", "part")
     # A split first word may meet others of its partition, so split comes before the suffix.
     ordered = dealt.sortWithinPartitions("lang", "split", "part", F.desc("suffix")).select("lang", "split", "suffix", "n")
     prefixes = ordered.mapInArrow(_stacked(least), "lang string, phrase string, n long")
     counts = prefixes.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    out = table(counts, "phrases"), table(sizes, "lang-words")
-    drop(slots, frequent, suffixes)
+    out = table(counts, "phrases"), sizes
+    drop(frequent)
     return out
 
 
