@@ -20,6 +20,19 @@ def accumulate(rows: DataFrame, keys: list[str], ts: str, tie: str, keep_last: l
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen_count"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), *last)
 
 
+def sightings(rows: DataFrame, keys: list[str], ts: str, tie: str, keep_last: list[str]) -> DataFrame:
+    """accumulate() in a form that more sightings can be added to: each kept column is (ts, tie, value) of its last value
+    that is not blank."""
+    last = [F.max(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(c).alias("value")))).alias(c) for c in keep_last]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("seen_count"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), *last)
+
+
+def add_sightings(old: DataFrame, new: DataFrame, keys: list[str], keep_last: list[str]) -> DataFrame:
+    """Sum of two tables of sightings()."""
+    last = [F.max(c).alias(c) for c in keep_last]
+    return old.unionByName(new).groupBy(*keys).agg(F.sum("seen_count").alias("seen_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *last)
+
+
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Old rows stay; of new ones with an unseen key the first by `order` is added."""
     fresh = new.join(old.select(*keys), keys, "left_anti")
