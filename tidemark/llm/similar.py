@@ -7,8 +7,9 @@ by size and by two 64-bit SimHash sketches, which pass any pair at 0.8 or more b
 is verified exactly, on the sets, in a join.
 
 No group's pairs are written out. First each key gives a spanning forest of its members; its verified edges join them into
-components. Then the members of a group that candidates hold together, but links do not, are compared block by block, in
-tasks that hold two blocks' sets; only links that join components come out.
+components. Then the members of a group that candidates hold together, but links do not, are compared: those outside the
+group's largest component with all, block by block, in tasks that hold two blocks' sets; only links that join components
+come out.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _block_links(m: list[np.ndarray], roots: np.ndarray, grams: list, side: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Verified links between members of one block (all of side 0) or of two, that join components not joined yet."""
+    """Verified links between nodes of side 0 and of side 1 that join components not joined yet."""
     up: dict[int, int] = {}
 
     def of(r: int) -> int:
@@ -183,10 +184,9 @@ def _block_links(m: list[np.ndarray], roots: np.ndarray, grams: list, side: np.n
 
     out: list[tuple[int, int]] = []
     sets = [np.frombuffer(g, np.uint64) for g in grams]
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    for at, i in enumerate(left):
-        rest = right if len(right) else left[at + 1 :]
-        for j in rest[_fits(m, i, rest, least) & (roots[rest] != roots[i])]:
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        for j in right[(roots[right] != roots[i]) & _fits(m, i, right, least)]:
             a, b = of(int(roots[i])), of(int(roots[j]))
             if a != b:
                 both, all_ = jaccard(sets[i], sets[j])
@@ -196,16 +196,29 @@ def _block_links(m: list[np.ndarray], roots: np.ndarray, grams: list, side: np.n
     return out
 
 
-def _across(nodes: DataFrame, least: float) -> DataFrame:
-    """Links between nodes of one loose group whose components differ. nodes: node, n, s1, s2, grams, root, loose. A group
-    is dealt over blocks of bounded size, and each two blocks meet in one task, so pairs are compared and never written;
-    a node travels as often as its group has blocks."""
-    sized = nodes.groupBy("loose").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_NODES), F.ceil(F.col("all") / BLOCK_GRAMS)).cast("int")
-    own = nodes.join(sized.select("loose", blocks.alias("blocks")), "loose").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = sent.select("loose", low.alias("p"), high.alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "s1", "s2", "root", "grams")
+def _blocks(nodes: str, grams: str) -> Column:
+    return F.greatest(F.ceil(F.col(nodes) / BLOCK_NODES), F.ceil(F.col(grams) / BLOCK_GRAMS), F.lit(1)).cast("int")
+
+
+def _across(nodes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """Links between nodes of one loose group whose components differ. nodes: node, n, s1, s2, grams, root; groups: node,
+    loose. Of two components one is not the group's largest, so only nodes outside the largest (the rest) must meet others:
+    the rest and the whole group are dealt over blocks of bounded size, and each block of the rest meets each block of the
+    group in a task, where pairs are compared and never written. A node travels once per block of the rest, and one of the
+    rest once per block of the group: a group that hangs together, with up to BLOCK_NODES stray nodes, is sent about twice."""
+    placed = nodes.join(groups, "node")
+    parts = placed.groupBy("loose", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
+    main = F.max(F.struct("c", "g", "root"))
+    sized = parts.groupBy("loose").agg(F.sum("c").alias("c"), F.sum("g").alias("g"), main.alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    sized = sized.withColumn("rc", F.col("c") - F.col("m.c")).withColumn("rg", F.col("g") - F.col("m.g"))
+    sized = table(sized.select("loose", F.col("m.root").alias("main"), _blocks("c", "g").alias("ps"), _blocks("rc", "rg").alias("qs")), "loose-groups")
+    hot = table(hot_keys(groups, ["loose"]), "hot-groups")
+    known = lookup(groups, sized, ["loose"], hot, "inner")
+    own = nodes.join(known, "node").withColumn("p", F.pmod(F.xxhash64("node"), F.col("ps")).cast("int")).withColumn("q", F.pmod(F.xxhash64(F.lit("rest"), "node"), F.col("qs")).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda q: F.struct(F.col("p").alias("p"), q.alias("q"), F.lit(1).alias("side")))
+    rest = F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda p: F.struct(p.alias("p"), F.col("q").alias("q"), F.lit(0).alias("side")))
+    to = F.when(F.col("root") != F.col("main"), F.concat(sides, rest)).otherwise(sides)
+    dealt = own.withColumn("to", F.explode(to)).select("loose", "to.p", "to.q", "to.side", "node", "n", "s1", "s2", "root", "grams")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -257,7 +270,8 @@ def similar_links(docs: DataFrame, own: DataFrame, nodes: DataFrame, least: floa
     good = table(_verified(first, sets, least), "links")
     # What may be similar lies in one component of the candidates, as each key has spanned its members.
     info = own.select("node", "n", "s1", "s2").distinct().join(sets, "node").join(components(good), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = table(_across(info.join(components(first).withColumnRenamed("root", "loose"), "node"), least), "links")
+    groups = table(components(first).withColumnRenamed("root", "loose"), "groups")
+    second = table(_across(info, groups, least), "links")
     return good.unionByName(second)
 
 
