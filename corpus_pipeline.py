@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import drop, table
 from tidemark.llm.line_dedup import drop_frequent_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import keep_good
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name)
+        before, docs = docs, table(stage(spark, docs, sf_dir), name)
+        drop(before)  # the input itself is no work table
     return STAGES[-1][1](spark, docs, sf_dir)
