@@ -75,9 +75,9 @@ def apply_state(df: DataFrame, state: Column, volume: Column, matched: Column, a
 
 def spread_schedule(df: DataFrame, order: list[Column], first: int, key: Column, seconds: Column) -> DataFrame:
     """The first rows are due at once, the others within their class's time, spread by a hash of the key."""
-    unit = F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(1000)).cast("double") / 1000.0
+    unit = F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % 1000
     now = df.orderBy(*order).limit(first).select(F.lit(True).alias("_now"), key.alias("_k"))
-    return df.join(F.broadcast(now), key == F.col("_k"), "left").withColumn("wait_s", F.when(F.col("_now"), 0).otherwise(F.floor(unit * seconds)).cast("bigint")).drop("_now", "_k")
+    return df.join(F.broadcast(now), key == F.col("_k"), "left").withColumn("wait_s", F.when(F.col("_now"), 0).otherwise(F.floor(unit * seconds / 1000)).cast("bigint")).drop("_now", "_k")
 
 
 def page_state(html: Column, offline: list[str], upcoming: str) -> Column:

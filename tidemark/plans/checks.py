@@ -75,14 +75,13 @@ def volume_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_sql("market_products", "volumes", rest="""c AS (SELECT product_id, CASE WHEN coalesce(volume, 0) >= 30 THEN 7200 WHEN coalesce(volume, 0) >= 20 THEN 21600 ELSE 86400 END AS s, row_number() OVER (ORDER BY coalesce(volume, 0) DESC, product_id) AS n FROM market_products LEFT JOIN volumes USING (product_id))
- SELECT product_id, s, n <= 30 AS first FROM c"""))
+ SELECT product_id, s, n <= 30 AS first, CASE WHEN n <= 30 THEN 0 ELSE ('0x' || substr(md5(product_id::VARCHAR), 1, 8))::BIGINT % 1000 * s // 1000 END AS wait_s FROM c"""))
 def backfill_schedule(spark: SparkSession, d: str) -> DataFrame:
     v = F.coalesce("volume", F.lit(0))
     p = market_products(spark, d).select("product_id").join(volumes(spark, d), "product_id", "left").select("product_id", v.alias("v"), F.when(v >= 30, 7200).when(v >= 20, 21600).otherwise(86400).alias("s"))
     out = quality.spread_schedule(p, [F.desc("v"), F.asc("product_id")], 30, F.col("product_id"), F.col("s"))
     first = p.orderBy(F.desc("v"), "product_id").limit(30).select("product_id", F.lit(True).alias("first"))
-    ok = (F.col("wait_s") >= 0) & (F.col("wait_s") < F.col("s"))
-    return out.join(F.broadcast(first), "product_id", "left").where(ok).select("product_id", "s", F.coalesce("first", F.lit(False)).alias("first"))
+    return out.join(F.broadcast(first), "product_id", "left").select("product_id", "s", F.coalesce("first", F.lit(False)).alias("first"), "wait_s")
 
 
 @query("""SELECT page_id, CASE WHEN contains(html, 'lang="de"') OR contains(html, '?page=2') THEN 'offline' WHEN regexp_matches(html, 'track\\([0-9]*7\\)') THEN 'upcoming' ELSE 'open' END AS state FROM pages""")

@@ -43,13 +43,13 @@ def gate_reason_funnel(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_sql("market_prices", "retail_prices", rest="""latest AS (SELECT product_id, min(sell) AS last_sell FROM (SELECT *, max(ts) OVER (PARTITION BY product_id) AS last FROM market_prices) WHERE ts = last GROUP BY 1),
- vol AS (SELECT l_partkey AS product_id, count(*) FILTER (WHERE l_returnflag = 'R') AS v FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
+ vol AS (SELECT l_partkey AS product_id, count(*) FILTER (WHERE l_returnflag = 'R') AS v FROM lineitem WHERE l_shipdate < DATE '1993-06-01' GROUP BY 1)
  SELECT product_id, source, size, price, coalesce(last_sell - price + floor(last_sell::DOUBLE * 0.2::DOUBLE)::BIGINT < 10000, false) AS price_blocks, coalesce(v IS NOT NULL AND v < 1, false) AS volume_blocks, count(*) AS n
  FROM retail_prices LEFT JOIN latest USING (product_id) LEFT JOIN vol USING (product_id) GROUP BY ALL"""))
 def prefilters(spark: SparkSession, d: str) -> DataFrame:
     m = market_prices(spark, d)
     last = price.latest_batch(m, ["product_id"], "ts").groupBy("product_id").agg(F.min("sell").alias("last_sell"))
-    vol = read(spark, d, "lineitem").where("l_partkey % 3 <> 0").groupBy(F.col("l_partkey").alias("product_id")).agg(F.count_if(F.col("l_returnflag") == "R").alias("v"))
+    vol = read(spark, d, "lineitem").where("l_shipdate < date '1993-06-01'").groupBy(F.col("l_partkey").alias("product_id")).agg(F.count_if(F.col("l_returnflag") == "R").alias("v"))
     j = retail_prices(spark, d).join(last, "product_id", "left").join(vol, "product_id", "left")
     j = j.withColumn("price_blocks", gates.prefilter_price(F.col("last_sell") - F.col("price"), F.col("last_sell"))).withColumn("volume_blocks", gates.prefilter_volume(F.col("v").isNotNull(), F.col("v")))
     return j.groupBy("product_id", "source", "size", "price", "price_blocks", "volume_blocks").agg(F.count(F.lit(1)).alias("n"))

@@ -164,10 +164,10 @@ def substring_brand_join(spark: SparkSession, d: str) -> DataFrame:
     return match.substring_join(docs, words, F.lower("text"), F.col("w")).select("doc_id")
 
 
-@query(with_sql("market_products", rest="SELECT product_id FROM market_products a WHERE length(model_number) >= 4 AND EXISTS (SELECT 1 FROM market_products b WHERE b.product_id % 97 = 0 AND length(b.model_number) >= 4 AND starts_with(b.model_number, substr(a.model_number, 1, 10)))"))
+@query(with_sql("market_products", rest="SELECT product_id FROM market_products a WHERE length(model_number) >= 4 AND EXISTS (SELECT 1 FROM market_products b WHERE b.category LIKE 'PROMO%' AND length(b.model_number) >= 4 AND starts_with(b.model_number, substr(a.model_number, 1, 10)))"))
 def prefix_match(spark: SparkSession, d: str) -> DataFrame:
-    m = market_products(spark, d).select("product_id", "model_number")
-    return match.prefix_join(m, m.where("product_id % 97 = 0"), "model_number", 10).select("product_id")
+    m = market_products(spark, d).select("product_id", "model_number", "category")
+    return match.prefix_join(m, m.where("category like 'PROMO%'"), "model_number", 10).select("product_id")
 
 
 @query("""WITH l AS (SELECT o_orderkey AS oid, 'Brand#' || (o_custkey % 25) AS brand, string_split(CASE o_orderkey % 3 WHEN 0 THEN 'red widget' WHEN 1 THEN 'blue bolt' ELSE 'none' END, ' ') AS lt FROM orders),

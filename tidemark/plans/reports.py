@@ -11,15 +11,15 @@ from ..views import events, market_products, read, retail_prices, retail_product
 from .registry import query
 
 
-@query(with_sql("market_products", "retail_prices", "retail_products", rest="SELECT product_id, name FROM market_products WHERE product_id IN (SELECT product_id FROM retail_products WHERE source % 3 = 0) ORDER BY name DESC, product_id LIMIT 40"))
+@query(with_sql("market_products", "retail_prices", rest="SELECT product_id, name FROM market_products WHERE product_id IN (SELECT product_id FROM retail_prices WHERE in_stock) ORDER BY name DESC, product_id LIMIT 40"))
 def matched_products_semi(spark: SparkSession, d: str) -> DataFrame:
-    r = retail_products(spark, d).where("source % 3 = 0")
+    r = retail_prices(spark, d).where("in_stock")
     return market_products(spark, d).select("product_id", "name").join(r, "product_id", "left_semi").orderBy(F.desc("name"), "product_id").limit(40)
 
 
-@query(with_sql("market_products", "retail_prices", "retail_products", rest="SELECT count(DISTINCT product_id) AS matched FROM market_products JOIN retail_products USING (product_id) WHERE source < 5"))
+@query(with_sql("market_products", "retail_prices", rest="SELECT count(DISTINCT product_id) AS matched FROM market_products JOIN retail_prices USING (product_id) WHERE in_stock"))
 def matched_count(spark: SparkSession, d: str) -> DataFrame:
-    return market_products(spark, d).join(retail_products(spark, d).where("source < 5"), "product_id", "left_semi").agg(F.count(F.lit(1)).alias("matched"))
+    return market_products(spark, d).join(retail_prices(spark, d).where("in_stock"), "product_id", "left_semi").agg(F.count(F.lit(1)).alias("matched"))
 
 
 @query(with_sql("retail_prices", rest="""s AS (SELECT source, product_id, count(*) AS seen, max(ts) AS last_at FROM retail_prices GROUP BY ALL), k AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS product_id FROM lineitem WHERE l_returnflag = 'R')
@@ -30,10 +30,10 @@ def unmatched_topk(spark: SparkSession, d: str) -> DataFrame:
     return seen.join(known, ["source", "product_id"], "left_anti").orderBy(F.desc("seen"), F.desc("last_at"), "source", "product_id").limit(50)
 
 
-@query(with_sql("market_products", "retail_prices", "retail_products", rest="""SELECT source, count(*) AS dumped, count(*) FILTER (WHERE product_id IN (SELECT product_id FROM market_products WHERE product_id % 4 <> 0)) AS matched,
- round_even(count(*) FILTER (WHERE product_id IN (SELECT product_id FROM market_products WHERE product_id % 4 <> 0))::DOUBLE * 100.0::DOUBLE / count(*)::DOUBLE, 2) AS pct FROM retail_products GROUP BY 1"""))
+@query(with_sql("market_products", "retail_prices", "retail_products", rest="""SELECT source, count(*) AS dumped, count(*) FILTER (WHERE product_id IN (SELECT product_id FROM market_products WHERE category NOT LIKE 'PROMO%')) AS matched,
+ round_even(count(*) FILTER (WHERE product_id IN (SELECT product_id FROM market_products WHERE category NOT LIKE 'PROMO%'))::DOUBLE * 100.0::DOUBLE / count(*)::DOUBLE, 2) AS pct FROM retail_products GROUP BY 1"""))
 def match_rate_by_source(spark: SparkSession, d: str) -> DataFrame:
-    known = market_products(spark, d).where("product_id % 4 <> 0").select("product_id", F.lit(True).alias("hit"))
+    known = market_products(spark, d).where("category not like 'PROMO%'").select("product_id", F.lit(True).alias("hit"))
     g = retail_products(spark, d).join(known, "product_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("dumped"), F.count_if("hit").alias("matched"))
     return g.withColumn("pct", report.percent(F.col("matched"), F.col("dumped")))
 
@@ -150,13 +150,13 @@ def budget_allowance(spark: SparkSession, d: str) -> DataFrame:
     return u.withColumn("allowance", report.allowance(F.lit(500), F.lit(1000), F.lit(50), F.col("used"), F.col("bg")))
 
 
-@query("""WITH b AS (SELECT l_suppkey AS s, max(l_shipdate) AS last_at FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1)
+@query("""WITH b AS (SELECT l_suppkey AS s, max(l_shipdate) AS last_at FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
  SELECT s_suppkey AS source, last_at FROM supplier LEFT JOIN b ON s = s_suppkey WHERE last_at IS NULL OR last_at <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 72 HOUR""")
 def silent_sources(spark: SparkSession, d: str) -> DataFrame:
-    beats = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_shipdate").alias("at"))
+    beats = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_shipdate").alias("at"), "l_linestatus")
     asof = beats.agg(F.max("at").alias("asof"))
     expected = read(spark, d, "supplier").select(F.col("s_suppkey").alias("source")).join(F.broadcast(asof))
-    return report.silent_sources(expected, beats.where("source % 7 <> 0"), "source", "at", F.col("asof"), 72).select("source", "last_at")
+    return report.silent_sources(expected, beats.where("l_linestatus = 'O'"), "source", "at", F.col("asof"), 72).select("source", "last_at")
 
 
 @query("""WITH f AS (SELECT avg((coalesce(trim(text) <> '', false))::INT::DOUBLE) AS text, avg((coalesce(trim(CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE lang END) <> '', false))::INT::DOUBLE) AS lang, avg((coalesce(trim(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END) <> '', false))::INT::DOUBLE) AS source FROM documents)
@@ -174,13 +174,13 @@ def volume_drop_check(spark: SparkSession, d: str) -> DataFrame:
     return p.select("source", "day", "prev", "n", (F.col("n") < F.col("prev") * F.lit(0.8)).alias("dropped"))
 
 
-@query(with_sql("market_products", "retail_prices", "retail_products", "volumes", rest="""c AS (SELECT CASE WHEN product_id IN (SELECT product_id FROM retail_products WHERE source < 10) THEN 'A' WHEN substr(model_number, 1, 7) IN (SELECT DISTINCT substr(model_number, 1, 7) FROM market_products WHERE product_id % 50 = 0) THEN 'B' WHEN coalesce(volume, 0) = 0 THEN 'C' WHEN volume >= 10 THEN 'D' END AS b FROM market_products LEFT JOIN volumes USING (product_id))
+@query(with_sql("market_products", "retail_prices", "volumes", rest="""c AS (SELECT CASE WHEN product_id IN (SELECT product_id FROM retail_prices WHERE in_stock) THEN 'A' WHEN substr(model_number, 1, 7) IN (SELECT DISTINCT substr(model_number, 1, 7) FROM market_products WHERE product_id % 50 = 0) THEN 'B' WHEN coalesce(volume, 0) = 0 THEN 'C' WHEN volume >= 10 THEN 'D' END AS b FROM market_products LEFT JOIN volumes USING (product_id))
  SELECT bucket, count(b) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(bucket) LEFT JOIN c ON b = bucket GROUP BY 1"""))
 def coverage_buckets(spark: SparkSession, d: str) -> DataFrame:
     from ..views import volumes
 
     m = market_products(spark, d)
-    a = retail_products(spark, d).where("source < 10").select("product_id").distinct().withColumn("a", F.lit(True))
+    a = retail_prices(spark, d).where("in_stock").select("product_id").distinct().withColumn("a", F.lit(True))
     b = m.where("product_id % 50 = 0").select(F.substring("model_number", 1, 7).alias("p")).distinct().withColumn("b", F.lit(True))
     j = m.withColumn("p", F.substring("model_number", 1, 7)).join(a, "product_id", "left").join(b, "p", "left").join(volumes(spark, d), "product_id", "left")
     v = F.coalesce("volume", F.lit(0))
