@@ -18,8 +18,8 @@ SPECIAL = {-1: None, -2: math.nan, -3: math.inf, -4: -math.inf}
 
 def resolve(flat: list) -> object:
     """The object of a flattened graph: element 0 is the root, numbers inside lists and objects refer to elements,
-    negative ones are special values. Shared elements are built once; cycles come back as null, as JSON has none. Graphs
-    of any depth are resolved: no path is longer than the graph."""
+    negative ones are special values. Shared elements are built once; cycles come back as null, as JSON has none. Paths
+    of thousands of steps are resolved; one that Python's stack can't follow raises RecursionError."""
     done: dict[int, object] = {}
     open_: set[int] = set()
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(flat) + 1000))
@@ -67,14 +67,15 @@ def _clean(v: object) -> object:
 
 @F.pandas_udf(StringType())
 def resolve_graph(flat: pd.Series) -> pd.Series:
-    """JSON of the graph of a JSON array; null where it isn't one. A recursion no built-in function has."""
+    """JSON of the graph of a JSON array; null where it isn't one, or is nested too deeply for Python's stack (3,000 steps
+    are not, 50,000 are). A recursion no built-in function has."""
 
     def one(s: str | None) -> str | None:
         try:
             v = json.loads(s) if s else None
-        except ValueError:
+            return json.dumps(_clean(resolve(v)), ensure_ascii=False) if isinstance(v, list) and v else None
+        except (ValueError, RecursionError):
             return None
-        return json.dumps(_clean(resolve(v)), ensure_ascii=False) if isinstance(v, list) and v else None
 
     return flat.map(one)
 
@@ -104,7 +105,7 @@ def _json_list(find, c: Column) -> Column:
         def one(x: str | None) -> list[str]:
             try:
                 return [json.dumps(v, ensure_ascii=False) for v in find(json.loads(x))] if x else []
-            except ValueError:
+            except (ValueError, RecursionError):
                 return []
 
         return s.map(one)
