@@ -223,11 +223,36 @@ def test_path_scores_decide(monkeypatch, spark, data):
     assert html_text.extract(comments) == "T\nShort article, with text."
     pages = [r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").limit(20).collect()]
     before = [html_text.extract(h) for h in pages]
-    monkeypatch.setattr(html_text.Blocks, "scores", lambda self: np.ones(len(self.text)))
+    monkeypatch.setattr(html_text.Blocks, "scores", html_text.Blocks.priors)  # tags and names alone
     assert all(html_text.extract(h) != b for h, b in zip(pages, before))
     assert "Home" in html_text.extract(menu)
 
 
+PARA = "A sentence that says something, and then another clause of it. It goes on, for a while, as articles do; then it ends."
+
+
+@pytest.mark.parametrize("inside", [
+    '<p class="share-price">The share closed at 10 EUR.</p>', '<div class="side-effects">Headache, and a dry mouth.</div>', "<ul><li><a href=1>First book</a></li><li><a href=2>Second book</a></li></ul>",
+    '<ol class="references"><li><a href=1>First book</a></li></ol>', '<table class="data"><tr><td>1</td></tr></table>', '<h2 class="sub">Sub</h2>', f'<div class="row"><p>{PARA[:60]}</p></div>', "<div>By me</div>"])
+def test_parts_of_the_article_stay(inside):
+    text = " ".join(re.sub("<[^>]*>", " ", inside).split())
+    for around in ("article",) if "href" in inside else ("article", "main"):  # elsewhere a list of short links is a menu
+        got = html_text.extract(f"<body><nav><a href=/>Home</a></nav><{around}><h1>T</h1>{f'<p>{PARA}</p>' * 6}{inside}</{around}></body>").split("\n")
+        assert got[:7] == ["T"] + [PARA] * 6
+        assert " ".join(got[7:]) == text
+
+
+@pytest.mark.parametrize("extra", [
+    '<article class="teaser"><h2>Other</h2><p>A short teaser, see more.</p></article>', '<div class="werbung">Jetzt kaufen, nur heute bei uns!</div>', '<div class="xyz">Buy now!</div>', '<div class="publicité"><p>Achetez ici.</p></div>',
+    '<div class="ad-container">Buy this, today.</div>', "<aside>More of it.</aside>", f'<section id="comments"><article class="comment"><p>{PARA * 9}</p></article></section>', f'<div class="cookie-notice">{PARA}</div>'])
+def test_extras_go(extra):
+    body = f"<h1>T</h1>{f'<p>{PARA}</p>' * 6}"
+    want = "\n".join(["T"] + [PARA] * 6)
+    for page in (f"<body><article>{body}</article>{extra}</body>", f"<body>{extra}<article>{body}</article></body>", f"<body><main><article>{body}</article>{extra}</main></body>", f"<body><article>{body}{extra}</article></body>",
+                 f"<body><div class=post>{body}{extra}</div></body>"):
+        assert html_text.extract(page) == want
+
+
 @pytest.mark.parametrize("page", [
     "<a '" * 250_000, '<a ="' * 200_000, "<a ='x\">" * 120_000, "<b>" * 300_000, "<div>" * 200_000 + "x", "<b>" * 1000 + "<p>x" * 100_000, "<!--" * 250_000,
     "<svg>" * 200_000, "< " * 500_000, "<i>" * 50_000 + "</p></a></u>" * 50_000, "<p><table><td>" + "<b>" * 50_000 + "<div></div>" * 50_000, "<b><td>" + "<i>" * 50_000 + "</b>" * 50_000, "<ul><li>" * 60_000 + "x"])

@@ -1,10 +1,15 @@
 """Main-text extraction from HTML by tag-path ratios.
 
-The text of a page lies in blocks; blocks are grouped by the tag path from the root to their element. Per path: characters
-and punctuation per block. The sequence of both in page order is smoothed with its neighbours, the two are fused, weighed
-by what the path's tags and names say, and averaged over the path. Paths over a threshold are content. The lowest element
-around all content blocks, with headings and paragraphs that stand beside it, is the article. Inside it a block goes only
-if its path is no content and one of its steps stands for boilerplate: a menu of links, a footer, comments and the like.
+The text of a page lies in blocks; blocks are grouped by the tag path (with class names) from the root to their element.
+Per path, the characters and the punctuation per block are fused, with the path's share of the page's text. The sequence of
+these ratios in page order is smoothed with its neighbours by geometric means, so that no short block gains much from long
+ones beside it (and none from those in another part of the page), and averaged over each path. Paths over a share of the best one are content. What tags and names say only
+weighs near ties, but for menus, headers, footers, forms, notices and reader comments, which never are candidates.
+
+The lowest element around all content blocks, with headings and paragraphs that stand beside it, is the article (the
+article element around it, if there is one). Inside it, text goes whose path is no content if it stands in a part of its
+own that holds no content: another article element, an element named like an advert, a link list outside an article element,
+or a div or section of any name whose paths all are faint. Headings, short paragraphs, lists and tables of the article stay.
 """
 
 from __future__ import annotations
@@ -42,34 +47,58 @@ ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
 }
-#: Words of a class, id or role that name what is not the article.
+#: Words of a class, id or role that name menus, footers, notices and comments: never candidates.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion menu navbar nav navigation breadcrumb breadcrumbs "
-    "sidebar side rail footer masthead cookie cookies consent notice gdpr popup modal newsletter subscribe subscription signup login share sharing "
-    "social related recommended recommendations comment comments disqus reply replies respond pagination pager toolbar widget copyright disclaimer".split()
+    "menu navbar nav navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice gdpr popup modal newsletter subscribe "
+    "subscription signup login comment comments disqus reply replies respond pagination pager toolbar copyright disclaimer".split()
 )
+#: Words that make an advert or an extra likely; the ratio of its path decides.
+LIKELY = frozenset(
+    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion side rail share sharing social related recommended "
+    "recommendations widget teaser werbung anzeige anzeigen reklame publicidad anuncio anuncios publicité publicite annonce pubblicità pubblicita "
+    "publicidade reclame advertentie reklama реклама 広告 广告 廣告 광고".split()
+)
+#: Words behind a name that say nothing of their own.
+SHAPES = frozenset("area bar block bottom box button buttons container group inner item items left link links list right section slot top unit wrap wrapper".split())
+#: Parts that can be something of their own inside an article.
+PARTS = frozenset("article center details div section".split())
 #: Before a name, these say that an element has it, not that it is it.
 ABOUT = frozenset("has no with without show hide is not".split())
 
-#: A path is content from this share of the best path's score on.
-LEAST = 0.1
-#: What an article, a main element, and boilerplate weigh.
-ARTICLE, MAIN, BOILERPLATE = 3.0, 2.0, 0.02
+#: A path is content from this share of the best path's score on, and faint below that one.
+LEAST, FAINT = 0.1, 0.01
+#: What an article, a main element, and a likely extra weigh; what is no candidate at all.
+ARTICLE, MAIN, EXTRA, NEVER = 3.0, 2.0, 0.5, 0.0
+#: A character of a link counts as this much text.
+LINKED = 0.125
+#: In a page of so many characters of text, a prior counts twice; in one of much more, once.
+SPARSE = 200
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>=]")
 QUOTE = re.compile(r"\s*([\"']?)")
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|open)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+SPLIT_NAME = re.compile(r"[\W_]+|(?<=[^\W\d_])(?=[0-9])")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+DIGITS = re.compile(r"[0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？؟،]")
 ENDS_RAW = {t: re.compile(f"</{t}", re.I) for t in RAW}
 
 
-def attributes(attrs: str) -> tuple[bool, bool, bool]:
-    """Whether an element is hidden, is named as boilerplate, and is open."""
-    hidden = named = opened = False
+def _head(word: str) -> str:
+    """The word that a compound name is about: its last one, behind which stand only numbers and words for shapes."""
+    parts = [x for x in SPLIT_NAME.split(CAMEL.sub("-", word).lower()) if x and not x.isdigit()]
+    if not ABOUT.isdisjoint(parts):
+        return ""
+    while len(parts) > 1 and parts[-1] in SHAPES:
+        parts.pop()
+    return parts[-1] if parts else ""
+
+
+def attributes(attrs: str) -> tuple[bool, float, bool, str]:
+    """Whether an element is hidden, what its names weigh, whether it is open, and its names without digits."""
+    hidden, weight, opened, names = False, 1.0, False, []
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "open":
@@ -80,9 +109,10 @@ def attributes(attrs: str) -> tuple[bool, bool, bool]:
             hidden |= value == "true" if name == "aria-hidden" else bool(HIDDEN.search(value))
         else:
             for word in value.split():
-                parts = SPLIT_NAME.split(CAMEL.sub("-", word).lower())
-                named |= not NAMES.isdisjoint(parts) and ABOUT.isdisjoint(parts)
-    return hidden, named, opened
+                head = _head(word)
+                weight = min(weight, NEVER if head in NAMES else EXTRA if head in LIKELY else 1.0)
+                names.append(DIGITS.sub("", word))
+    return hidden, weight, opened, " ".join(sorted(names))
 
 
 class Page:
@@ -91,7 +121,7 @@ class Page:
     linear in the page: searches for what is not there are not repeated."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.named, self.gone = [""], [-1], [False], [False]
+        self.tag, self.parent, self.weight, self.names, self.gone = [""], [-1], [1.0], [""], [False]
         self.nodes: list[tuple[int, str, int, bool]] = []
         self._read(html)
 
@@ -173,11 +203,12 @@ class Page:
                     to = html.find(">", found.end()) if found else -1
                     at = n if to < 0 else to + 1
                 continue
-            hidden, named, is_open = attributes(attrs) if len(attrs) > 1 else (False, False, False)
+            hidden, weight, is_open, names = attributes(attrs) if len(attrs) > 1 else (False, 1.0, False, "")
             up = stack[-1]
             tags.append(tag)
             parents.append(up)
-            self.named.append(named)
+            self.weight.append(weight)
+            self.names.append(names)
             self.gone.append(self.gone[up] or hidden or (tag == "dialog" and not is_open))
             stack.append(len(tags) - 1)
             for k in groups(tag):
@@ -185,20 +216,21 @@ class Page:
 
 
 class Blocks:
-    """The page's blocks of text: element, text, whether nearly all of it is links; and each one's path and prior."""
+    """The page's blocks of text: element, text, characters in links; and each element's path and prior."""
 
     def __init__(self, page: Page):
         self.page = page
         nodes = [x for x in page.nodes if not page.gone[x[0]]]
-        self.element, self.text, self.linked = [], [], []
+        self.element, self.text, self.plain = [], [], []
         i = 0
         while i < len(nodes):
-            j, parts, plain, element = i, [], 0, -1
+            j, parts, plain, size, element = i, [], 0, 0, -1
             while j < len(nodes) and nodes[j][2] == nodes[i][2]:
                 e, t, _, link = nodes[j]
                 parts.append(unescape(t))
-                if size := len(t.strip()):
-                    plain += 0 if link else size
+                if n := len(t.strip()):
+                    size += n
+                    plain += 0 if link else n
                     element = e if element < 0 else min(element, e)
                 j += 1
             text = " ".join("".join(parts).split())
@@ -207,49 +239,65 @@ class Blocks:
                     element = page.parent[element]
                 self.element.append(element)
                 self.text.append(text)
-                self.linked.append(3 * plain < len(text))
+                self.plain.append(plain / size)
             i = j
         self._priors()
 
     def _priors(self) -> None:
-        """Per element: the number of its path, and the weight of its tags and names."""
-        tags, parents, named = self.page.tag, self.page.parent, self.page.named
+        """Per element: the number of its path, whether an article is around it, and the weight of its tags and names."""
+        tags, parents, named = self.page.tag, self.page.parent, self.page.weight
         weight = [0.0] * len(tags)
         around = [False] * len(tags)  # an article or main element lies inside
-        for e, t, linked in zip(self.element, self.text, self.linked):
-            weight[e] += 0 if linked else len(t)
+        for e, t, plain in zip(self.element, self.text, self.plain):
+            weight[e] += plain * len(t)
         for e in range(len(tags) - 1, 0, -1):
             weight[parents[e]] += weight[e]
             around[parents[e]] |= around[e] or tags[e] in ("article", "main")
-        numbers: dict[tuple[int, str, bool], int] = {}
+        numbers: dict[tuple[int, str, str], int] = {}
         self.path, self.prior = [0] * len(tags), [1.0] * len(tags)
+        self.inside, self.part = [False] * len(tags), [0] * len(tags)
         inside = [False] * len(tags)
         for e in range(1, len(tags)):
             up, tag = parents[e], tags[e]
             # A name on what holds the article (or most of the text, where no element is marked as one) speaks of layout.
-            noise = named[e] and not around[e] and tag != "main" and tag != "body" and (around[0] or 2 * weight[e] < weight[0])
-            noise |= tag in ASIDE or (tag == "header" and not inside[up])
+            layout = around[e] or tag in ("main", "body") or not (around[0] or 2 * weight[e] < weight[0])
+            own = 1.0 if layout else named[e]
+            if tag in ASIDE or (tag == "header" and not inside[up]):
+                own = NEVER
             inside[e] = inside[up] or tag in ("article", "main")
+            self.inside[e] = self.inside[up] or tag == "article"
             up_prior = self.prior[up]
-            self.prior[e] = up_prior if up_prior < 1 else BOILERPLATE if noise else max(up_prior, ARTICLE if tag == "article" else MAIN if tag == "main" else 1.0)
-            self.path[e] = numbers.setdefault((self.path[up], tag, noise), len(numbers) + 1)
+            best = max(up_prior, ARTICLE if tag == "article" else MAIN if tag == "main" else 1.0)
+            self.prior[e] = min(up_prior, own) if min(up_prior, own) < 1 else best
+            self.part[e] = e if tag == "article" or (tag in PARTS and self.page.names[e]) else self.part[up]
+            self.path[e] = numbers.setdefault((self.path[up], tag, self.page.names[e]), len(numbers) + 1)
 
     def priors(self) -> np.ndarray:
-        """Of each block; a block of links counts as boilerplate unless it is running text."""
-        tags = self.page.tag
-        return np.array([min(self.prior[e], BOILERPLATE) if linked and tags[e] not in TEXT else self.prior[e] for e, linked in zip(self.element, self.linked)])
+        return np.array([self.prior[e] for e in self.element])
 
-    def scores(self) -> np.ndarray:
-        """The fused and smoothed ratio of each block's path, times its prior."""
-        keys = [(self.path[e], linked) for e, linked in zip(self.element, self.linked)]
+    def ratios(self) -> np.ndarray:
+        """The fused and smoothed ratio of each block's path. A path's blocks of links are told from its others."""
+        keys = [(self.path[e], plain < 1 / 3) for e, plain in zip(self.element, self.plain)]
         number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
         of = np.array([number[k] for k in keys])
         count = np.bincount(of)
-        mean = lambda x: (np.bincount(of, weights=x) / count)[of]
-        smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), [0.25, 0.5, 0.25], mode="valid")
-        chars = smooth(mean(np.array([len(t) for t in self.text], float)))
-        marks = smooth(mean(np.array([len(PUNCTUATION.findall(t)) for t in self.text], float)))
-        return mean(chars * (1.0 + marks)) * self.priors()
+        chars = np.array([len(t) for t in self.text], float)
+        plain = np.array(self.plain)
+        chars *= plain + LINKED * (1 - plain)
+        marks = plain * np.array([len(PUNCTUATION.findall(t)) for t in self.text], float)
+        total = np.bincount(of, weights=chars)
+        fused = total / count * (1 + np.bincount(of, weights=marks) / count) * np.sqrt(total / total.sum())
+        value, part = np.log(fused[of]), np.array([self.part[e] for e in self.element])
+        same = part[1:] == part[:-1]
+        before, after = value.copy(), value.copy()  # a neighbour in another part lowers a block, but does not lift it
+        before[1:] = np.where(same, value[:-1], np.minimum(value[:-1], value[1:]))
+        after[:-1] = np.where(same, value[1:], np.minimum(value[:-1], value[1:]))
+        smooth = (before + 2 * value + after) / 4
+        return np.exp((np.bincount(of, weights=smooth) / count)[of])
+
+    def scores(self) -> np.ndarray:
+        """The ratio of each block's path, times its prior, which weighs more where there is little text to tell by."""
+        return self.ratios() * self.priors() ** (1 + SPARSE / sum(map(len, self.text)))
 
 
 def _around(page: Page, elements: list[int]) -> int:
@@ -272,14 +320,18 @@ def extract(html: str | None) -> str:
         return ""
     tags, parents = page.tag, page.parent
     score, prior = blocks.scores(), blocks.priors()
+    if not score.max() > 0:
+        return ""
     content = score >= LEAST * score.max()
     top = _around(page, [blocks.element[i] for i in np.flatnonzero(content)])
+    if blocks.inside[top]:
+        while tags[top] != "article":
+            top = parents[top]
     while tags[top] not in BLOCKS - TEXT - {"li"} and top:  # a paragraph is not an article
         top = parents[top]
     # Headings and paragraphs beside the content belong to it.
-    good = {e for e, p in zip(blocks.element, prior) if p >= 1}
     beside: dict[int, set[int]] = {}
-    for e in good:
+    for e in {e for e, p in zip(blocks.element, prior) if p >= 1}:
         if tags[e] in BESIDE:
             beside.setdefault(parents[e], set()).add(e)
     while top and tags[top] != "main" and tags[top] != "body":
@@ -288,10 +340,25 @@ def extract(html: str | None) -> str:
             top = up
         else:
             break
-    inside = [False] * len(tags)
+    # Parts of their own, without any content.
+    holds, faint, links = [False] * len(tags), [True] * len(tags), [True] * len(tags)
+    for e, x, plain in zip(blocks.element, score / score.max(), blocks.plain):
+        holds[e] |= bool(x >= LEAST)
+        faint[e] &= bool(x < FAINT)
+        links[e] &= plain < 1 / 3
+    for e in range(len(tags) - 1, top, -1):
+        up = parents[e]
+        holds[up], faint[up], links[up] = holds[up] or holds[e], faint[up] and faint[e], links[up] and links[e]
+    inside, apart = [False] * len(tags), [False] * len(tags)
     for e in range(top, len(tags)):
-        inside[e] = e == top or (e > top and inside[parents[e]])
-    return "\n".join(t for i, t in enumerate(blocks.text) if inside[blocks.element[i]] and (content[i] or prior[i] >= 1))
+        up, tag = parents[e], tags[e]
+        inside[e] = e == top or (e > top and inside[up])
+        if inside[e] and e != top:
+            own = page.weight[e] < 1 or tag == "article" or (tag in ("ul", "ol", "div") and links[e] and not blocks.inside[e])
+            own |= blocks.part[e] == e and faint[e] and tags[up] != "header"
+            apart[e] = apart[up] or (own and not holds[e])
+    keep = [inside[e] and p > NEVER and (bool(c) or not apart[e]) for e, c, p in zip(blocks.element, content, prior)]
+    return "\n".join(t for t, k in zip(blocks.text, keep) if k)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
