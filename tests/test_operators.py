@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators import change, match, price, report, upsert
+from tidemark.operators import change, match, price, report, rules, upsert
 from tidemark.sources import files, nested
 from tidemark.streaming import folds, pipeline
 
@@ -188,3 +188,37 @@ def test_deep_json_is_null_and_spares_the_rest(spark):
     got = [r[0] for r in df.select(nested.resolve_graph("x")).collect()]
     assert got[0] == "[" * 2000 + "7" + "]" * 2000 and got[1:4] == [None, None, None] and got[4] == '{"a": 7}'
     assert [r[0] for r in df.select(nested.deep_values(F.col("x"), "a")).collect()][1:4] == [[], [], []]
+
+
+def test_rules_by_source(spark):
+    texts = [(1, "a", "신발AB123-45운동화"), (2, "b", "신발AB123-45운동화"), (3, "a", "none"), (4, "b", "none"), (5, "c", "AB123-45"), (6, "a", None), (7, None, "AB123-45"), (8, "a", "XAB123-451 AB1-23 AB9-87x")]
+    rows_ = spark.createDataFrame(texts, "id INT, source STRING, t STRING")
+    table = spark.createDataFrame([("a", 2, r"[A-Z]+\d+", "first", True), ("a", 1, r"([A-Z]+\d+)-(\d\d)", "first", False), ("b", 1, r"[A-Z]+\d+", "last", False)], rules.RULES)
+    got = {r["id"]: (r["model"], r["status"]) for r in rules.codes_by_rule(rows_, table, "t").collect()}
+    assert got == {1: ("AB123-45", "code"), 2: ("AB123", "code"), 3: (None, "hold"), 4: (None, "drop"), 5: (None, "drop"), 6: (None, "hold"), 7: (None, "drop"), 8: ("AB1-23", "code")}
+    assert rules.codes_by_rule(rows_.limit(0), table, "t").count() == 0
+    assert {r["status"] for r in rules.codes_by_rule(rows_, table.limit(0), "t").collect()} == {"drop"}
+    with pytest.raises(ValueError):
+        rules.codes_by_rule(rows_, table, "t", most=2)
+    plan = rules.codes_by_rule(rows_, table, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_fallbacks_meet_one_row_a_key(spark):
+    left = spark.createDataFrame([(1, "ab"), (2, "ax"), (3, "zz"), (4, None)], "id INT, k STRING")
+    right = spark.createDataFrame([("ab", 9, "p"), ("ab", 8, "q"), ("a", 7, "r"), ("a", 6, "s"), (None, 1, "t")], "key STRING, rid INT, v STRING")
+    got = match.fallback_join(left, right, [F.col("k"), F.substring("k", 1, 1)], "key", ["id"], "rid")
+    assert rows(got, "id", "variant", "key", "rid", "v") == [(1, 0, "ab", 8, "q"), (2, 1, "a", 6, "s")]
+
+
+def test_numbers_over_stretches(spark):
+    df = spark.createDataFrame([(i * i - 50,) for i in range(40)], "k BIGINT")
+    assert rows(report.numbered(df.repartition(5), "k", "n", width=16), "k", "n") == [(i * i - 50, i + 1) for i in range(40)]
+
+
+def test_dictionaries_of_odd_words(spark):
+    texts = spark.createDataFrame([(1, "ab\0cd"), (2, "xxabcdxx"), (3, "bcde"), (4, "deab"), (5, ""), (6, None)], "id INT, t STRING")
+    words = spark.createDataFrame([("abcde",), ("abcd",)], "w STRING")
+    for few in (0, 100):
+        assert sorted(r["id"] for r in match.substring_join(texts, words, F.col("t"), F.col("w"), few=few).collect()) == [2, 3]
+        assert match.substring_join(texts, words.limit(0), F.col("t"), F.col("w"), few=few).count() == 0

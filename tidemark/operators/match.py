@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +39,12 @@ def slash_join(left: DataFrame, right: DataFrame, left_model: str, right_model:
 
 def fallback_join(left: DataFrame, right: DataFrame, variants: list[Column], right_key: str, left_id: list[str], right_id: str) -> DataFrame:
     """Try the key variants in order; the first that finds rows counts, of those the least right id."""
+    rest = [c for c in right.columns if c != right_key]
+    least = right.where(F.col(right_key).isNotNull()).groupBy(right_key).agg(F.min_by(F.struct(*rest), right_id).alias("_r")).select(right_key, "_r.*")  # a row per key
     tried = left.select("*", F.posexplode(F.array(*variants)).alias("variant", right_key))
-    hit = tried.where(F.col(right_key).isNotNull()).join(right, right_key)
-    w = Window.partitionBy(*left_id).orderBy("variant", right_id)
-    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    hit = tried.where(F.col(right_key).isNotNull()).join(least, right_key)
+    cols = [F.col(c) for c in hit.columns if c not in left_id]
+    return hit.groupBy(*left_id).agg(F.min_by(F.struct(*cols), "variant").alias("_h")).select(*left_id, "_h.*")
 
 
 def ranked_match(left: DataFrame, right: DataFrame, left_id: str, left_model: str, left_name: str, right_id: str, right_model: str, right_name: str) -> DataFrame:
@@ -87,17 +93,42 @@ def token_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, l
     return a.join(b, [block, "word"]).dropDuplicates([block, "lid", "rid"]).select("lid", "rid", shared.alias("shared")).where(F.col("shared") >= least)
 
 
+def _dictionary(words: list[str]) -> Callable[[Column], Column]:
+    """Whether a text holds one of the words or lies in one; false for null."""
+    longest, every = max(map(len, words), default=0), "\0".join(words)
+
+    @F.pandas_udf("boolean")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tree = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for w in words:
+            tree.add_word(w)
+        tree.make_automaton()
+
+        def one(t: str | None) -> bool:
+            if t is None or not words:
+                return False
+            return next(tree.iter(t), None) is not None or (len(t) <= longest and t in every and ("\0" not in t or any(t in w for w in words)))
+
+        for s in batches:
+            yield s.map(one).astype(bool)
+
+    return found
+
+
 def substring_join(left: DataFrame, small: DataFrame, a: Column, b: Column, least: int = 4, few: int = 20_000) -> DataFrame:
     """Rows of `left` whose text contains one of `small`'s or the reverse, both at least `least` long. A text that holds
     another holds its first `least` letters, so both directions are equi-joins on runs of letters, verified afterwards;
-    a dictionary of any size works, and one whose size is checked to be small is broadcast."""
+    a dictionary of any size works. One whose size is checked to be small goes over each text as an automaton, in one pass
+    and without a shuffle."""
     runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{least}}}))"), 1))
     words = small.select(b.alias("_w")).where(F.length("_w") >= least).distinct()
-    near = F.broadcast if words.limit(few + 1).count() <= few else (lambda df: df)
+    known = [r[0] for r in words.limit(few + 1).collect()]
+    if len(known) <= few:
+        return left.where((F.length(a) >= least) & _dictionary(known)(a))
     texts = left.select(a.alias("_t")).where(F.length("_t") >= least).distinct()
     keyed = texts.withColumn("_k", F.sha2("_t", 256))
-    inside = keyed.select("_k", F.explode(runs(F.col("_t"))).alias("_g")).join(near(words.select("_w", F.substring("_w", 1, least).alias("_g"))), "_g")
-    around = keyed.select("_k", F.substring("_t", 1, least).alias("_g")).join(near(words.select("_w", F.explode(runs(F.col("_w"))).alias("_g"))), "_g")
+    inside = keyed.select("_k", F.explode(runs(F.col("_t"))).alias("_g")).join(words.select("_w", F.substring("_w", 1, least).alias("_g")), "_g")
+    around = keyed.select("_k", F.substring("_t", 1, least).alias("_g")).join(words.select("_w", F.explode(runs(F.col("_w"))).alias("_g")), "_g")
     tried = inside.select("_k", "_w").unionByName(around.select("_k", "_w")).distinct()
     good = keyed.join(tried, "_k").where(F.col("_t").contains(F.col("_w")) | F.col("_w").contains(F.col("_t"))).select("_k").distinct()
     return left.withColumn("_k", F.sha2(a, 256)).join(good, "_k", "left_semi").drop("_k")

@@ -13,6 +13,16 @@ def top_counts(df: DataFrame, key: Column, name: str, n: int | None = None, leas
     return g if n is None else g.orderBy(F.desc("n"), name).limit(n)
 
 
+def numbered(df: DataFrame, key: str, name: str, width: int = 65_536) -> DataFrame:
+    """Rows numbered from 1 by an integer key without repeats: within stretches of `width` keys, after the counts of the
+    stretches before. Only those counts meet in one task."""
+    place = df.withColumn("_b", F.floor(F.col(key) / width))
+    counts = place.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_o"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(key))
+    return place.withColumn("_i", own).join(before, "_b").withColumn(name, F.col("_i") + F.col("_o")).drop("_b", "_i", "_o")
+
+
 def folded(c: Column, dash: str = "-") -> Column:
     """Null and '' as one group."""
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(dash))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money, sizes, tiers
 from ..operators import change, gates, price, score, upsert
 from ..views import events, market_prices, market_products, read, retail_prices, volumes, with_sql
-from .registry import query
+from .registry import ORACLE, query
 
 OPPS = """ask AS (SELECT product_id, size, max(sell) AS sell FROM (SELECT *, max(ts) OVER (PARTITION BY product_id) AS last FROM market_prices) WHERE ts = last GROUP BY ALL),
 offer AS (SELECT product_id, size, min(price) AS cost FROM retail_prices WHERE in_stock GROUP BY ALL),
@@ -167,6 +167,24 @@ def signal_scores(spark: SparkSession, d: str) -> DataFrame:
     return s.select("product_id", *score.WEIGHTS, "total", "passes", F.array_join("reasons", "|").alias("reasons"))
 
 
+#: Other weights than the usual ones: a buyer who looks at the price first.
+PRICE_FIRST = {"liquidity": 0.25, "volatility": 0.0, "velocity": 0.25, "price_position": 0.5}
+
+
+def _reweighted(sql: str) -> str:
+    usual = "liquidity * 0.35::DOUBLE + volatility * 0.20::DOUBLE + velocity * 0.25::DOUBLE + price_position * 0.20::DOUBLE"
+    return f"SELECT product_id, total, passes FROM ({sql.replace(usual, 'liquidity * 0.25::DOUBLE + volatility * 0.0::DOUBLE + velocity * 0.25::DOUBLE + price_position * 0.5::DOUBLE')})"
+
+
+@query(_reweighted(ORACLE["signal_scores"]))
+def signal_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and verdicts of the same scores under other weights."""
+    m = market_prices(spark, d)
+    asks = retail_prices(spark, d).where("in_stock").groupBy("product_id").agg(F.count(F.lit(1)).alias("asks"))
+    last = price.latest_batch(m, ["product_id"], "ts").groupBy("product_id").agg(F.max("sell").alias("sell"))
+    return score.signal_scores(m, asks.join(last, "product_id"), "product_id", "ts", "sell", weights=PRICE_FIRST).select("product_id", "total", "passes")
+
+
 @query("""SELECT l_partkey AS product_id, l_linenumber AS size, min(p) FILTER (WHERE side = 'ask') AS best_ask, max(p) FILTER (WHERE side = 'bid') AS best_bid, coalesce(sum(q) FILTER (WHERE side = 'bid'), 0)::BIGINT AS bid_quantity,
  arg_min(p, {'k': l_orderkey, 'p': p}) FILTER (WHERE side = 'sale') AS first_sale FROM (SELECT *, floor(l_extendedprice)::BIGINT AS p, l_quantity::BIGINT AS q, CASE l_returnflag WHEN 'R' THEN 'ask' WHEN 'A' THEN 'bid' ELSE 'sale' END AS side FROM lineitem) GROUP BY ALL""")
 def order_book_fold(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tiers
-from ..operators import quality, upsert
+from ..operators import quality, report, upsert
 from ..streaming import folds, pipeline
 from ..views import events, market_products, read, volumes, with_sql
 from .registry import query
@@ -147,10 +147,10 @@ def cold_targets(spark: SparkSession, d: str) -> DataFrame:
 
     v = market_products(spark, d).select("product_id").join(volumes(spark, d), "product_id", "left").withColumn("due", F.when(F.col("product_id") % 4 != 0, F.col("product_id") % 30))
     m = v.join(retail_products(spark, d), "product_id", "left_semi")
-    new = m.where("volume is null").select(F.lit("new").alias("mode"), "product_id", F.lit(None).cast("bigint").alias("due"))
+    new = report.numbered(m.where("volume is null").select(F.lit("new").alias("mode"), "product_id"), "product_id", "turn")
     again = m.where("volume is not null and (due is null or due <= 12)").orderBy(F.asc_nulls_first("due"), "product_id").limit(300).select(F.lit("recheck").alias("mode"), "product_id", "due")
-    turn = F.row_number().over(Window.partitionBy("mode").orderBy(F.asc_nulls_first("due"), "product_id"))  # the few asked next
-    return new.unionByName(again).select("mode", "product_id", turn.cast("bigint").alias("turn"))
+    turn = F.row_number().over(Window.partitionBy("mode").orderBy(F.asc_nulls_first("due"), "product_id"))  # 300 rows
+    return new.unionByName(again.select("mode", "product_id", turn.cast("bigint").alias("turn")))
 
 
 @query(with_sql("events", rest="""s AS (SELECT user_id AS id, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS before, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS after FROM ev GROUP BY 1)

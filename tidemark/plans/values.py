@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, sizes, text, tiers, times
-from ..operators import gates, upsert
+from ..operators import gates, rules, upsert
 from ..views import events, read, with_sql
 from .registry import query
 
@@ -75,26 +75,41 @@ def models_equal(spark: SparkSession, d: str) -> DataFrame:
     return p.select(k.alias("id"), text.models_match(F.concat("p_brand", F.lit("-"), _s(k)), b).alias("same"))
 
 
-#: Per-source patterns of model codes, in order of precedence.
-SOURCE_PATTERNS = {
-    "letters_first": r"\b([A-Z]{2}[0-9]{4}-[0-9]{3})\b",
-    "digits_dash": r"\b([0-9]{6}-[0-9]{3})\b",
-    "letters_digits": r"\b([A-Z]{1,2}[0-9]{4,5})\b",
-    "numbered": r"\b([0-9]{7})\b",
-}
-
-
-def _pattern_sql(x: str) -> str:
-    return "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, '{p}', 1), '')" for p in SOURCE_PATTERNS.values()) + ")"
-
-
-@query(f"""WITH p AS (SELECT p_partkey AS id, p_brand AS source, upper(p_name) || CASE p_partkey % 5 WHEN 0 THEN ' AB' || (1000 + p_partkey % 9000) || '-' || (100 + p_size) WHEN 1 THEN ' ' || (100000 + p_partkey) || '-' || (100 + p_size) WHEN 2 THEN ' K' || (10000 + p_partkey % 90000) WHEN 3 THEN ' ' || (1000000 + p_partkey) ELSE '' END AS t FROM part)
- SELECT id, source, {_pattern_sql('t')} AS model FROM p""")
+#: The patterns of model codes in five sources' texts: source, priority, pattern, which match, hold without one.
+SOURCE_RULES = [
+    ("wconcept", 1, r"\[([A-Z0-9]+-[A-Z0-9]+)\]", "first", True),
+    ("wconcept", 2, r"(?=[A-Z0-9]*\d)[A-Z0-9]{2,10}-\d{2,4}", "last", True),
+    ("wconcept", 3, r"(\d{4}[A-Z]\d{3})(?:[\s-]+(\d{3}))?", "first", True),
+    ("wconcept", 4, r"[A-Z]{1,3}\d[A-Z0-9]{3,9}", "last", True),
+    ("eql", 1, r"(?=[A-Z0-9]*\d)[A-Z0-9]{2,8}-\d{2,4}", "last", False),
+    ("eql", 2, r"[A-Z]{1,3}\d[A-Z0-9]{3,9}", "last", False),
+    ("nbkorea", 1, r"[A-Z]{1,4}\d{3,5}[A-Z0-9]{0,4}", "first", False),
+    ("kasina", 1, r"^[A-Z]{1,4}\d{3,5}-\d{2,4}$", "first", True),
+    ("kasina", 2, r"[A-Z]{1,4}\d{3,5}[A-Z0-9]{0,4}", "first", True),
+    ("asics", 1, r"(\d{4}[A-Z]\d{3}-\d{3})", "first", False),
+]
+
+
+@query(r"""WITH p AS (SELECT p_partkey AS id, p_partkey % 6 AS c, upper(p_name) || ' 신발' AS a, 'HQ' || (1000 + p_partkey % 9000) || '-' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS h,
+  (1000 + p_partkey % 9000) || 'A' || (100 + p_partkey % 900) AS s, lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS e, 'M' || (1000 + p_partkey % 9000) || 'RXD' AS n, '[AB' || p_partkey || '-' || p_size || ']' AS b FROM part),
+ t AS (SELECT id, unnest(['wconcept', 'eql', 'nbkorea', 'kasina', 'asics', 'other']) AS source, CASE c WHEN 0 THEN a || h || '와 ' || s || ' ' || e WHEN 1 THEN a || s || ' ' || e || '도' || n WHEN 2 THEN a || b || h WHEN 3 THEN h WHEN 4 THEN a || s || '-' || e ELSE a END AS t FROM p),
+ x AS (SELECT id, source, CASE source WHEN 'wconcept' THEN coalesce(nullif(regexp_extract(t, '\[([A-Z0-9]+-[A-Z0-9]+)\]', 1), ''), regexp_extract_all(t, '\b([A-Z]{0,9}[0-9][A-Z0-9]{0,9}-[0-9]{2,4})\b', 1)[-1],
+    nullif(concat_ws('-', nullif(regexp_extract(t, '\b([0-9]{4}[A-Z][0-9]{3})(?:[\s-]+([0-9]{3}))?\b', 1), ''), nullif(regexp_extract(t, '\b([0-9]{4}[A-Z][0-9]{3})(?:[\s-]+([0-9]{3}))?\b', 2), '')), ''), regexp_extract_all(t, '\b([A-Z]{1,3}[0-9][A-Z0-9]{3,9})\b', 1)[-1])
+  WHEN 'eql' THEN coalesce(regexp_extract_all(t, '\b([A-Z]{0,7}[0-9][A-Z0-9]{0,7}-[0-9]{2,4})\b', 1)[-1], regexp_extract_all(t, '\b([A-Z]{1,3}[0-9][A-Z0-9]{3,9})\b', 1)[-1])
+  WHEN 'nbkorea' THEN nullif(regexp_extract(t, '\b([A-Z]{1,4}[0-9]{3,5}[A-Z0-9]{0,4})\b', 1), '') WHEN 'kasina' THEN coalesce(nullif(regexp_extract(t, '^[A-Z]{1,4}[0-9]{3,5}-[0-9]{2,4}$', 0), ''), nullif(regexp_extract(t, '\b([A-Z]{1,4}[0-9]{3,5}[A-Z0-9]{0,4})\b', 1), ''))
+  WHEN 'asics' THEN nullif(regexp_extract(t, '\b([0-9]{4}[A-Z][0-9]{3}-[0-9]{3})\b', 1), '') END AS model FROM t)
+ SELECT id, source, model, CASE WHEN model IS NOT NULL THEN 'code' WHEN source IN ('wconcept', 'kasina') THEN 'hold' ELSE 'drop' END AS status FROM x""")
 def source_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """One text in six sources: each source's own patterns read its code. Codes stand next to Hangul without a space."""
     p, k, n = _part(spark, d)
-    tail = (F.when(k % 5 == 0, F.concat(F.lit(" AB"), _s(1000 + k % 9000), F.lit("-"), _s(100 + n))).when(k % 5 == 1, F.concat(F.lit(" "), _s(100_000 + k), F.lit("-"), _s(100 + n)))
-            .when(k % 5 == 2, F.concat(F.lit(" K"), _s(10_000 + k % 90_000))).when(k % 5 == 3, F.concat(F.lit(" "), _s(1_000_000 + k))).otherwise(""))
-    return p.select(k.alias("id"), F.col("p_brand").alias("source"), text.first_pattern(F.concat(F.upper("p_name"), tail), list(SOURCE_PATTERNS.values())).alias("model"))
+    three = F.lpad(_s(k % 1000), 3, "0")
+    lead, style = F.concat(F.upper("p_name"), F.lit(" 신발")), F.concat(_s(1000 + k % 9000), F.lit("A"), _s(100 + k % 900))
+    dashed, plain = F.concat(F.lit("HQ"), _s(1000 + k % 9000), F.lit("-"), three), F.concat(F.lit("M"), _s(1000 + k % 9000), F.lit("RXD"))
+    t = (F.when(k % 6 == 0, F.concat(lead, dashed, F.lit("와 "), style, F.lit(" "), three)).when(k % 6 == 1, F.concat(lead, style, F.lit(" "), three, F.lit("도"), plain))
+         .when(k % 6 == 2, F.concat(lead, F.lit("[AB"), _s(k), F.lit("-"), _s(n), F.lit("]"), dashed)).when(k % 6 == 3, dashed).when(k % 6 == 4, F.concat(lead, style, F.lit("-"), three)).otherwise(lead))
+    sources = F.array(*[F.lit(s) for s in (*dict.fromkeys(r[0] for r in SOURCE_RULES), "other")])
+    rows = p.select(k.alias("id"), F.explode(sources).alias("source"), t.alias("t"))
+    return rules.codes_by_rule(rows, spark.createDataFrame(SOURCE_RULES, rules.RULES), "t").select("id", "source", "model", "status")
 
 
 @query(with_sql("events", rest="""e AS (SELECT *, CASE k % 3 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE 'cold' END AS p, k % 2 = 0 AS good, (k * 7) % 100 AS q FROM ev)
@@ -131,11 +146,13 @@ def search_phrases(spark: SparkSession, d: str) -> DataFrame:
     return p.select(k.alias("id"), F.col("p_name").alias("name"), text.search_phrase(raw, ("bolt",), {"알려진": "known"}).alias("phrase"))
 
 
-@query("""SELECT p_partkey AS id, 'a<b>"c" & ''d''' AS text, 'café €A…' || p_partkey AS every FROM part""")
+@query("""SELECT p_partkey AS id, '<' || replace(p_name, ' ', ' & ') || '> "' || p_size || '"''' AS text, 'café ' || chr(65 + p_size % 26) || chr(945 + p_size % 17) || ' ' || replace(p_type, ' ', '…') AS every FROM part""")
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    p, k, _ = _part(spark, d)
-    every = text.unescape_all(F.concat(F.lit("caf&eacute; &#8364;&#x41;&hellip;"), _s(k)))
-    return p.select(k.alias("id"), text.unescape_html(F.lit("a&lt;b&gt;&quot;c&quot; &amp; &#39;d&apos;")).alias("text"), every.alias("every"))
+    """References in texts made of the columns: the five common ones, and named, decimal and hexadecimal ones."""
+    p, k, n = _part(spark, d)
+    common = F.concat(F.lit("&lt;"), F.replace("p_name", F.lit(" "), F.lit(" &amp; ")), F.lit("&gt; &quot;"), _s(n), F.lit("&quot;&#39;"))
+    every = F.concat(F.lit("caf&eacute; &#"), _s(65 + n % 26), F.lit(";&#x"), F.lower(F.hex(945 + n % 17)), F.lit("; "), F.replace("p_type", F.lit(" "), F.lit("&hellip;")))
+    return p.select(k.alias("id"), text.unescape_html(common).alias("text"), text.unescape_all(every).alias("every"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'mens' WHEN 1 THEN 'womens' ELSE '' END AS gender, CASE WHEN p_size % 4 <> 0 THEN 'deep-' || lower(split_part(p_name, ' ', 1)) ELSE '' END AS colour FROM part""")
