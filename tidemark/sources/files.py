@@ -41,9 +41,10 @@ def log_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sitemap(spark: SparkSession, path: str, like: str = "%") -> DataFrame:
-    """Product URLs of XML site maps."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.regexp_extract_all("value", F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1)).alias("url")).where(F.col("url").like(like)).distinct()
+    """Product URLs of XML site maps. A record goes from one opening tag to the next, so a file of any size is read in parts."""
+    text = spark.read.text(path, lineSep="<loc>")
+    url = F.regexp_extract("value", r"\A\s*([^<\s]+)\s*</loc>", 1)
+    return text.select(url.alias("url")).where((F.col("url") != "") & F.col("url").like(like)).distinct()
 
 
 def optional_table(spark: SparkSession, name: str, schema: StructType | str) -> DataFrame:
