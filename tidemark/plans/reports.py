@@ -30,14 +30,14 @@ def unmatched_topk(spark: SparkSession, d: str) -> DataFrame:
     return seen.join(known, ["source", "product_id"], "left_anti").orderBy(F.desc("seen"), F.desc("last_at"), "source", "product_id").limit(50)
 
 
-@query(with_sql("market_products", "retail_prices", rest="""SELECT product_id, brand, category, lower(brand) IN ('brand#11', 'brand#24') AS skipped, EXISTS (SELECT 1 FROM retail_prices r WHERE r.product_id = m.product_id AND in_stock) AS matched FROM market_products m WHERE category LIKE '%STEEL'
+@query(with_sql("market_products", "retail_prices", rest="""SELECT product_id, brand, category, lower(brand) IN ('brand#11', 'brand#24') AS skipped, EXISTS (SELECT 1 FROM retail_prices r WHERE r.product_id = m.product_id AND in_stock) AS matched FROM market_products m WHERE category LIKE 'PROMO%'
  AND NOT (lower(brand) NOT IN ('brand#11', 'brand#24') AND NOT EXISTS (SELECT 1 FROM retail_prices r WHERE r.product_id = m.product_id AND in_stock))"""))
 def closed_products(spark: SparkSession, d: str) -> DataFrame:
     """Products of a kind that need no look, and why: of a skipped brand, matched already, or both. One pass over the
     products tells both; the stock is reduced to a row per product first."""
     skipped = F.lower("brand").isin("brand#11", "brand#24")
     known = retail_prices(spark, d).where("in_stock").groupBy("product_id").agg(F.lit(True).alias("hit"))
-    rows = market_products(spark, d).where("category like '%STEEL'").join(known, "product_id", "left").withColumn("skipped", skipped).withColumn("matched", F.coalesce("hit", F.lit(False)))
+    rows = market_products(spark, d).where("category like 'PROMO%'").join(known, "product_id", "left").withColumn("skipped", skipped).withColumn("matched", F.coalesce("hit", F.lit(False)))
     return rows.where("skipped or matched").select("product_id", "brand", "category", "skipped", "matched")
 
 
