@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import tiers
 from ..functions.money import percent
@@ -53,14 +54,15 @@ def funnel(df: DataFrame, by: str, stages: dict[str, Column]) -> DataFrame:
 def sold_after(followups: DataFrame, sales: DataFrame, key: str, size: str, fired_at: str, fired_price: str, sold_at: str, price: str) -> DataFrame:
     """Whether a sale after the alert reached its price: of the same size, or of any size where the alert has none. Alerts
     and sales are laid in order of time within each day, and the best later price is a running maximum after that of the days
-    to come; no pairs are made, and a product of any number of sales is spread over its days."""
+    to come; no pairs are made, and a product of any number of sales is spread over its days. Times may be numbers of seconds."""
     group = lambda c: F.struct(c.isNull().alias("any"), c.alias("size"))
     f = followups.distinct().select(F.col(key).alias("_k"), group(F.col(size)).alias("_g"), F.col(fired_at).alias("_t"), F.lit(0).alias("_sale"), F.lit(None).alias("_p"), F.struct("*").alias("_f"))
     known = sales.where(F.col(key).isNotNull() & F.col(sold_at).isNotNull())
     both = F.when(F.col(size).isNull(), F.array(F.lit(None).cast(sales.schema[size].dataType))).otherwise(F.array(F.col(size), F.lit(None)))
     s = known.select(F.col(key).alias("_k"), F.explode(both).alias("_s"), F.col(sold_at).alias("_t"), F.col(price).alias("_p")).select("_k", group(F.col("_s")).alias("_g"), "_t", F.lit(1).alias("_sale"), "_p")
     # Newest first; at one time the alert comes before the sale, which is not after it.
-    both = f.unionByName(s, allowMissingColumns=True).withColumn("_d", F.date_trunc("day", "_t"))
+    seconds = isinstance(sales.schema[sold_at].dataType, NumericType)
+    both = f.unionByName(s, allowMissingColumns=True).withColumn("_d", F.floor(F.col("_t") / 86_400) if seconds else F.date_trunc("day", "_t"))
     coming = Window.partitionBy("_k", "_g").orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
     days = both.groupBy("_k", "_g", "_d").agg(F.max("_p").alias("_m")).select("_k", "_g", "_d", F.max("_m").over(coming).alias("_ahead"))
     later = Window.partitionBy("_k", "_g", "_d").orderBy(F.desc("_t"), "_sale").rowsBetween(Window.unboundedPreceding, 0)
