@@ -6,9 +6,9 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import upsert
+from tidemark.operators import change, upsert
 from tidemark.sources.keyed import KeyedTable
-from tidemark.streaming import consumers, folds, polling, timers
+from tidemark.streaming import backlog, consumers, folds, pipeline, polling, timers
 
 HOUR = 3600.0
 SCHEMA = "event_id LONG, item STRING, s DOUBLE, v INT, ok BOOLEAN, free BOOLEAN"
@@ -142,3 +142,120 @@ def test_late_rows_are_kept(spark):
         consumers.split_late(rows, n, "ts", 6 * 3600, root)
     got = sorted((r["batch"], r["h"], r["late"]) for r in spark.read.parquet(f"{root}/rows").collect())
     assert got == [(0, 1, "false"), (0, 10, "false"), (1, 3, "true"), (1, 9, "false"), (1, 20, "false"), (2, 13, "true"), (2, 15, "false")]
+
+
+def test_backlog_takes_by_priority(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    deliveries = [[(2, 1, "a"), (2, 2, "b"), (1, 9, "c"), (2, 3, "d"), (None, 7, "n")], [(0, 5, "e"), (2, 0, "f"), (2, 2, "g"), (2, 2, "g")], []]
+    for n, rows in enumerate(deliveries):
+        spark.createDataFrame(rows, "turn INT, id INT, name STRING").coalesce(1).write.parquet(f"{root}/in/part-{n}")
+    waiting, want, left = backlog.Backlog(spark, f"{root}/log", ["turn", "id"], 2), [], []
+    assert waiting.left() == 0 and waiting.taken() is None and waiting.waiting() is None
+
+    def twice(rows, number):
+        waiting.take(rows, number)
+        waiting.take(rows, number)
+
+    for n, rows in enumerate(deliveries):
+        twice(spark.read.parquet(f"{root}/in/part-{n}"), n)
+        left = sorted([*left, *rows], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        want += [(n, *r) for r in left[:2]]
+        left = left[2:]
+        assert waiting.left() == len(left)
+    assert waiting.waiting().count() == len(left) > 0
+    for n in range(3, 7):
+        twice(None, n)
+        want += [(n, *r) for r in left[:2]]
+        left = left[2:]
+    got = [(r["batch"], r["turn"], r["id"], r["name"]) for r in waiting.taken().collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) == 9
+    assert waiting.waiting() is None
+
+
+def test_backlog_batch_that_stopped(spark, monkeypatch):
+    """A batch that wrote its rows but no marks is taken again, from the same state."""
+    root = tempfile.mkdtemp(prefix="spark-")
+    rows = spark.createDataFrame([(i % 3, i) for i in range(20)], "turn INT, id INT")
+    waiting = backlog.Backlog(spark, root, ["turn", "id"], 6)
+    waiting.take(rows, 0)
+    with monkeypatch.context() as m:
+        m.setattr(KeyedTable, "merge", lambda *a: (_ for _ in ()).throw(RuntimeError("stop")))
+        with pytest.raises(RuntimeError):
+            waiting.take(rows, 1)
+    assert waiting.left() == 14
+    waiting.take(rows, 1)
+    assert waiting.left() == 28
+    got = sorted((r["batch"], r["turn"], r["id"]) for r in waiting.taken().collect())
+    first = sorted((i % 3, i) for i in range(20))
+    second = sorted([*first[6:], *first])
+    assert got == sorted([(0, *r) for r in first[:6]] + [(1, *r) for r in second[:6]])
+
+
+def test_backlog_over_files_of_a_stream(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    for n in range(3):
+        spark.range(n * 10, n * 10 + 10).selectExpr("id % 2 turn", "id").coalesce(1).write.parquet(f"{root}/in/part-{n}")
+    waiting = backlog.Backlog(spark, f"{root}/log", ["turn", "id"], 8)
+    stream = spark.readStream.schema("turn LONG, id LONG").option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(waiting.take).start().awaitTermination()
+    sizes = {r["batch"]: r["count"] for r in waiting.taken().groupBy("batch").count().collect()}
+    assert sizes == {0: 8, 1: 8, 2: 8} and waiting.left() == 6
+    # All even numbers come before any odd one that was delivered no earlier.
+    assert waiting.waiting().where("turn = 0").count() == 0
+
+
+def snapshot(spark, rows, buckets=8):
+    t = KeyedTable(spark, tempfile.mkdtemp(prefix="spark-"), ["id"], "id LONG, v STRING, w STRING", buckets)
+    t.merge(spark.createDataFrame(rows, t.schema), 0, lambda old, new: new)
+    return t
+
+
+def test_bucket_diff_joins_only_what_differs(spark):
+    rows = [(i, f"v{i}", None) for i in range(300)]
+    a, b = snapshot(spark, rows), snapshot(spark, rows[::-1])
+    assert change.differing(a, b) == set()
+    assert {r["change"] for r in change.bucket_diff(a, b, ["v", "w"]).collect()} == {"same"}
+    moved = [(i, None, f"v{i}") if i == 7 else (i, v, w) for i, v, w in rows]  # the same values in other columns
+    c = snapshot(spark, moved)
+    assert len(change.differing(a, c)) == 1
+    diff = change.bucket_diff(a, c, ["v", "w"])
+    assert sorted(map(tuple, diff.collect())) == sorted(map(tuple, change.snapshot_diff(a.read(), c.read(), "id", ["v", "w"]).collect()))
+    bucket = next(iter(change.differing(a, c)))
+    assert [f for f in diff.inputFiles() if a.path in f] and all(f"bucket={bucket}/" in f for f in diff.inputFiles() if a.path in f)
+
+
+def test_bucket_diff_of_versions(spark):
+    t = snapshot(spark, [(i, "x", "y") for i in range(100)])
+    t.merge(spark.createDataFrame([(5, "z", "y"), (200, "n", None)], t.schema), 1, lambda old, new: upsert.upsert_latest(old, new, ["id"], [F.lit(0)]))
+    t.merge(spark.createDataFrame([(9, "x", "y")], t.schema), 2, lambda old, new: upsert.upsert_latest(old, new, ["id"], [F.lit(0)]))
+    assert change.differing(t, t, 1, 1) == set()
+    assert change.differing(t, t, 1, 2) == set()  # rewritten, but with the same rows
+    got = {r["id"]: r["change"] for r in change.bucket_diff(t, t, ["v", "w"], 0, 2).collect()}
+    assert got == {i: {5: "changed", 200: "new"}.get(i, "same") for i in [*range(100), 200]}
+    empty = KeyedTable(spark, tempfile.mkdtemp(prefix="spark-"), ["id"], t.schema, 8)
+    assert {r["change"] for r in change.bucket_diff(t, empty, ["v", "w"]).collect()} == {"stale"}
+    assert change.bucket_diff(empty, empty, ["v", "w"]).count() == 0
+    with pytest.raises(ValueError):
+        change.differing(t, snapshot(spark, [(1, "x", "y")], 4))
+
+
+def test_windows_close_once_and_late_rows_count(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    parts = [[0, 30, 65], [62, 100, 20], [40, 300]]  # minutes; the delay is half an hour
+    out = None
+    for n, part in enumerate(parts):
+        spark.createDataFrame([(m, "a") for m in part], "m INT, kind STRING").withColumn("ts", F.timestamp_seconds(F.col("m") * 60)).write.parquet(f"{root}/in/part-{n}")
+        stream = spark.readStream.schema("m INT, kind STRING, ts TIMESTAMP").parquet(f"{root}/in/*")
+        out = pipeline.rates(stream, "ts", ["kind"], "30 minutes", "10 minutes", "30 minutes")
+        q = out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(lambda b, i: pipeline.write_once(b, i, f"{root}/rows")).start()
+        q.awaitTermination()
+    got = sorted((r["start"].minute + 60 * r["start"].hour + 1440 * (r["start"].day - 1 if r["start"].year == 1970 else -1), r["n"]) for r in spark.read.schema(out.schema).parquet(f"{root}/rows").selectExpr("cast(start as timestamp_ntz) start", "n").collect())
+    want, closed = {}, -(10**9)
+    for part in parts:
+        for m in part:
+            for s in (m // 10 * 10 - 10 * h for h in range(3)):
+                if s + 30 > closed:
+                    want[s] = want.get(s, 0) + 1
+        closed = max(closed, max(part) - 30)
+    assert got == sorted((s, n) for s, n in want.items() if s + 30 <= closed)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == sum(s + 30 > closed for s in want)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, tiers
+from ..sources.keyed import KeyedTable
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[Column], values: list[str]) -> DataFrame:
@@ -38,6 +39,31 @@ def snapshot_diff(before: DataFrame, now: DataFrame, key: str, values: list[str]
     return a.join(b, key, "full_outer").select(key, kind.alias("change"))
 
 
+def differing(before: KeyedTable, now: KeyedTable, then: int | None = None, at: int | None = None) -> set[int]:
+    """Buckets whose rows differ between versions (the last by default) of two tables of the same keys and buckets. Buckets
+    that two versions of one table share are files of both and aren't even hashed."""
+    if (before.keys, before.buckets) != (now.keys, now.buckets):
+        raise ValueError("tables must have the same keys and number of buckets")
+    if before.path == now.path:
+        a, b = before.manifest(then), now.manifest(at)
+        moved = {k for k in a.keys() | b.keys() if a.get(k) != b.get(k)}
+        if not moved:
+            return set()
+    else:
+        moved = set(range(now.buckets))
+    a, b = before.digests(then), now.digests(at)
+    return {k for k in moved if a.get(k) != b.get(k)}
+
+
+def bucket_diff(before: KeyedTable, now: KeyedTable, values: list[str], then: int | None = None, at: int | None = None) -> DataFrame:
+    """snapshot_diff of two keyed snapshots with one key. Only buckets whose digests differ are joined; of the others the keys
+    alone are read, all `same`."""
+    key = now.keys[0]
+    other = differing(before, now, then, at)
+    joined = snapshot_diff(before.only(other, then), now.only(other, at), key, values)
+    return joined.unionByName(now.only(set(range(now.buckets)) - other, at).select(key, F.lit("same").alias("change")))
+
+
 def cap_changes(changes: DataFrame, key: str, cap: int) -> tuple[DataFrame, DataFrame]:
     """(to process now, carried over): a bounded batch in key order; only processed keys are marked by the caller."""
     now = changes.orderBy(key).limit(cap)

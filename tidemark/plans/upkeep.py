@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import upsert
+from ..operators import change, upsert
 from ..session import scratch
 from ..sources.keyed import KeyedTable
-from ..streaming import consumers, folds, polling, timers
+from ..streaming import backlog, consumers, folds, pipeline, polling, timers
 from ..views import events, market_prices, read, with_sql
 from .registry import query
+from .stages import KIND, ORDER, _typed
 from .state import HOURS6, _with_recursive
 from .streams import _drain, _source
 
@@ -172,3 +173,70 @@ def merge_probe(spark: SparkSession, d: str) -> DataFrame:
 
 def _or(column: str, rows: DataFrame, value: str) -> Column:
     return F.col(column) if column in rows.columns else F.lit(value)
+
+
+# Each batch takes the first of what waits; w: what the batch before has left and what has come.
+TAKE = """w{i} AS (SELECT * FROM l{j} UNION ALL SELECT event_id, event_type, turn FROM p WHERE part + 1 = {i}), n{i} AS (SELECT *, row_number() OVER (ORDER BY turn, event_id) AS n FROM w{i}),
+b{i} AS (SELECT event_id, event_type, {i}::BIGINT AS batch FROM n{i} WHERE n <= 500), l{i} AS (SELECT event_id, event_type, turn FROM n{i} WHERE n > 500)"""
+WEEK = "CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END"
+
+
+@query(with_sql("events", rest=f"""t AS (SELECT event_id, {KIND} AS t, {WEEK} AS part FROM ev WHERE k % 3 = 0), p AS (SELECT event_id, t AS event_type, {ORDER} AS turn, part FROM t WHERE t <> 'Unknown' AND t <> 'AlertSent'),
+ l0 AS (SELECT event_id, event_type, turn FROM p WHERE false), """ + ",\n".join(TAKE.format(i=i, j=i - 1) for i in range(1, 5))
+    + " SELECT event_id, event_type, batch - 1 AS batch FROM (" + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(1, 5)) + ") UNION ALL SELECT event_id, event_type, NULL FROM l4"))
+def stream_catch_up(spark: SparkSession, d: str) -> DataFrame:
+    """Pending events in three deliveries and four batches of 500: profits, then candidates, then catalogs of all that wait. The
+    batch of each, or null for those that still wait."""
+    root = scratch(spark, "catch-up")
+    e = _typed(events(spark, d)).where("k % 3 = 0").select("event_id", "event_type", "ts")
+    turn = F.array_position(F.array(*[F.lit(t) for t in ("ProfitFound", "CandidateMatched", "CatalogDumped")]), F.col("event_type")) - 1
+    e = e.withColumn("turn", turn).where("turn >= 0")
+    waiting = backlog.Backlog(spark, root, ["turn", "event_id"], 500)
+
+    def run(stream: DataFrame, i: int) -> None:
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(waiting.take).start().awaitTermination()
+
+    _deliver(_weeks(e), root, run)
+    waiting.take(None, max(waiting.marks.versions()) + 1)
+    done = waiting.taken().select("event_id", "event_type", F.col("batch").cast("bigint").alias("batch"))
+    rest = waiting.waiting()
+    return done if rest is None else done.unionByName(rest.select("event_id", "event_type", F.lit(None).cast("bigint").alias("batch")))
+
+
+@query(with_sql("events", rest=f"""c AS (SELECT event_type, ts, {WEEK} + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS part FROM ev),
+ m AS (SELECT part + 1 AS part, max(ts) AS t FROM c GROUP BY 1), w AS (SELECT part, max(t) OVER (ORDER BY part) - INTERVAL 2 DAY AS wm FROM m), f AS (SELECT max(wm) AS last FROM w),
+ x AS (SELECT event_type, part, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(h::INT) AS start FROM c, range(6) r(h))
+ SELECT event_type, start, start + INTERVAL 6 HOUR AS "end", count(*) AS n FROM x LEFT JOIN w USING (part), f WHERE (wm IS NULL OR start + INTERVAL 6 HOUR > wm) AND start + INTERVAL 6 HOUR <= last GROUP BY ALL"""))
+def stream_rate_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows per six hours, every hour, of a stream whose errors come with the delivery after their own: rows of windows that the
+    watermark (two days behind) has not closed count. A window is written once, when it closes, and its state is gone."""
+    root = scratch(spark, "windows")
+    e = events(spark, d).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    day = F.dayofmonth("ts")
+    at = (day > 10).cast("int") + (day > 20).cast("int") + (F.col("event_type") == "error").cast("int")
+    kinds = []
+
+    def run(stream: DataFrame, i: int) -> None:
+        out = pipeline.rates(stream, "ts", ["event_type"], "6 hours", "1 hour", "2 days")
+        kinds.append(out.schema)
+        batches = out.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(lambda b, n: pipeline.write_once(b, n, f"{root}/rows"))
+        batches.start().awaitTermination()
+
+    _deliver([e.where(at == i) for i in range(4)], root, run)
+    rows = spark.read.schema(kinds[0]).parquet(f"{root}/rows")
+    return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("""WITH o AS (SELECT p_partkey AS id, p_retailprice AS price, p_size AS size FROM part WHERE NOT (p_size = 50 AND p_brand = 'Brand#1')),
+ n AS (SELECT p_partkey AS id, CASE WHEN p_size = 49 AND p_brand = 'Brand#2' THEN p_retailprice + 1 ELSE p_retailprice END AS price, p_size AS size FROM part WHERE NOT (p_size = 48 AND p_brand = 'Brand#3'))
+ SELECT id, CASE WHEN o.price IS NULL THEN 'new' WHEN n.price IS NULL THEN 'stale' WHEN o.price = n.price THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n USING (id)""")
+def snapshot_diff_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots that were written independently and differ in a few products: only the buckets of these are joined."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), "p_brand")
+    old = p.where("not (size = 50 and p_brand = 'Brand#1')").drop("p_brand")
+    dearer = F.when((F.col("size") == 49) & (F.col("p_brand") == "Brand#2"), F.col("price") + 1).otherwise(F.col("price"))
+    new = p.where("not (size = 48 and p_brand = 'Brand#3')").withColumn("price", dearer).drop("p_brand")
+    tables = [KeyedTable(spark, scratch(spark, f"snapshot-{i}"), ["id"], rows.schema, 64) for i, rows in enumerate((old, new))]
+    for table, rows in zip(tables, (old, new)):
+        table.merge(rows, 0, lambda before, all_: all_)
+    return change.bucket_diff(*tables, ["price", "size"])

@@ -78,6 +78,30 @@ class KeyedTable:
         self.spark.createDataFrame(rows, "bucket INT, version LONG").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{version}")
         return touched
 
+    def digests(self, version: int | None = None) -> dict[int, tuple]:
+        """Bucket to (rows, xor and sum of their hashes): equal for equal rows in any order. Files of a bucket never change, so
+        each is hashed once; its digest is kept beside it."""
+        parts = self.manifest(version)
+        columns = self.spark.createDataFrame([], self.schema).columns
+        h = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])  # a null alone would leave the hash as it is
+        out: dict[int, tuple] = {}
+        for v in sorted(set(parts.values())):
+            kept = f"{self.path}/digests/{v}"
+            if not self._exists(f"{kept}/_SUCCESS"):
+                rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/rows/{v}").withColumn("bucket", self._bucket()).withColumn("_h", h)
+                each = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("_h").alias("x"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("s"))
+                each.coalesce(1).write.mode("overwrite").parquet(kept)
+            out |= {r["bucket"]: (r["n"], r["x"], r["s"]) for r in self.spark.read.parquet(kept).collect() if parts.get(r["bucket"]) == v}
+        return out
+
+    def only(self, buckets: set[int], version: int | None = None) -> DataFrame:
+        """Rows of some buckets of a version; files of others are not listed."""
+        return self._read({b: v for b, v in self.manifest(version).items() if b in buckets})
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     def _has_rows(self, version: int) -> bool:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows/{version}")
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
