@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import percent
+from ..session import scratch
 
 
 def top_counts(df: DataFrame, key: Column, name: str, n: int | None = None, least: int = 1) -> DataFrame:
@@ -23,6 +24,24 @@ def numbered(df: DataFrame, key: str, name: str, width: int = 65_536) -> DataFra
     return place.withColumn("_i", own).join(before, "_b").withColumn(name, F.col("_i") + F.col("_o")).drop("_b", "_i", "_o")
 
 
+def placed(df: DataFrame, groups: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows numbered from 1 within groups of any size, by a total order. All rows are sorted once over ranges and written, which
+    fixes the ranges; a row's place is that in its range after the group's counts in the ranges before. Only these counts, one a
+    group and range, meet in one task. Null is a group like others."""
+    path = scratch(df.sparkSession, "placed")
+    ranges = df.orderBy(*groups, *order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    ranges.write.parquet(path)
+    rows = df.sparkSession.read.schema(ranges.schema).parquet(path)
+    keys = [f"_g{i}" for i in range(len(groups))]
+    runs = rows.groupBy(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col("_p").alias("_q")).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    runs = runs.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_q")) - F.col("_c")).drop("_c")
+    same = F.col("_p") == F.col("_q")
+    for g, k in zip(groups, keys):
+        same &= F.col(g).eqNullSafe(F.col(k))
+    place = F.col("_i") - F.col("_first") + F.col("_before") + 1
+    return rows.join(runs, same).withColumn(name, place).drop("_p", "_i", "_q", "_first", "_before", *keys)
+
+
 def folded(c: Column, dash: str = "-") -> Column:
     """Null and '' as one group."""
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(dash))

@@ -29,12 +29,10 @@ KIND = "CASE event_type WHEN 'view' THEN 'CatalogDumped' WHEN 'click' THEN 'Cand
 
 @query(with_sql("events", rest="SELECT event_id, CASE WHEN k % 10 = 9 THEN 'dead' ELSE 'view' END AS kind, CASE WHEN k % 10 <> 9 THEN k END AS n FROM ev WHERE event_type = 'view' UNION ALL SELECT event_id, 'unknown', NULL FROM ev WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup')"))
 def stream_dead_letters(spark: SparkSession, d: str) -> DataFrame:
-    """One topic of the stream, decoded; its dead letters; and events of no known type."""
-    e = _typed(_source(spark, d))
-    good, dead = pipeline.typed(e, "CatalogDumped")
-    none = F.lit(None).cast("int")
-    out = good.select("event_id", F.lit("view").alias("kind"), F.col("e.product_count").alias("n")).unionByName(dead.select("event_id", F.lit("dead").alias("kind"), none.alias("n")))
-    return _drain(out.unionByName(pipeline.unknown_types(e).select("event_id", F.lit("unknown").alias("kind"), none.alias("n"))), "letters").select("event_id", "kind", "n")
+    """One topic of the stream, decoded; its dead letters; and events of no known type, all in one pass over the source."""
+    rows = pipeline.sorted_out(_typed(_source(spark, d)), "CatalogDumped")
+    kind = F.when(F.col("kind") == "good", "view").otherwise(F.col("kind"))
+    return _drain(rows.select("event_id", kind.alias("kind"), F.when(F.col("kind") == "good", F.col("e.product_count")).alias("n")), "letters").select("event_id", "kind", "n")
 
 
 @query(with_sql("events", rest=f"""e AS (SELECT event_id, {KIND} AS t, k % 5 AS attempts, CASE k % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'deferred' ELSE 'consumed' END AS status FROM ev)
@@ -133,10 +131,10 @@ def ranked_quotas(spark: SparkSession, d: str) -> DataFrame:
     p = read(spark, d, "part")
     a = p.where("p_size > 25").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("v"), F.lit(0).alias("list"))
     b = p.where("p_size > 10").select(F.col("p_partkey").alias("id"), F.lit("popular").alias("category"), F.col("p_size").cast("double").alias("v"), F.lit(1).alias("list"))
-    ranked = a.unionByName(b).withColumn("place", F.row_number().over(Window.partitionBy("list", "category").orderBy(F.desc("v"), "id")))
+    ranked = report.placed(a.unionByName(b), ["list", "category"], [F.desc("v"), F.asc("id")], "place")
     quota = F.greatest(F.when(F.col("category") == "popular", 40).otherwise(F.floor(F.length("category") * 5)), F.lit(5))
     once = upsert.keep_first(ranked, ["id"], [F.col("list"), F.col("place")])
-    return upsert.cap_per_group(once, ["id"], ["category"], [F.col("place"), F.col("id")], quota).select("id", "category", F.col("place").cast("bigint").alias("place"))
+    return report.placed(once, ["category"], [F.col("place"), F.col("id")], "n").where(F.col("n") <= quota).select("id", "category", "place")
 
 
 @query(with_sql("market_products", "volumes", "retail_prices", "retail_products", rest="""v AS (SELECT product_id, volume, CASE WHEN product_id % 4 = 0 THEN NULL ELSE product_id % 30 END AS due FROM market_products LEFT JOIN volumes USING (product_id)), m AS (SELECT * FROM v WHERE product_id IN (SELECT product_id FROM retail_products))

@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from ..schemas import EVENTS
 
 
+def sorted_out(events: DataFrame, event_type: str, payload: str = "payload") -> DataFrame:
+    """Events of one type and of none that is known, in one pass: kind is good (with the decoded payload in `e`), dead (the
+    payload doesn't decode) or unknown (no known type)."""
+    mine = F.coalesce(F.col("event_type") == event_type, F.lit(False))
+    none = ~F.coalesce(F.col("event_type").isin(*EVENTS), F.lit(False))
+    parsed = events.where(mine | none).withColumn("e", F.when(mine, F.from_json(payload, f"{EVENTS[event_type]}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})))
+    bad = F.col("e").isNull() | F.col("e._bad").isNotNull()
+    return parsed.withColumn("kind", F.when(none, "unknown").when(bad, "dead").otherwise("good")).withColumn("e", F.col("e").dropFields("_bad"))
+
+
 def typed(events: DataFrame, event_type: str, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(rows of one type with the decoded payload in `e`, dead letters whose payload doesn't decode). Works on streams
     and tables; every consumer reads the stream with a query and checkpoint of its own."""
-    parsed = events.where(F.col("event_type") == event_type).withColumn("e", F.from_json(payload, f"{EVENTS[event_type]}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("e").isNull() | F.col("e._bad").isNotNull()
-    return parsed.where(~bad).withColumn("e", F.col("e").dropFields("_bad")), parsed.where(bad).drop("e")
+    rows = sorted_out(events, event_type, payload)
+    return rows.where("kind = 'good'").drop("kind"), rows.where("kind = 'dead'").drop("e", "kind")
 
 
 def unknown_types(events: DataFrame) -> DataFrame:
