@@ -216,7 +216,8 @@ def nearest(vectors: DataFrame, k: int = 20, query_modulus: int = 20, factor: fl
 
     Nearness is the inner product in double precision, ties go to the smaller id; a query never finds its own id. Only
     vectors of the query's length are candidates. Null, zero or non-finite vectors and null ids take no part; repeated
-    rows of one id give one result each time they are found. Shards hold about shard_rows vectors whatever the size of
+    rows of one id give one result each time they are found. Query rows of one id share one top k: the best of what they
+    all find, where a row that several of them find counts each time. Shards hold about shard_rows vectors whatever the size of
     the table. Without a factor, the greatest is taken that keeps 97 % recall over a sample of at most SAMPLE vectors;
     1 gives exact results. Of copies of one vector a shard needs only the k + 1 smallest ids.
     """
