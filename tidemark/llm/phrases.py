@@ -1,8 +1,9 @@
 """Phrase collocation mining by suffix counting.
 
-Every word starts a suffix of its piece, cut after `max_n` words. Suffixes are shuffled by language and first word, sorted
-in reverse lexicographic order, and one stack counts all their prefixes in one pass: a prefix is complete when the next
-suffix no longer has it. Parts of phrases are joined to their counts afterwards.
+Every word starts a suffix of its piece, cut after `max_n` words. A task adds up equal suffixes of all it reads, and
+writes one row a suffix unless they outgrow its memory. Suffixes are shuffled by language and first word, sorted in reverse
+lexicographic order, and one stack counts all their prefixes in one pass: a prefix is complete when the next suffix no longer
+has it. Parts of phrases are joined to their counts afterwards.
 
 A phrase is no more frequent than what it begins with, so a suffix ends where it would become rare for certain. What is
 rare is told by a first pass that adds the counts of all phrases of 1 to max_n words in `2**SLOT_BITS` slots by hash,
@@ -29,8 +30,10 @@ from .common import HOT_SHARE, drop, hot_keys, lookup, table
 SLOT_BITS = 26
 #: Slots that one row of counts, and of the bitmap, stands for.
 RANGE = 1 << 16
-#: Bytes of text tokenised at once, and words whose suffixes are counted before they are written out.
-CHUNK, HELD = 2 << 20, 4 << 20
+#: Bytes of text tokenised at once, and words whose suffixes are counted at once.
+CHUNK, HELD = 2 << 20, 1 << 18
+#: Bytes of counted suffixes that a task holds before it writes them out, and words that a task reads on average at most.
+SUMS, READ = 40 << 20, 32_000_000
 #: Rows of one first word that are hot are dealt over so many parts by their second and third word.
 PARTS = 64
 #: Ends a piece; no byte of UTF-8.
@@ -155,15 +158,23 @@ def _bits(least: int):
     return compute
 
 
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """(suffix, n) with one row a suffix."""
+    sums = pa.concat_tables(tables).group_by("suffix", use_threads=False).aggregate([("n", "sum")])
+    pa.default_memory_pool().release_unused()
+    return pa.table([sums["suffix"], sums["n_sum"]], ["suffix", "n"])
+
+
 def _suffixes(bitmap, max_n: int):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
         test = lambda s: (bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
         words: dict[str, _Words] = {}
         held: dict[str, list[np.ndarray]] = {}
+        sums: dict[str, list[pa.Table]] = {}
         size = 0
 
-        def flush(lang: str) -> Iterator[pa.RecordBatch]:
+        def count(lang: str) -> None:
             ids, own = np.concatenate(held.pop(lang)), words.pop(lang)
             length = np.zeros(len(ids), np.int64)
             on = real = ids > 0
@@ -183,9 +194,15 @@ def _suffixes(bitmap, max_n: int):
                 if len(first):
                     parts = [spaced.take(pa.array(c[first])) for c in columns]
                     suffix = pc.binary_join_element_wise(*parts, b"") if n > 1 else parts[0]
-                    for s in range(0, len(first), 50_000):
-                        piece = suffix.slice(s, 50_000)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(piece), pa.string()), piece.cast(pa.string()), pa.array(times[s : s + 50_000].astype(np.int64))], ["lang", "suffix", "n"])
+                    sums.setdefault(lang, []).append(pa.table([suffix, pa.array(times.astype(np.int64))], ["suffix", "n"]))
+
+        def full() -> bool:
+            return sum(t.nbytes for ts in sums.values() for t in ts) >= SUMS
+
+        def written() -> Iterator[pa.RecordBatch]:
+            for lang in list(sums):
+                for rb in _summed(sums.pop(lang)).to_batches(max_chunksize=50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rb), pa.string()), rb.column(0).cast(pa.string()), rb.column(1)], ["lang", "suffix", "n"])
 
         for lang, texts in _by_lang(batches):
             own = words.setdefault(lang, _Words(_seed(lang)))
@@ -193,14 +210,28 @@ def _suffixes(bitmap, max_n: int):
             size += len(held[lang][-1])
             if size >= HELD:
                 for lang in list(held):
-                    yield from flush(lang)
+                    count(lang)
                 size = 0
+                if full():
+                    for lang, ts in sums.items():
+                        sums[lang] = [_summed(ts)]
+                    # Sums that leave little room would be added up again for little.
+                    if sum(ts[0].nbytes for ts in sums.values()) > SUMS * 3 // 4:
+                        yield from written()
         for lang in list(held):
-            yield from flush(lang)
+            count(lang)
+        yield from written()
 
     return compute
 
 
+def suffix_rows(rows: DataFrame, bitmap, max_n: int, words: int) -> DataFrame:
+    """(lang, suffix, n) of (lang, text) rows with so many words, from as few tasks as keep every core at work and read READ
+    words each on average at most: each task writes its own row of a suffix, so rows grow with tasks times suffixes."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-words // READ))
+    return rows.coalesce(tasks).mapInArrow(_suffixes(bitmap, max_n), "lang string, suffix string, n long")
+
+
 def _stacked(least: int):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of all prefixes of sorted suffixes (lang, split, suffix, n). The stack holds a phrase's words and the counts
@@ -273,7 +304,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, max_n: int = 4, lang_col: st
     for r in frequent.toLocalIterator():  # 2**SLOT_BITS / RANGE rows of RANGE / 8 bytes
         bits[r["at"] * (RANGE // 8) : (r["at"] + 1) * (RANGE // 8)] = np.frombuffer(r["bits"], np.uint8)
     bitmap = spark.sparkContext.broadcast(bits.tobytes())
-    suffixes = rows.mapInArrow(_suffixes(bitmap, max_n), "lang string, suffix string, n long").withColumn("first", F.substring_index("suffix", " ", 1))
+    suffixes = suffix_rows(rows, bitmap, max_n, total).withColumn("first", F.substring_index("suffix", " ", 1))
     dealt = suffixes.withColumn("split", F.concat("first", F.lit(" "), "lang").isin(hot) if hot else F.lit(False))
     part = F.when(F.col("split"), F.pmod(F.xxhash64(F.substring_index("suffix", " ", 3)), F.lit(PARTS))).otherwise(0)
     dealt = dealt.withColumn("part", part).repartition("lang", "first", "part")
